@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,7 +96,7 @@ def wilcoxon(pairs: DataFrame, digits: int = 9) -> DataFrame:
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
     z = (w - n * (n + 1) / 4.0) / spread
     exact = (n == F.col("n_pairs")) & (F.col("ties") == 0) & (n <= EXACT_UP_TO) & (n > 0)
-    cdf = F.array(*[F.array(*[F.lit(x) for x in row]) for row in null_distributions()])
+    cdf = F.from_json(F.lit(json.dumps(null_distributions())), "ARRAY<ARRAY<DOUBLE>>")
     row = F.get(cdf, F.when(exact, n).otherwise(0).cast("int"))
     p_exact = F.least(F.lit(1.0), 2.0 * F.get(row, F.when(exact, w).otherwise(0.0).cast("int")))
     p_normal = F.least(F.lit(1.0), 2.0 * normal.upper_tail(F.abs(z)))

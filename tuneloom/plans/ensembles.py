@@ -1,0 +1,103 @@
+"""Model library, bags, greedy selection and votes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tuneloom.operators import ensemble as E
+from tuneloom.operators import runs as R
+from tuneloom.plans.history import r6
+from tuneloom.plans.registry import query
+from tuneloom.sources import views as V
+
+CLASSES = (0, 1)
+# A weight vector with models left out, as greedy selection returns it.
+WEIGHTS = {1: 3, 2: 1, 4: 2, 5: 1, 7: 5, 10: 2}
+WEIGHT_SQL = "w(model_id, w) AS (VALUES " + ", ".join(f"({m}, {x})" for m, x in WEIGHTS.items()) + ")"
+
+
+def library(spark, d):
+    return V.preds(spark, d).select(
+        "model_id", "row_id", "y", F.array(1 - F.col("p"), F.col("p")).alias("probs"))
+
+
+LL = "-ln(greatest(1e-15, least(1 - 1e-15, CASE WHEN y = 1 THEN p ELSE 1 - p END)))"
+
+
+@query("score_library", f"SELECT model_id, round(avg({LL}), 6) AS loss, false AS failed FROM preds GROUP BY model_id")
+def score_library(spark, d):
+    return E.score_library(library(spark, d), CLASSES).select("model_id", r6("loss"), "failed")
+
+
+@query("model_leaderboard", f"""
+    SELECT model_id, round(avg({LL}), 6) AS loss FROM preds GROUP BY model_id ORDER BY loss, model_id LIMIT 5""")
+def model_leaderboard(spark, d):
+    scored = E.score_library(library(spark, d), CLASSES).select("model_id", r6("loss"))
+    return R.leaderboard(scored, 5, ident="model_id")
+
+
+BAGS = """
+bags AS (SELECT bag, model_id, row_number() OVER (PARTITION BY bag ORDER BY
+            CAST('0x' || substr(md5('0|' || bag || '|' || model_id), 1, 13) AS BIGINT), model_id) AS rn
+         FROM (SELECT DISTINCT model_id FROM preds), (SELECT CAST(unnest(range(4)) AS INTEGER) AS bag))"""
+
+
+@query("model_bags", f"WITH {BAGS} SELECT bag, model_id FROM bags WHERE rn <= 7")
+def model_bags(spark, d):
+    return E.model_bags(V.preds(spark, d).select("model_id").distinct())
+
+
+@query("greedy_round", f"""
+    WITH {WEIGHT_SQL},
+    b AS (SELECT row_id, sum(p * w) AS s, sum(w) AS n FROM preds JOIN w USING (model_id) GROUP BY row_id)
+    SELECT 0 AS bag, model_id, round(avg(-ln(CASE WHEN y = 1 THEN (s + p) / (n + 1) ELSE 1 - (s + p) / (n + 1) END)), 6) AS loss
+    FROM preds JOIN b USING (row_id) GROUP BY model_id""")
+def greedy_round(spark, d):
+    models = list(range(1, V.N_MODELS + 1))
+    wide = E.wide_predictions(library(spark, d))
+    return E.round_losses(wide, models, CLASSES, "logloss", {0: WEIGHTS}, {0: models}).select("bag", "model_id", r6("loss"))
+
+
+@query("greedy_selection")
+def greedy_selection(spark, d):
+    one_bag = V.preds(spark, d).select("model_id").distinct().withColumn("bag", F.lit(0))
+    return E.greedy_selection(library(spark, d), one_bag, CLASSES)
+
+
+@query("bagged_ensemble")
+def bagged_ensemble(spark, d):
+    return E.bagged_ensemble(library(spark, d), CLASSES)
+
+
+SOFT = f"""{WEIGHT_SQL},
+v AS (SELECT row_id, any_value(y) AS y, sum((1 - p) * w) / sum(w) AS p0, sum(p * w) / sum(w) AS p1
+      FROM preds JOIN w USING (model_id) GROUP BY row_id)"""
+
+
+@query("soft_vote", f"WITH {SOFT} SELECT row_id, y, round(p1, 6) AS p, CAST(round(p0, 9) < round(p1, 9) AS INTEGER) AS pred FROM v")
+def soft_vote(spark, d):
+    voted = E.soft_vote(library(spark, d), WEIGHTS, CLASSES)
+    p1 = F.get("probs", F.lit(1))
+    pred = (F.round(F.get("probs", F.lit(0)), 9) < F.round(p1, 9)).cast("int")
+    return voted.select("row_id", "y", r6(p1, "p"), pred.alias("pred"))
+
+
+@query("hard_vote", f"""
+    WITH {WEIGHT_SQL} SELECT row_id, any_value(y) AS y,
+        CAST(sum(CASE WHEN p > 1 - p THEN w ELSE 0 END) > sum(CASE WHEN p > 1 - p THEN 0 ELSE w END) AS INTEGER) AS pred
+    FROM preds JOIN w USING (model_id) GROUP BY row_id""")
+def hard_vote(spark, d):
+    return E.hard_vote(library(spark, d), WEIGHTS, CLASSES).select("row_id", "y", "pred")
+
+
+@query("ensemble_score", f"""
+    WITH {SOFT} SELECT 'logloss' AS metric, round(avg(-ln(CASE WHEN y = 1 THEN p1 ELSE p0 END)), 6) AS loss FROM v
+    UNION ALL SELECT 'accuracy' AS metric, round(-avg(CAST((p1 > p0) = (y = 1) AS INTEGER)), 6) AS loss FROM v
+    UNION ALL SELECT 'roc_auc' AS metric, round(-(sum(r) FILTER (y = 1) - n * (n + 1) / 2) / (n * (count(*) - n)), 6) AS loss
+        FROM (SELECT y, rank() OVER (ORDER BY round(p1, 12)) + (count(*) OVER (PARTITION BY round(p1, 12)) - 1) / 2e0 AS r,
+                     CAST(sum(y) OVER () AS DOUBLE) AS n FROM v) GROUP BY n""")
+def ensemble_score(spark, d):
+    lib = library(spark, d)
+    parts = [E.ensemble_score(lib, WEIGHTS, CLASSES, m).select(F.lit(m).alias("metric"), r6("loss"))
+             for m in ("logloss", "accuracy", "roc_auc")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

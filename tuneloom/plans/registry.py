@@ -34,9 +34,9 @@ def with_views(body: str) -> str:
             todo.extend(u for u in _used(VIEW_SQL[v]) if u != v)
     ctes = [f"{v} AS ({VIEW_SQL[v].strip()})" for v in VIEW_SQL if v in needed]
     text = body.strip()
-    if text[:5].upper() == "WITH ":
-        rest = text[5:]
-        return "WITH " + ",\n".join([*ctes, rest]) if ctes else text
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(head):
+            return head + ",\n".join([*ctes, text[len(head):]])
     return ("WITH " + ",\n".join(ctes) + "\n" + text) if ctes else text
 
 
