@@ -50,11 +50,12 @@ def best_system(stats: DataFrame) -> DataFrame:
 
 
 def paired_results(results: DataFrame, best: DataFrame) -> DataFrame:
-    """Each system's result next to the best system's, per (task, fold)."""
-    ref = results.join(best.select("task", F.col("best_system").alias("system")), ["task", "system"]).select(
-        "task", "fold", F.col("result").alias("ref"))
-    other = results.join(best.select("task", F.col("best_system").alias("system")), ["task", "system"], "left_anti")
-    return other.join(ref, ["task", "fold"]).select("task", "system", "fold", "ref", "result")
+    """Each system's result next to the best system's, per (task, fold); a fold has one row per system."""
+    marked = results.join(best.select("task", "best_system"), "task")
+    is_best = F.col("system") == F.col("best_system")
+    ref = F.max(F.when(is_best, F.col("result"))).over(Window.partitionBy("task", "fold"))
+    paired = marked.withColumn("ref", ref).where(~is_best & F.col("ref").isNotNull())
+    return paired.select("task", "system", "fold", "ref", "result")
 
 
 def null_distributions(n_max: int = EXACT_UP_TO) -> list[list[float]]:
@@ -81,16 +82,22 @@ def wilcoxon(pairs: DataFrame, digits: int = 9) -> DataFrame:
     null distribution is exact, otherwise normal with tie correction.
     """
     keys = ["task", "system"]
-    d = pairs.withColumn("d", F.round(F.col("ref") - F.col("result"), digits))
-    ranked = skew.average_ranks(d.where("d <> 0").withColumn("a", F.abs("d")), keys, "a", "rank")
-    by_value = ranked.groupBy(*keys, "a").agg(
-        F.count("*").alias("t"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("plus"),
-        F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("minus"))
-    sums = by_value.groupBy(*keys).agg(
-        F.sum("t").alias("n"), F.sum("plus").alias("w_plus"), F.sum("minus").alias("w_minus"),
-        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    every = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"))
-    joined = every.join(sums, keys, "left").fillna({"n": 0, "w_plus": 0.0, "w_minus": 0.0, "ties": 0})
+    d = F.round(F.col("ref") - F.col("result"), digits)
+    by_size = pairs.select(*keys, d.alias("d")).groupBy(*keys, F.abs("d").alias("a")).agg(
+        F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("pos"), F.count_if(F.col("d") < 0).alias("neg"))
+    placed = skew.running(by_size, keys, ["a"], {"before": ("sum_before", F.col("t"))})
+    # ranks counted with the zero differences, which all come first and are taken off below
+    rank, real = F.col("before") + (F.col("t") + 1) / 2, F.col("a") > 0
+    cube = F.col("t") * F.col("t") * F.col("t") - F.col("t")
+    sums = placed.groupBy(*keys).agg(
+        F.sum("t").alias("n_pairs"), F.sum(F.when(real, F.col("t")).otherwise(0)).alias("n"),
+        F.sum(rank * F.col("pos")).alias("up"), F.sum("pos").alias("n_up"),
+        F.sum(rank * F.col("neg")).alias("down"), F.sum("neg").alias("n_down"),
+        F.sum(F.when(real, cube).otherwise(0)).alias("ties"))
+    zeros = F.col("n_pairs") - F.col("n")
+    joined = sums.select(
+        *keys, "n", "n_pairs", "ties", (F.col("up") - zeros * F.col("n_up")).alias("w_plus"),
+        (F.col("down") - zeros * F.col("n_down")).alias("w_minus"))
 
     n, w = F.col("n"), F.least("w_plus", "w_minus")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -49,24 +50,40 @@ def round_losses(wide: DataFrame, models: Sequence, classes: Sequence, metric: s
     a join and without state from the round before.
     """
     at = {m: i for i, m in enumerate(models)}
+    entries = []
+    for bag, members in candidates.items():
+        chosen = weights.get(bag, {})
+        n = float(sum(chosen.values()))
+        blended = [
+            " + ".join([f"library[{at[m]}][{c}] * {float(w)}D" for m, w in chosen.items()] or ["0.0D"])
+            for c in range(len(classes))]
+        entries += [
+            (bag, m, [f"({blended[c]} + library[{at[m]}][{c}]) / {n + 1.0}D" for c in range(len(classes))])
+            for m in members]
+    array = ", ".join(
+        f"named_struct('bag', {b}, 'model_id', {m!r}, 'probs', array({', '.join(ps)}))" for b, m, ps in entries)
+    long = wide.select("y", F.expr(f"explode(array({array}))").alias("_e")).select("y", "_e.*")
+    return metrics.loss(long, metric, classes, ["bag", "model_id"])
 
-    def p(model, c):
-        return F.get(F.get(F.col("library"), F.lit(at[model])), F.lit(c))
 
-    entries = []
+def round_log_losses(truth: DataFrame, models: Sequence, weights: dict[int, dict],
+                     candidates: dict[int, Sequence], eps: float = metrics.EPS) -> DataFrame:
+    """`round_losses` for log loss with normalised models: one aggregate per (bag, candidate).
+
+    `truth` holds the probability of the true class per model. A task sends on
+    one row of sums, whatever the number of data rows.
+    """
+    at = {m: i for i, m in enumerate(models)}
+    sums, cells = [], []
     for bag, members in candidates.items():
         chosen = weights.get(bag, {})
         n = float(sum(chosen.values()))
+        base = " + ".join([f"truth[{at[m]}] * {float(w)}D" for m, w in chosen.items()] or ["0.0D"])
         for m in members:
-            blend = []
-            for c in range(len(classes)):
-                x = p(m, c)
-                for other, w in chosen.items():
-                    x = x + p(other, c) * float(w)
-                blend.append(x / (n + 1.0))
-            entries.append(F.struct(F.lit(bag).alias("bag"), F.lit(m).alias("model_id"), F.array(*blend).alias("probs")))
-    long = wide.select("y", F.explode(F.array(*entries)).alias("_e")).select("y", "_e.*")
-    return metrics.loss(long, metric, classes, ["bag", "model_id"])
+            p = f"({base} + truth[{at[m]}]) / {n + 1.0}D"
+            sums.append(F.expr(f"avg(-ln(greatest(least({p}, {1 - eps!r}D), {eps!r}D)))").alias(f"c{len(sums)}"))
+            cells.append(f"named_struct('bag', {bag}, 'model_id', {m!r}, 'loss', c{len(cells)})")
+    return truth.agg(*sums).select(F.expr(f"inline(array({', '.join(cells)}))"))
 
 
 def greedy_selection(preds: DataFrame, bags: DataFrame, classes: Sequence, metric: str = "logloss",
@@ -74,28 +91,39 @@ def greedy_selection(preds: DataFrame, bags: DataFrame, classes: Sequence, metri
     """Forward selection with replacement in every bag; the best round is kept.
 
     Only the losses of a round (bags x models numbers) reach the driver. Ties are
-    broken by a draw on (bag, round, model). Returns (bag, model_id, weight, loss).
+    broken by a draw on (seed, round, bag, model). Returns (bag, model_id, weight, loss).
     """
     spark = preds.sparkSession
-    wide = cut_lineage(wide_predictions(preds))
     models = sorted(r[0] for r in preds.select("model_id").distinct().collect())
     members: dict[int, list] = {}
     for r in bags.collect():
         members.setdefault(r["bag"], []).append(r["model_id"])
     members = {b: sorted(ms) for b, ms in sorted(members.items())}
 
+    wide = wide_predictions(preds)
+    if metric == "logloss":
+        slot = F.coalesce(*[F.when(F.col("y") == F.lit(c), F.lit(i)) for i, c in enumerate(classes)])
+        wide = wide.select(F.transform("library", lambda p: F.get(p, slot)).alias("truth"))
+    wide = cut_lineage(wide)
+
+    def draw(*parts) -> str:
+        return hashlib.md5("|".join(str(x) for x in (seed, *parts)).encode()).hexdigest()
+
     weights: dict[int, dict] = {b: {} for b in members}
     best: dict[int, tuple] = {}
     for step in range(max_models):
-        losses = round_losses(wide, models, classes, metric, weights, members)
-        draw = draws.uniform(f"{seed}/{step}", "bag", "model_id")
-        winners = losses.groupBy("bag").agg(
-            F.min_by("model_id", F.struct("loss", draw, "model_id")).alias("model_id"), F.min("loss").alias("loss"))
-        for r in winners.collect():
-            chosen = weights[r["bag"]]
-            chosen[r["model_id"]] = chosen.get(r["model_id"], 0) + 1
-            if r["bag"] not in best or r["loss"] < best[r["bag"]][0]:
-                best[r["bag"]] = (r["loss"], dict(chosen))
+        if metric == "logloss":
+            losses = round_log_losses(wide, models, weights, members)
+        else:
+            losses = round_losses(wide, models, classes, metric, weights, members)
+        winner: dict[int, tuple] = {}
+        for r in losses.collect():
+            key = (r["loss"], draw(step, r["bag"], r["model_id"]), r["model_id"])
+            winner[r["bag"]] = min(winner.get(r["bag"], key), key)
+        for bag, (loss, _, m) in winner.items():
+            weights[bag][m] = weights[bag].get(m, 0) + 1
+            if bag not in best or loss < best[bag][0]:
+                best[bag] = (loss, dict(weights[bag]))
     rows = [(b, m, w, loss) for b, (loss, chosen) in best.items() for m, w in sorted(chosen.items())]
     model_type = dict(preds.dtypes)["model_id"]
     return spark.createDataFrame(rows, f"bag int, model_id {model_type}, weight int, loss double")

@@ -20,7 +20,7 @@ VIEW_SQL: dict[str, str] = {
                      row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) - 1 AS rn
               FROM events)""",
     "chains": """
-        SELECT chain, structure, list(step ORDER BY pos) AS steps, arg_max(loss, pos) AS reward
+        SELECT chain, structure, list(step ORDER BY pos) AS steps, list(loss * -500 ORDER BY pos) AS times, arg_max(loss, pos) AS reward
         FROM chain_steps GROUP BY chain, structure""",
     "bench": """
         SELECT n_name AS task, o_orderpriority AS system, CAST(o_orderkey % 10 AS INTEGER) AS fold,

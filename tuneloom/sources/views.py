@@ -79,11 +79,11 @@ def chain_steps(spark, folder) -> DataFrame:
 
 
 def pipelines(spark, folder) -> DataFrame:
-    """One row per chain with its steps as an array (at most ten) and the loss of the last step."""
+    """One row per chain with its steps and their times as arrays (at most ten) and the loss of the last step."""
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "step", (F.col("loss") * -500).alias("time"))))
     return chain_steps(spark, folder).groupBy("chain", "structure").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "step"))), lambda x: x["step"]).alias("steps"),
-        F.max_by("loss", "pos").alias("reward"),
-    )
+        ordered.alias("_s"), F.max_by("loss", "pos").alias("reward"),
+    ).select("chain", "structure", F.col("_s.step").alias("steps"), F.col("_s.time").alias("times"), "reward")
 
 
 def bench(spark, folder) -> DataFrame:
