@@ -59,7 +59,7 @@ def successive_halving(spark, d):
 
 @query("successive_resampling", f"""
     WITH {SCHED}, {RACERS}
-    SELECT iteration, structure, rung, round(loss, 6) AS loss, coalesce(rk < greatest(1, k * 0.5e0), false) AS advance FROM ranked""")
+    SELECT iteration, structure, rung, round(loss, 6) AS loss, k IS NOT NULL AND rk < greatest(1, k * 0.5e0) AS advance FROM ranked""")
 def successive_resampling(spark, d):
     return B.successive_resampling(_racers(spark, d), _schedule(spark, d), K_MAX).select(
         "iteration", "structure", "rung", r6("loss"), "advance")
@@ -137,11 +137,11 @@ def visited_terminals(spark, d):
 
 
 @query("uct_score", f"""
-    WITH {NODES} SELECT path, depth, visits, round(exploit, 6) AS exploit, round(explore, 6) AS explore, round(overfit, 6) AS overfit,
+    WITH {NODES} SELECT path, depth, visits, round(exploit, 12) AS exploit, round(explore, 6) AS explore, round(overfit, 6) AS overfit,
     round(score, 6) + 0e0 AS score FROM scored""")
 def uct_score(spark, d):
     return T.uct_score(_nodes(spark, d)).select(
-        "path", "depth", "visits", r6("exploit"), r6("explore"), r6("overfit"), r6("score"))
+        "path", "depth", "visits", r6("exploit", digits=12), r6("explore"), r6("overfit"), r6("score"))
 
 
 @query("best_child", f"""
@@ -239,6 +239,6 @@ def search_hierarchy(spark, d):
     WITH st AS (SELECT steps, times, unnest(range(1, len(steps) + 1)) AS i FROM chains),
     own AS (SELECT array_to_string(steps[1:i], '/') AS path, i, avg(times[i]) AS t FROM st GROUP BY 1, 2),
     up AS (SELECT o.path, o.t, array_to_string(string_split(o.path, '/')[1:j], '/') AS above FROM (SELECT path, t, unnest(range(1, i + 1)) AS j FROM own) o)
-    SELECT u.path, round(any_value(u.t), 6) AS own_time, round(sum(a.t), 6) AS path_time FROM up u JOIN own a ON a.path = u.above GROUP BY u.path""")
+    SELECT u.path, round(any_value(u.t), 9) AS own_time, round(sum(a.t), 9) AS path_time FROM up u JOIN own a ON a.path = u.above GROUP BY u.path""")
 def path_runtime(spark, d):
-    return T.path_runtime(V.pipelines(spark, d)).select("path", r6("own_time"), r6("path_time"))
+    return T.path_runtime(V.pipelines(spark, d)).select("path", r6("own_time", digits=9), r6("path_time", digits=9))
