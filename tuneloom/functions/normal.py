@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the two published approximations.
@@ -45,23 +45,25 @@ def density(z: Column) -> Column:
     return F.exp(-0.5 * z * z) / math.sqrt(2.0 * math.pi)
 
 
-def quantile(p: Column) -> Column:
-    def edge(q: Column) -> Column:
-        r = F.sqrt(-2.0 * F.log(q))
-        return _poly(Q_C, r) / (_poly(Q_D, r) * r + 1.0)
-
-    m = p - 0.5
-    s = m * m
-    middle = _poly(Q_A, s) * m / (_poly(Q_B, s) * s + 1.0)
-    return (
-        F.when(p < Q_LOW, edge(p))
-        .when(p > 1 - Q_LOW, -edge(1 - p))
-        .otherwise(middle)
-    )
-
-
-def truncated(u: Column, mean: Column, scale: Column, lower: Column, upper: Column) -> Column:
-    """The u-quantile of a normal limited to [lower, upper]; u in (0, 1)."""
-    lo, hi = cdf((lower - mean) / scale), cdf((upper - mean) / scale)
-    x = mean + scale * quantile(lo + u * (hi - lo))
-    return F.greatest(lower, F.least(upper, x))
+def add_quantile(df: DataFrame, p: str, name: str) -> DataFrame:
+    """Adds the standard normal quantile of column `p`.
+
+    Done in steps so that no intermediate value is written out more than once
+    in the plan.
+    """
+    staged = df.withColumn("_m", F.col(p) - 0.5).withColumn("_s", F.col("_m") * F.col("_m")).withColumn(
+        "_r", F.sqrt(-2.0 * F.log(F.least(F.col(p), 1 - F.col(p)))))
+    s, r = F.col("_s"), F.col("_r")
+    edge = _poly(Q_C, r) / (_poly(Q_D, r) * r + 1.0)
+    middle = _poly(Q_A, s) * F.col("_m") / (_poly(Q_B, s) * s + 1.0)
+    value = F.when(F.col(p) < Q_LOW, edge).when(F.col(p) > 1 - Q_LOW, -edge).otherwise(middle)
+    return staged.withColumn(name, value).drop("_m", "_s", "_r")
+
+
+def add_truncated(df: DataFrame, name: str, u: Column, mean: Column, scale: Column, lower: float, upper: float) -> DataFrame:
+    """Adds the u-quantile, u in (0, 1), of a normal limited to [lower, upper]."""
+    staged = df.withColumn("_lo", (F.lit(lower) - mean) / scale).withColumn("_hi", (F.lit(upper) - mean) / scale)
+    staged = staged.withColumn("_lo", cdf(F.col("_lo"))).withColumn("_hi", cdf(F.col("_hi")))
+    staged = add_quantile(staged.withColumn("_p", F.col("_lo") + u * (F.col("_hi") - F.col("_lo"))), "_p", "_z")
+    value = F.greatest(F.lit(lower), F.least(F.lit(upper), mean + scale * F.col("_z")))
+    return staged.withColumn(name, value).drop("_lo", "_hi", "_p", "_z")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tuneloom.functions import draws, normal
 from tuneloom.operators import skew
+from tuneloom.session import cut_lineage
 
 # Fixed values of the density model.
 TOP_PERCENT = 15
@@ -291,16 +292,22 @@ def draw_candidates(split: DataFrame, bandwidths: DataFrame, dims: Sequence[Dim]
         data.unionByName(requests), ["space_id"], ["pos", "kind", "point"],
         {"row": ("last", F.when(F.col("kind") == 0, F.struct(*cols)))})
     centres = seen.where("kind = 1").select("space_id", "point", "row").join(good_bw, "space_id")
-    out = []
+    out = centres
     for d in dims:
         u = draws.uniform(f"{seed}{d.name}", "space_id", "point")
         m, bw = F.col(f"row.{d.name}"), F.col(f"bw_{d.name}")
         if d.choices:
             again = F.floor(draws.uniform(f"{seed}{d.name}c", "space_id", "point") * d.choices).cast("double")
-            out.append(F.when(u < 1 - bw, m).otherwise(again).alias(d.name))
+            out = out.withColumn(d.name, F.when(u < 1 - bw, m).otherwise(again))
         else:
-            out.append(normal.truncated(u, m, bw * BANDWIDTH_FACTOR, F.lit(0.0), F.lit(1.0)).alias(d.name))
-    return centres.select("space_id", "point", *out)
+            out = normal.add_truncated(out, d.name, u, m, bw * BANDWIDTH_FACTOR, 0.0, 1.0)
+    return out.select("space_id", "point", *cols)
+
+
+def fitted(configs: DataFrame, dims: Sequence[Dim]) -> tuple[DataFrame, DataFrame]:
+    """Both sets and their bandwidths, written once because every later step reads them again."""
+    split = cut_lineage(good_bad_split(configs, dims))
+    return split, cut_lineage(kde_bandwidth(split, dims, ["space_id", "set"]))
 
 
 def propose_configs(configs: DataFrame, dims: Sequence[Dim], n: int = NUM_SAMPLES, seed: int = 0) -> DataFrame:
@@ -309,9 +316,8 @@ def propose_configs(configs: DataFrame, dims: Sequence[Dim], n: int = NUM_SAMPLE
     One space in five, and every space without a model, gets a uniform configuration.
     """
     cols = names_of(dims)
-    split = good_bad_split(configs, dims)
-    bandwidths = kde_bandwidth(split, dims, ["space_id", "set"])
-    points = draw_candidates(split, bandwidths, dims, n, seed)
+    split, bandwidths = fitted(configs, dims)
+    points = cut_lineage(draw_candidates(split, bandwidths, dims, n, seed))
     rated = expected_improvement(kde_density(split, bandwidths, points, dims))
     chosen = best_candidate(rated).join(points, ["space_id", "point"])
     fits = fit_gate(configs, dims).select("space_id", "fits")

@@ -113,16 +113,15 @@ def _split(spark, d):
 
 
 def _densities(spark, d):
-    split = _split(spark, d)
-    bw = T.kde_bandwidth(split, DIMS, ["space_id", "set"])
+    split, bw = T.fitted(V.configs(spark, d), DIMS)
     return T.kde_density(split, bw, T.candidate_points(split, DIMS), DIMS)
 
 
 @query("good_bad_split", f"""
     WITH {SPLIT} SELECT space_id, "set", round(quantity, 6) AS quantity, round(discount, 6) AS discount, round(tax, 6) AS tax, flag,
-    round(loss, 6) AS loss, count(*) AS weight FROM sets GROUP BY ALL""")
+    round(loss, 9) AS loss, count(*) AS weight FROM sets GROUP BY ALL""")
 def good_bad_split(spark, d):
-    split = _split(spark, d).select("space_id", "set", r6("quantity"), r6("discount"), r6("tax"), "flag", r6("loss"), "weight")
+    split = _split(spark, d).select("space_id", "set", r6("quantity"), r6("discount"), r6("tax"), "flag", r6("loss", digits=9), "weight")
     return split
 
 
@@ -194,8 +193,7 @@ GRID = ", ".join(f"({v!r}e0)" if "e" not in repr(v) else f"({v!r})" for v in T.D
            round(max(f) FILTER ("set" = 'good') / max(f) FILTER ("set" = 'bad'), 6) AS ei
     FROM m GROUP BY space_id, name, value""")
 def marginal_means(spark, d):
-    split = _split(spark, d)
-    means = T.marginal_means(split, T.kde_bandwidth(split, DIMS, ["space_id", "set"]), DIMS)
+    means = T.marginal_means(*T.fitted(V.configs(spark, d), DIMS), DIMS)
     return means.select("space_id", "name", r6("value"), r6("good"), r6("bad"), r6("ei"))
 
 
