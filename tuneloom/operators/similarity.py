@@ -134,7 +134,7 @@ def search(queries: DataFrame, store: DataFrame, weights: Sequence[float] | None
               f"found_key {types['key']}, found_ord {types['ord']}, distance double")
 
     def meet(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in ("space", "key", "ord", "found_key", "found_ord", "distance")})
+        empty = pd.DataFrame(columns=["space", "key", "ord", "found_key", "found_ord", "distance"], dtype=object)
         if not len(q) or not len(s):
             return empty
         s = s.sort_values(["ord", "key"]).reset_index(drop=True)

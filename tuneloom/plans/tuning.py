@@ -41,7 +41,7 @@ def config_groups(spark, d):
     WITH st AS (SELECT vec_id, label, mf AS before, CASE label % 5 WHEN 0 THEN mf WHEN 1 THEN [round(x, 3) FOR x IN mf]
                        WHEN 2 THEN NULL WHEN 3 THEN [-x FOR x IN mf] ELSE mf END AS after FROM vectors),
     nn AS (SELECT a.vec_id AS id, arg_min(b.vec_id, (round(list_distance(a.after, b.mf), 12), b.vec_id)) AS neighbour, min(list_distance(a.after, b.mf)) AS d
-           FROM st a, vectors b WHERE a.after IS NOT NULL AND label % 5 <> 4 GROUP BY a.vec_id)
+           FROM st a, vectors b WHERE a.after IS NOT NULL AND a.label % 5 <> 4 GROUP BY a.vec_id)
     SELECT vec_id, CASE WHEN label % 5 = 4 THEN 'TIMEOUT' WHEN after IS NULL THEN 'CRASHED' WHEN label % 5 = 0 THEN 'INEFFECTIVE'
                         WHEN d <= 0.05 THEN 'DUPLICATE' ELSE 'SUCCESS' END AS effect,
            CASE WHEN label % 5 NOT IN (0, 2, 4) AND d <= 0.05 THEN neighbour END AS duplicate_of
