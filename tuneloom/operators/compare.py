@@ -85,7 +85,7 @@ def wilcoxon(pairs: DataFrame, digits: int = 9) -> DataFrame:
     d = F.round(F.col("ref") - F.col("result"), digits)
     by_size = pairs.select(*keys, d.alias("d")).groupBy(*keys, F.abs("d").alias("a")).agg(
         F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("pos"), F.count_if(F.col("d") < 0).alias("neg"))
-    placed = skew.running(by_size, keys, ["a"], {"before": ("sum_before", F.col("t"))})
+    placed = skew.running(by_size, keys, ["a"], {"before": ("sum_before", F.col("t"))}, settle=True)
     # ranks counted with the zero differences, which all come first and are taken off below
     rank, real = F.col("before") + (F.col("t") + 1) / 2, F.col("a") > 0
     cube = F.col("t") * F.col("t") * F.col("t") - F.col("t")

@@ -77,7 +77,7 @@ def roc_auc(df: DataFrame, keys: Sequence[str] = (), positive: Column | None = N
     base = df if keys else df.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
     counts = base.groupBy(*by, score).agg(F.count_if(pos).alias("_p"), F.count_if(~pos).alias("_n"))
-    ranked = skew.running(counts, by, [score], {"_below": ("sum_before", F.col("_n"))})
+    ranked = skew.running(counts, by, [score], {"_below": ("sum_before", F.col("_n"))}, settle=True)
     area = F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2.0))
     out = ranked.groupBy(*by).agg(
         (area / (F.sum("_p").cast("double") * F.sum("_n"))).alias("roc_auc"), F.sum("_p").alias("n_pos"))

@@ -287,22 +287,21 @@ def transform_effect(steps: DataFrame, store: DataFrame, ident: str, max_distanc
 
 
 def column_profile(df: DataFrame, label: str, numeric: Sequence[str]) -> DataFrame:
-    """Meta-features of a labelled table as (name, measure, value): one pass for the moments, one for the classes."""
-    aggs, cells = [F.count("*").cast("double").alias("n")], [("dataset", "rows", "n")]
-    for c in numeric:
-        x = F.col(c)
-        for measure, col in (
-            ("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("skewness", F.skewness(x)), ("kurtosis", F.kurtosis(x)),
-            ("missing", F.count_if(x.isNull() | F.isnan(x)) / F.count("*")), ("min", F.min(x)), ("max", F.max(x)),
-        ):
-            aggs.append(col.cast("double").alias(f"{c}_{measure}"))
-            cells.append((c, measure, f"{c}_{measure}"))
-    for i, a in enumerate(numeric):
-        for b in numeric[i + 1:]:
-            aggs.append(F.corr(a, b).alias(f"{a}_{b}_corr"))
-            cells.append((a, f"corr_{b}", f"{a}_{b}_corr"))
-    one = df.agg(*aggs)
-    long = one.select(F.explode(F.array(*[
+    """Meta-features of a labelled table as (name, measure, value): one pass each for moments, correlations and classes."""
+    x = F.col("x")
+    moments = {
+        "mean": F.avg(x), "std": F.stddev_samp(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x),
+        "missing": F.count_if(x.isNull() | F.isnan(x)) / F.count("*"), "min": F.min(x), "max": F.max(x)}
+    # a few sums per column name stay inside generated code, many sums side by side do not
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in numeric]))
+    per_column = df.select(each.alias("e")).select("e.*").groupBy("name").agg(*[m.alias(k) for k, m in moments.items()])
+    long = per_column.select("name", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in moments])).alias("e")).select("name", "e.*")
+
+    pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1:]]
+    one = df.agg(F.count("*").cast("double").alias("rows"), *[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs])
+    cells = [("dataset", "rows", "rows"), *[(a, f"corr_{b}", f"{a}_{b}") for a, b in pairs]]
+    wide = one.select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("name"), F.lit(m).alias("measure"), F.col(c).alias("value")) for n, m, c in cells])).alias("e")).select("e.*")
 
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
@@ -314,4 +313,4 @@ def column_profile(df: DataFrame, label: str, numeric: Sequence[str]) -> DataFra
     class_rows = classes.select(F.explode(F.array(*[
         F.struct(F.lit("dataset").alias("name"), F.lit(m).alias("measure"), F.col(m).alias("value"))
         for m in ("classes", "class_entropy", "largest_class")])).alias("e")).select("e.*")
-    return long.unionByName(class_rows)
+    return long.unionByName(wide).unionByName(class_rows)

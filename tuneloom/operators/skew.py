@@ -9,12 +9,13 @@ the ranges, while a small group stays whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneloom.session import shuffle_width
+from tuneloom.session import cut_lineage, shuffle_width
 
 SAMPLES_PER_RANGE = 16
 MAX_RANGES = 512
@@ -44,7 +45,17 @@ def with_range(df: DataFrame, cols: Sequence[str], name: str = "_range", ranges:
 
     bounds = F.array(*[as_struct(sample[i]) for i in cuts])
     here = F.struct(*[F.col(c) for c in cols])
-    return df.withColumn(name, F.size(F.filter(bounds, lambda b: b <= here)))
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda b: b <= here))
+
+    width = math.isqrt(len(cuts)) + 1
+    if len(cuts) <= 16:
+        return df.withColumn(name, below(bounds))
+    # many ranges: find the block of cut points first, then the place inside it
+    coarse = F.array(*[as_struct(sample[i]) for i in cuts[width - 1::width]])
+    return df.withColumn("_block", below(coarse) * width).withColumn(
+        name, F.col("_block") + below(F.slice(bounds, F.col("_block") + 1, F.lit(width)))).drop("_block")
 
 
 def running(
@@ -53,6 +64,7 @@ def running(
     order: Sequence[str],
     values: dict[str, tuple[str, Column]],
     ranges: int | None = None,
+    settle: bool = False,
 ) -> DataFrame:
     """Running values per group in the ascending order of `order`.
 
@@ -60,11 +72,15 @@ def running(
     ("sum_before", x): sum of x over the rows strictly before this one,
     ("max", x): largest x up to and including this row,
     ("last", x): latest non-NULL x up to and including this row.
-    `order` has to identify a row inside its group.
+    `order` has to identify a row inside its group. The input is read three times
+    (cut points, totals, rows); `settle` writes it once first, which pays when it
+    is itself the result of joins or aggregations.
     """
     keys, order = list(keys), list(order)
     for name, (_, x) in values.items():
         df = df.withColumn(f"_in_{name}", x)
+    if settle:
+        df = cut_lineage(df)
     cut = with_range(df, keys + order, ranges=ranges)
 
     totals, carried = [], []
@@ -135,7 +151,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "a
     """
     keys = list(keys)
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    placed = running(counts, keys, [value], {"_before": ("sum_before", F.col("_n"))})
+    placed = running(counts, keys, [value], {"_before": ("sum_before", F.col("_n"))}, settle=True)
     placed = placed.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
     return _null_safe_join(df, placed, keys + [value])
 
@@ -144,11 +160,13 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salts: in
     """Equi join where one key may hold a large share of `big`.
 
     `small` holds at most a bounded number of rows per key; it is repeated once
-    per salt while `big` is spread over the salts by a hash of the whole row.
+    per salt while `big` is spread over the salts by a hash of the whole row and the
+    task it sits in, so copies of one row part as well. A repeated task gives its
+    rows the same salts again.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins keep their meaning when the right side is repeated")
     plain = [F.col(f.name) for f in big.schema.fields if f.dataType.typeName() != "map"]
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*plain) + F.spark_partition_id(), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")

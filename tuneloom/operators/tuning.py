@@ -66,7 +66,7 @@ def good_bad_split(configs: DataFrame, dims: Sequence[Dim], min_points: int = 0,
     """
     finite = F.col("loss").isNotNull() & ~F.isnan("loss")
     clean = configs.withColumn("loss", F.when(finite, F.col("loss")).otherwise(float("inf")))
-    placed = skew.running(clean, ["space_id"], ["loss", *names_of(dims)], {"place": ("sum_before", F.col("copies"))})
+    placed = skew.running(clean, ["space_id"], ["loss", *names_of(dims)], {"place": ("sum_before", F.col("copies"))}, settle=True)
     joined = skew.salted_join(placed, space_sizes(configs, dims, min_points, top), ["space_id"]).where("enough")
     zero = F.lit(0).cast("long")
 

@@ -43,7 +43,9 @@ def _classifier_query(key: str, steps: tuple[str, ...], params: dict | None = No
     def run(spark, d):
         task = line_task(spark, d)
         train, test = J.holdout(task)
+        train = train.persist()  # read once per stage of the pipeline and per pass of the learner
         model = K.build(steps, params or {}, task.numeric, task.categorical).fit(train)
+        train.unpersist()
         pred = K.predictions(model, test)
         return pred.groupBy("y", "pred").agg(F.count("*").alias("n"))
     return run
@@ -53,7 +55,7 @@ _classifier_query("bernoulli_nb", ("OneHotEncoder", "MinMaxScaler", "Binarizer",
 _classifier_query("multinomial_nb", ("OneHotEncoder", "MinMaxScaler", "MultinomialNB"))
 _classifier_query("decision_tree", ("OneHotEncoder", "DecisionTreeClassifier"))
 _classifier_query("hist_gradient_boosting", ("HistGradientBoostingClassifier",), {"0:maxIter": 5})
-_classifier_query("svc", ("OneHotEncoder", "StandardScaler", "SVC"))
+_classifier_query("svc", ("OneHotEncoder", "StandardScaler", "SVC"), {"2:maxIter": 30})
 _classifier_query("random_forest", ("OneHotEncoder", "RandomForestClassifier"), {"1:numTrees": 10})
 _classifier_query("sgd_classifier", ("OneHotEncoder", "StandardScaler", "SGDClassifier"), {"2:regParam": 0.01})
 

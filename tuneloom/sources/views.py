@@ -126,8 +126,12 @@ def ticks(spark, folder, step: int = 3600) -> DataFrame:
 
 
 def _lines(spark, folder) -> DataFrame:
+    """One row per (order, line). The one-letter codes are compared as numbers: a maximum of texts would need a sort."""
+    def largest(code: str):
+        return F.char(F.max(F.ascii(code)))
+
     return table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.max("l_linestatus").alias("status"), F.max("l_returnflag").alias("flag"),
+        largest("l_linestatus").alias("status"), largest("l_returnflag").alias("flag"),
         F.min("l_discount").alias("discount"), F.min("l_tax").alias("tax"), F.min("l_quantity").alias("quantity"),
     ).withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
 
