@@ -72,9 +72,25 @@ def append_results(spark, d):
     return R.split_results(known, V.runs(spark, d)).select("iteration", "structure", "config", r6("loss"), "accepted")
 
 
-@query("export_history")
+@query("export_history", """
+    SELECT iteration, structure, (rn // 1000) AS part, printf('%02d:%02d', iteration, structure) AS cid, count(*) AS n_configs,
+           min(config) AS first_config, max(config) AS last_config, round(max(-loss), 6) AS best_score, CAST(any_value(budget) AS INTEGER) AS budget
+    FROM (SELECT *, row_number() OVER (PARTITION BY iteration, structure ORDER BY ts, config) - 1 AS rn FROM runs)
+    JOIN structures USING (iteration, structure) GROUP BY iteration, structure, part""")
 def export_history(spark, d):
-    return logs.export_history(V.structures(spark, d), V.runs(spark, d))
+    """The documents, read back."""
+    path = new_path(spark, "history")
+    logs.write_history(logs.export_history(V.structures(spark, d), V.runs(spark, d)), path)
+    config = "STRUCT<pos: BIGINT, config: BIGINT, status: STRING, loss: DOUBLE>"
+    doc = F.from_json("value", f"cid STRING, budget INT, configs ARRAY<{config}>")
+    read = spark.read.text(path).select(doc.alias("d")).select("d.*")
+    ids_ = F.transform("configs", lambda c: c["config"])
+    cid = F.split("cid", ":")
+    return read.select(
+        cid.getItem(0).cast("int").alias("iteration"), cid.getItem(1).cast("bigint").alias("structure"),
+        F.floor(F.array_min(F.transform("configs", lambda c: c["pos"])) / logs.CONFIGS_PER_DOCUMENT).cast("bigint").alias("part"),
+        "cid", F.size("configs").cast("bigint").alias("n_configs"), F.array_min(ids_).alias("first_config"),
+        F.array_max(ids_).alias("last_config"), r6(F.array_max(F.transform("configs", lambda c: c["loss"])), "best_score"), "budget")
 
 
 @query("read_benchmark", "SELECT task, system, fold, metric, round(result, 12) AS result FROM bench")

@@ -259,12 +259,27 @@ def random_structures(spark, d):
     return out.select("config", "depth", F.array_join("steps", ">").alias("steps"))
 
 
-@query("impute_conditional")
+_KEY = ", ".join(f"CAST({c} AS VARCHAR)" for c in ("space_id", "quantity", "discount", "flag", "loss"))
+
+
+@query("impute_conditional", f"""
+    WITH q AS (SELECT space_id, quantity, discount, flag, loss, CASE WHEN flag <> 1 THEN tax END AS tax, count(*) AS copies
+               FROM config_rows GROUP BY ALL),
+    don AS (SELECT space_id, tax, row_number() OVER (PARTITION BY space_id ORDER BY quantity, discount, flag, loss, tax) - 1 AS no,
+                   count(*) OVER (PARTITION BY space_id) AS m FROM q WHERE tax IS NOT NULL),
+    sz AS (SELECT space_id, any_value(m) AS m FROM don GROUP BY space_id),
+    ask AS (SELECT q.*, CAST(floor((CAST('0x' || substr(md5(concat_ws('|', '2tax', {_KEY})), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 * m) AS BIGINT) AS no
+            FROM q LEFT JOIN sz USING (space_id) WHERE tax IS NULL)
+    SELECT space_id, round(quantity, 6) AS quantity, round(discount, 6) AS discount, flag, round(loss, 9) AS loss, round(tax, 6) AS tax, copies FROM q WHERE tax IS NOT NULL
+    UNION ALL
+    SELECT a.space_id, round(a.quantity, 6) AS quantity, round(a.discount, 6) AS discount, a.flag, round(a.loss, 9) AS loss, round(d.tax, 6) AS tax, a.copies
+    FROM ask a JOIN don d ON a.space_id = d.space_id AND a.no = d.no""")
 def impute_conditional(spark, d):
     """The tax parameter is active only for two of the three categories."""
     rows = V.configs(spark, d).withColumn("tax", F.when(F.col("flag") != 1.0, F.col("tax")))
     distinct = rows.groupBy("space_id", *V.DIMS, "loss").agg(F.sum("copies").alias("copies"))
-    return T.impute_conditional(distinct, DIMS, ["space_id"], ["space_id", "quantity", "discount", "flag", "loss"], seed=2)
+    out = T.impute_conditional(distinct, DIMS, ["space_id"], ["space_id", "quantity", "discount", "flag", "loss"], seed=2)
+    return out.select("space_id", r6("quantity"), r6("discount"), "flag", r6("loss", digits=9), r6("tax"), "copies")
 
 
 @query("propose_configs")
