@@ -41,7 +41,7 @@ def edge_frequency(steps: DataFrame, per: str = "edges", start: int = 0) -> Data
     pairs = edges(steps, start)
     counted = pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
     if per == "chains":
-        total = steps.agg(F.count_distinct("chain")).scalar()
+        total = steps.agg(F.count_if(F.col("pos") == 0)).scalar()  # every chain has one first step
     elif per == "edges":
         lengths = steps.groupBy("chain").agg((F.max("pos") + 1 - start).alias("left"))
         total = lengths.agg(F.sum(F.greatest(F.col("left") - 1, F.lit(0)) + (F.col("left") == 1).cast("int"))).scalar()

@@ -252,7 +252,10 @@ def impute_conditional(rows: DataFrame, dims: Sequence[Dim], keys: Sequence[str]
     for c in cols:
         source = source.withColumn(c, F.when(F.isnan(c), None).otherwise(F.col(c)))
     out = source
+    gaps = source.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     for d in dims:
+        if not gaps[d.name]:
+            continue
         donors = source.where(F.col(d.name).isNotNull())
         numbered = skew.row_numbers(donors.select(*keys, *ident, *cols), keys, ident, "_no").select(
             *keys, "_no", *[F.col(c).alias(f"_don_{c}") for c in cols])

@@ -117,7 +117,7 @@ def node_in_weight(spark, d):
 def prune_edges(spark, d):
     steps = S.prefixed_steps(V.chain_steps(spark, d))
     graph = S.edge_frequency(steps, per="chains")
-    n_chains = V.chain_steps(spark, d).agg(F.count_distinct("chain")).scalar()
+    n_chains = V.chain_steps(spark, d).agg(F.count_if(F.col("pos") == 0)).scalar()
     return S.prune_edges(graph, F.lit(3.0) / n_chains).select("src", "dst", "n", r6("weight"))
 
 
