@@ -35,11 +35,16 @@ def pivots_of(store: DataFrame, most: int = 128) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances between the rows of two blocks (already weighted)."""
+    """All distances between the rows of two blocks (already weighted), exact up to `doubt`."""
     d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(d2, 0.0))
 
 
+def doubt(a: np.ndarray, b: np.ndarray) -> float:
+    """How far a distance from the matrix form may be off; it grows with the length of the vectors."""
+    return 1e-7 * (1.0 + np.sqrt((a * a).sum(1).max()) + np.sqrt((b * b).sum(1).max()))
+
+
 def _scaled(vecs, root: np.ndarray | None) -> np.ndarray:
     x = np.array(vecs.tolist(), dtype=float)
     return x if root is None else x * root
@@ -69,27 +74,25 @@ def _route(queries: DataFrame, pivots: np.ndarray, root, within: float | None, g
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = distances(_scaled(pdf["vec"], root), scaled)
+            vecs = _scaled(pdf["vec"], root)
+            d, slack = distances(vecs, scaled), doubt(vecs, scaled)
             out_row, out_cell = [], []
-            for i, cells in enumerate(pdf["cells"]):
-                ids = np.array([c["cell"] for c in cells])
-                n = np.array([c["n"] for c in cells])
-                near, far = np.array([c["near"] for c in cells]), np.array([c["far"] for c in cells])
-                to = d[i, ids]
-                limit = np.inf if within is None else within
+            for _, rows in pdf.groupby("space", sort=False).indices.items():
+                cells = pdf["cells"].iloc[rows[0]]
+                ids, n, near, far = (np.array([c[k] for c in cells]) for k in ("cell", "n", "near", "far"))
+                to = d[np.ix_(rows, ids)]
+                limit = np.full(len(rows), np.inf if within is None else within)
                 if guaranteed:
-                    sure = to + (far if exclude_same else near)
-                    if exclude_same:
-                        sure = np.where(n >= 2, sure, np.inf)
-                    limit = min(limit, sure.min())
-                lower = np.maximum(np.maximum(to - far, near - to), 0.0)
-                lower = np.maximum(lower, (to - to.min()) / 2.0)
-                for c in ids[lower <= limit + 1e-6]:
-                    out_row.append(i)
-                    out_cell.append(c)
-            if out_row:
+                    sure = np.where(n >= 2, to + far, np.inf) if exclude_same else to + near
+                    limit = np.minimum(limit, sure.min(1))
+                lower = np.maximum(np.maximum(to - far, near - to), (to - to.min(1)[:, None]) / 2.0)
+                r, c = np.nonzero(lower <= limit[:, None] + 4 * slack)
+                out_row.append(rows[r])
+                out_cell.append(ids[c])
+            out_row, out_cell = np.concatenate(out_row), np.concatenate(out_cell)
+            if len(out_row):
                 out = pdf.drop(columns=["cells"]).iloc[out_row].reset_index(drop=True)
-                yield out.assign(cell=np.array(out_cell, dtype="int32"))[names]
+                yield out.assign(cell=out_cell.astype("int32"))[names]
 
     return queries.mapInPandas(visit, schema)
 
@@ -139,7 +142,7 @@ def search(queries: DataFrame, store: DataFrame, weights: Sequence[float] | None
             return empty
         s = s.sort_values(["ord", "key"]).reset_index(drop=True)
         a, b = _scaled(q["vec"], root), _scaled(s["vec"], root)
-        parts = []
+        slack, parts = doubt(a, b), []
         for lo in range(0, len(q), 512):
             hi = min(lo + 512, len(q))
             d = distances(a[lo:hi], b)
@@ -149,24 +152,30 @@ def search(queries: DataFrame, store: DataFrame, weights: Sequence[float] | None
             if earlier:
                 ok &= s["ord"].to_numpy()[None, :] < q["ord"].to_numpy()[lo:hi, None]
             if within is not None:
-                ok &= d <= within + 1e-6
+                ok &= d <= within + slack
             d = np.where(ok, d, np.inf)
-            for i in range(hi - lo):
-                # the matrix form is inexact near its minimum: decide among the close ones by plain differences
-                near = np.flatnonzero(np.isfinite(d[i])) if first else np.flatnonzero(d[i] <= d[i].min() + 1e-6)
-                near = near[np.isfinite(d[i][near])]
-                if not len(near):
-                    continue
-                exact = np.sqrt(((a[lo + i] - b[near]) ** 2).sum(1))
-                if within is not None:
-                    near, exact = near[exact <= within + SLACK], exact[exact <= within + SLACK]
-                    if not len(near):
-                        continue
-                j = 0 if first else int(np.flatnonzero(exact <= exact.min() + 1e-12)[0])
-                parts.append((lo + i, near[j], exact[j]))
+            # the matrix form is inexact: whatever is in doubt is decided by plain differences
+            if first:
+                sure = d <= within - slack
+                at = np.where(sure.any(1), sure.argmax(1), len(s))
+                maybe = np.isfinite(d) & ~sure & (np.arange(len(s))[None, :] < at[:, None])
+                r, c = np.nonzero(maybe)
+                found = at < len(s)
+                r, c = np.concatenate([r, np.flatnonzero(found)]), np.concatenate([c, at[found]])
+            else:
+                r, c = np.nonzero(np.isfinite(d) & (d <= d.min(1)[:, None] + 2 * slack))
+            exact = np.sqrt(((a[lo + r] - b[c]) ** 2).sum(1))
+            if within is not None:
+                kept = exact <= within + SLACK
+                r, c, exact = r[kept], c[kept], exact[kept]
+            order = np.lexsort((c, r)) if first else np.lexsort((c, np.round(exact, 12), r))
+            r, c, exact = r[order], c[order], exact[order]
+            best = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.array([], dtype=int)
+            parts.append((lo + r[best], c[best], exact[best]))
+        parts = [p for p in parts if len(p[0])]
         if not parts:
             return empty
-        qi, si, dist = (np.array(x) for x in zip(*parts))
+        qi, si, dist = (np.concatenate(x) for x in zip(*parts))
         qq, ss = q.iloc[qi], s.iloc[si]
         return pd.DataFrame({
             "space": qq["space"].to_numpy(), "key": qq["key"].to_numpy(), "ord": qq["ord"].to_numpy(),
