@@ -204,6 +204,13 @@ def test_failed_models_are_marked(spark):
     assert got[1] == (None, True) and not got[0][1]
 
 
+def test_a_missing_prediction_is_an_error(spark):
+    preds = spark.createDataFrame([(0, 1, 1, [0.6, 0.4]), (1, 1, 1, [0.5, 0.5]), (0, 2, 1, [0.6, 0.4])], "model_id int, row_id int, y int, probs array<double>")
+    bag = preds.select("model_id").distinct().withColumn("bag", F.lit(0))
+    with pytest.raises(Exception, match="no prediction for row 2"):
+        ensemble.greedy_selection(preds, bag, (0, 1))
+
+
 def vectors(n=160, dims=4, seed=0):
     rng = np.random.default_rng(seed)
     v = np.round(rng.random((n, dims)), 2)

@@ -32,14 +32,21 @@ def model_bags(models: DataFrame, n_bags: int = 4, share: float = 0.75, seed: in
     return placed.where(F.col("_rn") <= F.floor(n * share)).select("bag", "model_id")
 
 
-def wide_predictions(preds: DataFrame) -> DataFrame:
+def wide_predictions(preds: DataFrame, n_models: int | None = None) -> DataFrame:
     """One row per data row with all models' probabilities, in model order.
 
-    The array is as long as the model library.
+    The array is as long as the model library. With `n_models`, a row some model has
+    no prediction for is an error: its array would not line up with the models.
     """
-    return preds.groupBy("row_id").agg(
+    wide = preds.groupBy("row_id").agg(
         F.first("y").alias("y"),
         F.transform(F.array_sort(F.collect_list(F.struct("model_id", "probs"))), lambda s: s["probs"]).alias("library"))
+    if n_models is None:
+        return wide
+    whole = (F.size("library") == n_models) & ~F.exists("library", lambda p: p.isNull())
+    text = F.concat(F.lit("a model has no prediction for row "), F.col("row_id").cast("string"))
+    return wide.withColumn("library", F.when(whole, F.col("library")).otherwise(
+        F.raise_error(text).cast("array<array<double>>")))
 
 
 def round_losses(wide: DataFrame, models: Sequence, classes: Sequence, metric: str,
@@ -100,7 +107,7 @@ def greedy_selection(preds: DataFrame, bags: DataFrame, classes: Sequence, metri
         members.setdefault(r["bag"], []).append(r["model_id"])
     members = {b: sorted(ms) for b, ms in sorted(members.items())}
 
-    wide = wide_predictions(preds)
+    wide = wide_predictions(preds, len(models))
     if metric == "logloss":
         slot = F.coalesce(*[F.when(F.col("y") == F.lit(c), F.lit(i)) for i, c in enumerate(classes)])
         wide = wide.select(F.transform("library", lambda p: F.get(p, slot)).alias("truth"))
