@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,19 +24,22 @@ def local_session(cores: str = "*", name: str = "tuneloom") -> SparkSession:
     )
 
 
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a local master may leave it unset; it then uses a folder of this process that goes with the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="tuneloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _OWN:
+        _OWN.append(tempfile.TemporaryDirectory(prefix="tuneloom-"))
+    return _OWN[0].name
 
 
 def new_path(spark: SparkSession, label: str) -> str:
