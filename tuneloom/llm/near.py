@@ -37,13 +37,11 @@ from tuneloom.session import shuffle_width
 THRESHOLD = 0.8
 RECALL = 0.9999
 WIDTH = 64
-BUCKET = 256
-BLOCK = 512
+BUCKET = 2048
+BLOCK = 1024
 MAX_DEPTH = 6
 #: Share of common tokens from which a node is compared at once instead of split.
 DENSE = 0.4
-#: Tokens that an inner node samples for each that the root of a run samples.
-INNER_RATE = 3.0
 #: Standard deviations by which the embedded similarity of a pair may fall short before the pair is dropped.
 SLACK = 5.5
 
@@ -51,13 +49,15 @@ _SEED = np.uint64(0x5851F42D4C957F2D)
 _COEFFICIENTS = mix(np.arange(1, 2 * WIDTH + 1, dtype=np.uint64) * _SEED).astype(np.uint32).reshape(2, WIDTH) | np.uint32(1)
 
 
-def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Runs after which a pair at the threshold, two levels deep, has met with probability `recall`.
+def runs_needed(depth: int, recall: float = RECALL) -> int:
+    """Runs after which a pair at the threshold has met with probability `recall` in a leaf of that depth.
 
-    Shared children of a node are close to Poisson: mean 1 at the root and `INNER_RATE` below.
+    The children of a node that both sets of such a pair have are close to Poisson with mean 1.
     """
-    inner = 1 - math.exp(-INNER_RATE)
-    return math.ceil(math.log(1 - recall) / math.log(math.exp(-inner)))
+    meet = 1.0
+    for _ in range(depth):
+        meet = 1 - math.exp(-meet)
+    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
 # Step 1: sets and their embedding
@@ -134,23 +134,41 @@ def _dense_nodes(members: DataFrame) -> DataFrame:
     return counts.groupBy("path").agg(share.alias("share")).where(F.col("share") >= DENSE).select("path")
 
 
-def leaves(sets: DataFrame, runs: int, threshold: float = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
-    """(path, set_id, n) of every leaf with two sets or more."""
-    rate = 1 / threshold
-    paths = sets.select("set_id", "tokens").mapInArrow(_roots(range(runs), rate), _PATHS)
-    done = None
+def _walk(sets: DataFrame, runs: range, rate: float, bucket: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(path, set_id, n) of the leaves of these runs with two sets or more, the sets of split nodes, the depth reached."""
+    paths = sets.select("set_id", "tokens").mapInArrow(_roots(runs, rate), _PATHS)
+    done = split = None
     for depth in range(1, MAX_DEPTH + 1):
         sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         level = written(paths.join(sizes, "path"), "near-level")
         big = level.where(F.col("n") > bucket)
         if depth == MAX_DEPTH or big.isEmpty():
-            return level if done is None else done.unionByName(level)
+            return level if done is None else done.unionByName(level), split, depth
         members = written(big.join(sets.select("set_id", "tokens"), "set_id"), "near-big")
         dense = written(_dense_nodes(members), "near-dense")
         ready = level.where(F.col("n") <= bucket).unionByName(big.join(dense, "path", "left_semi"))
         done = ready if done is None else done.unionByName(ready)
-        paths = members.join(dense, "path", "left_anti").select("path", "set_id", "tokens").mapInArrow(_inner(INNER_RATE * rate), _PATHS)
-    return done
+        sparse = written(members.join(dense, "path", "left_anti").select("path", "set_id", "tokens"), "near-split")
+        if sparse.isEmpty():
+            return done, split, depth
+        split = sparse.select("set_id").distinct() if split is None else split
+        paths = sparse.mapInArrow(_inner(rate), _PATHS)
+    raise AssertionError("the last level returns")
+
+
+def leaves(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
+    """(path, set_id, n) of the leaves of as many runs as the target recall takes.
+
+    Sets that met in leaves of the first level need the fewest runs. Sets of split nodes walk again until the runs
+    suffice for the depth that their leaves reached.
+    """
+    have = runs_needed(1, recall)
+    found, split, depth = _walk(sets, range(have), 1 / threshold, bucket)
+    while split is not None and have < (need := runs_needed(depth, recall)):
+        again = written(sets.join(split, "set_id", "left_semi"), "near-again")
+        more, _, reached = _walk(again, range(have, need), 1 / threshold, bucket)
+        found, have, depth = found.unionByName(more), need, max(depth, reached)
+    return found
 
 
 # Step 3: pairs inside leaves
@@ -352,7 +370,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     known = prints.where("doc_id is not null and size > 0")
     sets = written(known.groupBy("print1", "print2").agg(F.min(F.struct("doc_id", "tokens")).alias("least")).select(
         "print1", "print2", F.col("least.doc_id").alias("set_id"), F.col("least.tokens").alias("tokens")), "near-sets")
-    found = written(leaves(sets, runs_needed(threshold, recall), threshold, bucket), "near-leaves")
+    found = written(leaves(sets, threshold, recall, bucket), "near-leaves")
     least = max(1, math.floor(WIDTH * threshold - SLACK * math.sqrt(WIDTH * threshold * (1 - threshold))))
     lists = found.groupBy("set_id").agg(F.array_sort(F.collect_set("path")).alias("earlier"))
     # a set is in few leaves, however many sets share a leaf
