@@ -40,8 +40,11 @@ WIDTH = 64
 BUCKET = 2048
 BLOCK = 1024
 MAX_DEPTH = 6
+#: Ids, at about 16 bytes each, that may be broadcast.
+BROADCAST_IDS = 1_000_000
 #: Share of common tokens from which a node is compared at once instead of split.
 DENSE = 0.4
+DENSE_PLACES = 4
 #: Standard deviations by which the embedded similarity of a pair may fall short before the pair is dropped.
 SLACK = 5.5
 
@@ -126,11 +129,11 @@ def _inner(rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def _dense_nodes(members: DataFrame) -> DataFrame:
-    """Nodes whose sets agree in most tokens: mean over eight places of the chance that two sets share the token."""
-    words = [F.substring("tokens", 4 * p + 1, 4) for p in range(0, WIDTH, WIDTH // 8)]
+    """Nodes whose sets agree in most tokens: mean over some places of the chance that two sets share the token."""
+    words = [F.substring("tokens", 4 * p + 1, 4) for p in range(0, WIDTH, WIDTH // DENSE_PLACES)]
     long = members.select("path", "n", F.posexplode(F.array(*words)).alias("place", "token"))
     counts = long.groupBy("path", "place", "token").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    share = F.sum((F.col("c") / F.col("n")) ** 2) / 8
+    share = F.sum((F.col("c") / F.col("n")) ** 2) / DENSE_PLACES
     return counts.groupBy("path").agg(share.alias("share")).where(F.col("share") >= DENSE).select("path")
 
 
@@ -380,8 +383,10 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     width = shuffle_width(spark)
     spread = lambda df: df.repartitionByRange(width, *keys).sortWithinPartitions(*keys)
     need = written(spread(rows).mapInArrow(_needed(least), _NEED), "near-needed")
-    ids = need.select("set_id").distinct()
-    whole = texts.join(ids.withColumnRenamed("set_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("set_id"), "text").dropDuplicates(["set_id"])
+    ids = written(need.select(F.col("set_id").alias("doc_id")).distinct(), "near-ids")
+    # up to the bound the ids go to the texts, beyond it the texts are dealt by id
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    whole = texts.join(ids, "doc_id").select(F.col("doc_id").alias("set_id"), "text").dropDuplicates(["set_id"])
     exact = written(whole.mapInArrow(_shingle_rows, "set_id long, shingles binary"), "near-shingles")
     links = written(spread(need.join(exact, "set_id")).mapInArrow(_verify(least, threshold), _LINKS), "near-links")
     groups = components(links.select("set_id", "root"))
