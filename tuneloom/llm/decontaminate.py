@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,10 +194,28 @@ def _merge(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, with all their columns."""
-    hit = find_spans(docs, benchmark, span).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+def _without_hits(symbols: dict[bytes, int], phrases: list[tuple[np.ndarray, list[list[str]]]], shard_symbols: int, text: int) -> Callable:
+    schema = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string()))])
+    find = _find(symbols, phrases, shard_symbols, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(text)], ["row", "text"])
+            hit = [n > 0 for found in find(iter([rows])) for n in pa.compute.list_value_length(found.column("spans")).to_pylist()]
+            yield batch.filter(pa.array([not h for h in hit], pa.bool_()))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_windows: int = BLOCK_WINDOWS, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
+    """The documents without any occurrence of a benchmark window, with all their columns.
+
+    Each block of windows filters what the block before it left; a shard is a batch of rows or a part of it.
+    """
+    text = docs.columns.index("text")
+    for block in phrase_blocks(benchmark, span, block_windows):
+        docs = docs.mapInArrow(_without_hits(block.symbols, block.frozen(), shard_symbols, text), docs.schema)
+    return docs
 
 
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str:

@@ -128,16 +128,20 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in rows], _unit(np.array([r["value"] for r in rows], dtype=np.float64).reshape(-1, DIMENSIONS)).astype(np.float32)
 
 
+def _judged(texts: list[str], langs: list[str], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Language (its number, `len(langs)` for none) and score of each text."""
+    found = _unit(bundle(texts))
+    cosines = found @ vectors.T if len(langs) else np.zeros((len(found), 1), np.float32)
+    best = np.where(~found.any(axis=1) | (not langs), len(langs), np.argmax(cosines, axis=1))
+    return best, np.where(best == len(langs), 0.0, np.clip(cosines.max(axis=1).astype(np.float64), 0.0, 1.0))
+
+
 def _predict(langs: list[str], vectors: np.ndarray, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = np.array([*langs, UNKNOWN], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            found = _unit(bundle(batch.column("text").to_pylist()))
-            empty = ~found.any(axis=1)
-            cosines = found @ vectors.T if len(langs) else np.zeros((len(found), 1), np.float32)
-            best = np.where(empty | (not langs), len(langs), np.argmax(cosines, axis=1))
-            scores = np.where(best == len(langs), 0.0, np.clip(cosines.max(axis=1).astype(np.float64), 0.0, 1.0))
+            best, scores = _judged(batch.column("text").to_pylist(), langs, vectors)
             yield pa.RecordBatch.from_arrays([
                 *batch.drop_columns(["text"]).columns, pa.array(names[best], pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
@@ -153,5 +157,15 @@ def identify(docs: DataFrame, learn: DataFrame) -> DataFrame:
 
 def known_language(docs: DataFrame, learn: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents in a learned language, with all their columns; text without letters or unlike every prototype goes."""
-    gone = identify(docs, learn).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    return docs.join(gone.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    langs, vectors = prototypes(learn)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(text)], ["text"])
+            judged = [_judged(part.column("text").to_pylist(), langs, vectors) for part in slices([texts], "text", SLICE_BYTES)]
+            if judged:
+                best, scores = (np.concatenate(x) for x in zip(*judged, strict=True))
+                yield batch.filter(pa.array((best < len(langs)) & (scores >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
