@@ -65,8 +65,11 @@ def tokens_of(url: Column) -> Column:
     suffix = F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
     names = F.transform(F.split(query, "&"), lambda x: F.split(x, "=")[0])
     kinds = (("host:", labels), ("word:", words), ("path:", folders), ("type:", F.array(suffix)), ("query:", names))
-    parts = [F.transform(F.filter(values, lambda x: F.length(x) > 0), lambda x, k=kind: F.concat(F.lit(k), x)) for kind, values in kinds]
-    return F.array_distinct(F.concat(*parts))
+    return F.array_distinct(F.concat(*(_named(kind, values) for kind, values in kinds)))
+
+
+def _named(kind: str, values: Column) -> Column:
+    return F.transform(F.filter(values, lambda x: F.length(x) > 0), lambda x: F.concat(F.lit(kind), x))
 
 
 def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, rows: int = LEAST_ROWS, confidence: float = LEAST_CONFIDENCE, most: int = LEARN_URLS, tokens: int = LEARN_TOKENS) -> DataFrame:
