@@ -56,6 +56,8 @@ ASIDE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 MAIN_ELEMENTS = frozenset({"article", "main"})
+#: A core that is a part of the running text grows to the container around it.
+CONTAINERS = MAIN_ELEMENTS | {"body", "div", "section", "td"}
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<(?=[a-zA-Z/!])[^>]*+\Z""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|\b(hidden)\b(?!\s*=\s*["']?until)""", re.I)
@@ -202,6 +204,8 @@ def _chosen(tree: Tree) -> list[bool]:
     density, total = densities(tree)
     n = len(tree.names)
     core = max(range(n), key=lambda k: (total[k], -k))
+    while tree.names[core] not in CONTAINERS:
+        core = tree.parents[core]
     path, node = [], core
     while node >= 0:
         path.append(node)
