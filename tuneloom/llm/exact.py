@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneloom.llm.text import as_bytes, slices, written
+from tuneloom.llm.text import as_bytes, free_name, slices, written
 from tuneloom.session import shuffle_width
 
 TABLE_BYTES = 64 << 20
@@ -199,10 +199,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of equal texts the one with the largest doc_id."""
     groups = written(exact_groups(docs).select("doc_id", "kept", "text_sha256"), "exact-kept")
     by_id = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("stays"))
-    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = docs.join(by_id.where("n > 1 or not stays").select(F.col("doc_id").alias("_id")), same_id, "left_anti")
+    other, sha, kept_sha = (free_name(docs, name) for name in ("exact_id", "exact_sha", "exact_kept_sha"))
+    same_id = F.col("doc_id").eqNullSafe(F.col(other))
+    ids = lambda which: by_id.where(which).select(F.col("doc_id").alias(other))
+    once = docs.join(ids("n > 1 or not stays"), same_id, "left_anti")
     # rows that share a doc_id are told apart by their text
-    again = docs.join(by_id.where("n > 1 and stays").select(F.col("doc_id").alias("_id")), same_id, "left_semi")
-    again = again.withColumn("_sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256))
-    stay = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
-    return once.unionByName(again.join(stay, same_id & (F.col("_sha") == F.col("_kept_sha")), "left_semi").dropDuplicates(["_sha"]).drop("_sha"))
+    again = docs.join(ids("n > 1 and stays"), same_id, "left_semi")
+    again = again.withColumn(sha, F.sha2(F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256))
+    stay = groups.where("kept").select(F.col("doc_id").alias(other), F.col("text_sha256").alias(kept_sha))
+    return once.unionByName(again.join(stay, same_id & (F.col(sha) == F.col(kept_sha)), "left_semi").dropDuplicates([sha]).drop(sha))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneloom.llm.text import mix, shingles, slices, written
+from tuneloom.llm.text import free_name, mix, shingles, slices, written
 from tuneloom.session import shuffle_width
 
 THRESHOLD = 0.8
@@ -401,5 +401,6 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that stay, with all their columns: of each group the one with the smallest doc_id."""
-    found = near_links(docs, threshold).where("doc_id != class_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(written(found, "near-dropped").distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
+    other = free_name(docs, "near_id")
+    found = near_links(docs, threshold).where("doc_id != class_id").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(written(found, "near-dropped"), F.col("doc_id") == F.col(other), "left_anti")
