@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneloom.llm.text import as_bytes, free_name, slices, written
+from tuneloom.llm.text import as_bytes, free_name, sent_if_few, slices, written
 from tuneloom.session import shuffle_width
 
 TABLE_BYTES = 64 << 20
@@ -201,10 +201,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     by_id = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("stays"))
     other, sha, kept_sha = (free_name(docs, name) for name in ("exact_id", "exact_sha", "exact_kept_sha"))
     same_id = F.col("doc_id").eqNullSafe(F.col(other))
-    ids = lambda which: by_id.where(which).select(F.col("doc_id").alias(other))
-    once = docs.join(ids("n > 1 or not stays"), same_id, "left_anti")
+    gone = written(by_id.where("n > 1 or not stays").select(F.col("doc_id").alias(other), (F.col("n") > 1).alias("repeated"), "stays"), "exact-gone")
+    once = docs.join(sent_if_few(gone.select(other)), same_id, "left_anti")
+    repeated = gone.where("repeated and stays").select(other)
+    if repeated.isEmpty():
+        return once
     # rows that share a doc_id are told apart by their text
-    again = docs.join(ids("n > 1 and stays"), same_id, "left_semi")
+    again = docs.join(sent_if_few(repeated), same_id, "left_semi")
     again = again.withColumn(sha, F.sha2(F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256))
     stay = groups.where("kept").select(F.col("doc_id").alias(other), F.col("text_sha256").alias(kept_sha))
     return once.unionByName(again.join(stay, same_id & (F.col(sha) == F.col(kept_sha)), "left_semi").dropDuplicates([sha]).drop(sha))

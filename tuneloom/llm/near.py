@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneloom.llm.text import free_name, mix, shingles, slices, written
+from tuneloom.llm.text import free_name, mix, sent_if_few, shingles, slices, written
 from tuneloom.session import shuffle_width
 
 THRESHOLD = 0.8
@@ -40,8 +40,6 @@ WIDTH = 64
 BUCKET = 2048
 BLOCK = 1024
 MAX_DEPTH = 6
-#: Ids, at about 16 bytes each, that may be broadcast.
-BROADCAST_IDS = 1_000_000
 #: Share of common tokens from which a node is compared at once instead of split.
 DENSE = 0.4
 DENSE_PLACES = 4
@@ -383,9 +381,8 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     width = shuffle_width(spark)
     spread = lambda df: df.repartitionByRange(width, *keys).sortWithinPartitions(*keys)
     need = written(spread(rows).mapInArrow(_needed(least), _NEED), "near-needed")
-    ids = written(need.select(F.col("set_id").alias("doc_id")).distinct(), "near-ids")
-    # up to the bound the ids go to the texts, beyond it the texts are dealt by id
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    # up to a bound the ids go to the texts, beyond it the texts are dealt by id
+    ids = sent_if_few(written(need.select(F.col("set_id").alias("doc_id")).distinct(), "near-ids"))
     whole = texts.join(ids, "doc_id").select(F.col("doc_id").alias("set_id"), "text").dropDuplicates(["set_id"])
     exact = written(whole.mapInArrow(_shingle_rows, "set_id long, shingles binary"), "near-shingles")
     links = written(spread(need.join(exact, "set_id")).mapInArrow(_verify(least, threshold), _LINKS), "near-links")
@@ -403,4 +400,4 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that stay, with all their columns: of each group the one with the smallest doc_id."""
     other = free_name(docs, "near_id")
     found = near_links(docs, threshold).where("doc_id != class_id").select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(written(found, "near-dropped"), F.col("doc_id") == F.col(other), "left_anti")
+    return docs.join(sent_if_few(written(found, "near-dropped")), F.col("doc_id") == F.col(other), "left_anti")

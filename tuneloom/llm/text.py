@@ -8,10 +8,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tuneloom.session import new_path
 
 SLICE_BYTES = 4 << 20
+#: Ids, at about 16 bytes each, that may be broadcast.
+BROADCAST_IDS = 1_000_000
 
 #: Words are runs of digits, ASCII letters and bytes above 0x7F of the text with A-Z lower-cased.
 LOWER = bytes(range(256)).lower()
@@ -41,6 +44,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def sent_if_few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of ids, marked to go to every executor where its rows were counted to be at most `most`."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batches whose texts hold about `limit` bytes, one row at least; null texts become empty."""
     for batch in batches:
