@@ -113,17 +113,20 @@ def truncated_svd(df: DataFrame, n_features: int, k: int, features: str = "featu
 
 
 def quantile_transform(df: DataFrame, cols: Sequence[str], n: int = 100) -> DataFrame:
-    """Numbers to their quantile in [0, 1]."""
+    """Numbers to their quantile in [0, 1]; null and NaN become null. Equal cut points count once."""
     model = FT.QuantileDiscretizer(
         numBuckets=n, inputCols=list(cols), outputCols=[f"{c}_q" for c in cols], handleInvalid="keep").fit(df)
     out = model.transform(df)
-    for c in cols:
-        out = out.withColumn(f"{c}_q", F.col(f"{c}_q") / (n - 1))
+    splits = model.getSplitsArray() if len(cols) > 1 else [model.getSplits()]
+    for c, cuts in zip(cols, splits, strict=True):
+        out = out.withColumn(f"{c}_q", F.when(F.col(c).isNotNull() & ~F.isnan(c), F.col(f"{c}_q") / max(1, len(cuts) - 2)))
     return out
 
 
 def equal_width_bins(df: DataFrame, col: str, n: int) -> DataFrame:
     lo, hi = df.agg(F.min(col), F.max(col)).first()
+    if lo is None or lo == hi:
+        return df.withColumn(f"{col}_bin", F.when(F.col(col).isNotNull(), 0.0))
     cuts = [-float("inf"), *[lo + (hi - lo) * i / n for i in range(1, n)], float("inf")]
     return FT.Bucketizer(splits=cuts, inputCol=col, outputCol=f"{col}_bin").transform(df)
 

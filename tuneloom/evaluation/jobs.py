@@ -137,7 +137,7 @@ def evaluate_candidates(task: Task, candidates: Sequence[Candidate], cutoff: flo
                 future.cancel()
                 results.append((*head, "TIMEOUT", *worst, time.monotonic() - begin, None, "time limit"))
             except Exception as ex:  # any failure of a candidate is a result of the search
-                results.append((*head, "CRASHED", *worst, None, None, str(ex).splitlines()[0][:200] if str(ex) else type(ex).__name__))
+                results.append((*head, "CRASHED", *worst, None, None, str(ex) or type(ex).__name__))
     finally:
         pool.shutdown(wait=cutoff is None, cancel_futures=True)
         train.unpersist()

@@ -257,7 +257,8 @@ def impute_conditional(rows: DataFrame, dims: Sequence[Dim], keys: Sequence[str]
         if not gaps[d.name]:
             continue
         donors = source.where(F.col(d.name).isNotNull())
-        numbered = skew.row_numbers(donors.select(*keys, *ident, *cols), keys, ident, "_no").select(
+        place = list(dict.fromkeys([*ident, *cols]))  # donors that differ in a parameter only have an order too
+        numbered = skew.row_numbers(donors.select(*dict.fromkeys([*keys, *place])), keys, place, "_no").select(
             *keys, "_no", *[F.col(c).alias(f"_don_{c}") for c in cols])
         sizes = donors.groupBy(*keys).agg(F.count("*").alias("_size"))
         full = out.where(F.col(d.name).isNotNull())

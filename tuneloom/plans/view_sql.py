@@ -14,8 +14,8 @@ VIEW_SQL: dict[str, str] = {
                CAST(structure % 4 AS INTEGER) AS rung
         FROM runs""",
     "chain_steps": """
-        SELECT concat_ws('/', CAST(user_id AS VARCHAR), day, CAST(rn // 10 AS VARCHAR)) AS chain,
-               user_id AS structure, CAST(rn % 10 AS INTEGER) AS pos, event_type AS step, -value/500 AS loss
+        SELECT concat_ws('/', CAST(user_id AS VARCHAR), day) AS chain,
+               user_id AS structure, CAST(rn AS INTEGER) AS pos, event_type AS step, -value/500 AS loss
         FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day,
                      row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) - 1 AS rn
               FROM events)""",
@@ -52,7 +52,7 @@ VIEW_SQL: dict[str, str] = {
         SELECT m AS model_id, row_id, y, 0.5e0*p + 0.5e0*(((row_id*(2*m+1)) % 97 + 1)/99e0) AS p
         FROM preds_bin, (SELECT CAST(unnest(generate_series(1, 10)) AS INTEGER) AS m)""",
     "vectors": """
-        SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:44]] AS mf, label FROM embeddings""",
+        SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS mf, label FROM embeddings""",
     "config_rows": """
         SELECT l_suppkey AS space_id, l_quantity/50 AS quantity, l_discount*10 AS discount, l_tax*12 AS tax,
                CASE l_returnflag WHEN 'A' THEN 0e0 WHEN 'N' THEN 1e0 ELSE 2e0 END AS flag,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tuneloom.operators import skew
 
-MAX_STEPS = 10
 SUCCESS_TYPES = ("purchase", "click", "view")
 N_MODELS = 10
 
@@ -58,28 +57,23 @@ def structures(spark, folder) -> DataFrame:
 
 
 def chain_steps(spark, folder) -> DataFrame:
-    """Steps in long form: (chain, pos, step, loss). A chain has at most ten steps.
-
-    The chain key is (structure, day, part); a busy day is continued in the next part,
-    so no chain grows with the data.
-    """
+    """Steps in long form: (chain, pos, step, loss). A chain is a structure's day, whole."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ev = table(spark, folder, "events").select(
         "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value")
     ev = ev.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     placed = skew.row_numbers(ev, ["user_id", "day"], ["ts", "event_id"], "rn")
-    part = F.floor(F.col("rn") / MAX_STEPS).cast("long")
     return placed.select(
-        F.concat_ws("/", F.col("user_id").cast("string"), "day", part.cast("string")).alias("chain"),
+        F.concat_ws("/", F.col("user_id").cast("string"), "day").alias("chain"),
         F.col("user_id").alias("structure"),
-        (F.col("rn") % MAX_STEPS).cast("int").alias("pos"),
+        F.col("rn").cast("int").alias("pos"),
         F.col("event_type").alias("step"),
         (-F.col("value") / 500).alias("loss"),
     )
 
 
 def pipelines(spark, folder) -> DataFrame:
-    """One row per chain with its steps and their times as arrays (at most ten) and the loss of the last step."""
+    """One row per chain with its steps and their times as arrays and the loss of the last step."""
     ordered = F.sort_array(F.collect_list(F.struct("pos", "step", (F.col("loss") * -500).alias("time"))))
     return chain_steps(spark, folder).groupBy("chain", "structure").agg(
         ordered.alias("_s"), F.max_by("loss", "pos").alias("reward"),
@@ -166,13 +160,10 @@ def preds(spark, folder) -> DataFrame:
     return long.select("model_id", "row_id", "y", (0.5 * F.col("p") + 0.5 * noise).alias("p"))
 
 
-N_META = 44
-
-
 def vectors(spark, folder) -> DataFrame:
     e = table(spark, folder, "embeddings")
     return e.select(
-        "vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, N_META).alias("mf"), "label")
+        "vec_id", F.col("embedding").cast("array<double>").alias("mf"), "label")
 
 
 DIMS = ("quantity", "discount", "tax", "flag")
