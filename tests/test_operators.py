@@ -316,3 +316,41 @@ def test_origin_by_majority_then_first(spark):
     steps = spark.createDataFrame([(1, 1, "B", 1.0), (1, 2, "A", 2.0), (2, 1, "A", 1.0), (2, 2, "B", 1.0), (2, 3, "B", 3.0)], "run_id int, step_no int, origin string, q double")
     got = {r["run_id"]: (r["origin"], r["config"]) for r in runs.merge_configs(steps, ["q"]).collect()}
     assert got == {1: ("B", {"1:q": 1.0, "2:q": 2.0}), 2: ("B", {"1:q": 1.0, "2:q": 1.0, "3:q": 3.0})}
+
+
+def test_chains_are_whole(spark, tmp_path):
+    """A day of eleven steps is one chain."""
+    from tuneloom.sources import views
+
+    spark.range(11).select(
+        F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"),
+        F.lit("click").alias("event_type"), F.col("id").cast("double").alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    rows = views.chain_steps(spark, str(tmp_path)).collect()
+    assert len({r["chain"] for r in rows}) == 1 and sorted(r["pos"] for r in rows) == list(range(11))
+
+
+def test_vectors_are_whole(spark, data):
+    from tuneloom.sources import views
+
+    assert views.vectors(spark, data).select(F.size("mf").alias("n")).distinct().collect()[0]["n"] == 64
+
+
+def test_quantiles_reach_one_and_constant_columns_get_a_bin(spark):
+    from tuneloom.evaluation import components
+
+    df = spark.createDataFrame([(float(k % 5), 3.0) for k in range(200)] + [(float("nan"), 3.0), (None, None)], "a double, c double")
+    got = [r["a_q"] for r in components.quantile_transform(df, ["a"]).collect()]
+    assert max(g for g in got if g is not None) == 1.0 and min(g for g in got if g is not None) == 0.0 and got[-2:] == [None, None]
+    assert {r["c_bin"] for r in components.equal_width_bins(df, "c", 4).collect()} == {0.0, None}
+
+
+def test_donors_that_differ_in_the_parameter_only(spark):
+    """Their order, and so the result, does not depend on the order of the rows."""
+    from tuneloom.operators import tuning
+
+    dims = [tuning.Dim("x")]
+    rows = [(1, "i", float(k)) for k in range(6)] + [(1, f"a{k}", None) for k in range(20)]
+    schema = "g int, ident string, x double"
+    first, second = (sorted(map(tuple, tuning.impute_conditional(spark.createDataFrame(r, schema).repartition(3), dims, ["g"], ["g", "ident"]).select(
+        "g", "ident", "x").collect())) for r in (rows, rows[::-1]))
+    assert first == second

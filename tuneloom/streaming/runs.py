@@ -67,7 +67,7 @@ def stream_activity_sessions(stream: DataFrame, gap: str = "6 hours", late: str
     return to_table(bursts.select("structure", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"), "sessions")
 
 
-def stream_dedup_structures(stream: DataFrame, horizon: str = "60 days") -> DataFrame:
-    """Every structure id once, as long as it repeats within the horizon."""
-    once = stream.select("iteration", "structure", "ts").withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["iteration", "structure"])
-    return to_table(once.select("iteration", "structure"), "structures")
+def stream_dedup_structures(stream: DataFrame) -> DataFrame:
+    """Every structure id once, however late it comes again; the state holds one entry per id."""
+    once = stream.select("iteration", "structure").dropDuplicates(["iteration", "structure"])
+    return to_table(once, "structures")
