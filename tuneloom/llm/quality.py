@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneloom.llm.text import mix, raw, slices, word_hashes
+from tuneloom.llm.text import IS_WORD, mix, raw, slices, word_hashes
 
 LEARN_DOCUMENTS = 4000
 LEARN_LINES = 512
@@ -73,10 +73,8 @@ def lines_of(texts: pa.Array) -> Lines:
         total = np.concatenate([[0], np.cumsum(kinds == k)])
         shares[:, k] = (total[stop] - total[begin]) / length
     # words by line: white space and punctuation stand between them, so a line's words lie between its edges
-    hashes, _ = word_hashes(pa.array([data.tobytes()], pa.large_binary()))
-    line_of_word = _word_lines(data, begin, ends, len(hashes))
-    known = line_of_word >= 0
-    hashes, line_of_word = hashes[known], line_of_word[known]
+    hashes, _ = word_hashes(texts)
+    line_of_word = _word_lines(data, begin, ends)
     n = np.bincount(line_of_word, minlength=len(begin))
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (line_of_word[1:] == line_of_word[:-1])
@@ -98,16 +96,13 @@ def _base_width() -> int:
     return len(CLASSES) + 11
 
 
-def _word_lines(data: np.ndarray, begin: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    from tuneloom.llm.text import IS_WORD
-
+def _word_lines(data: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The line of each word; a word ends with its text."""
     inside = IS_WORD[data]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    places = np.flatnonzero(starts)
-    assert len(places) == n
-    # a word that runs from one text into the next belongs to the line where it starts
-    return np.searchsorted(begin, places, "right") - 1
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    starts = inside & np.concatenate([[True], ~inside[:-1] | edge[1:-1]])
+    return np.searchsorted(begin, np.flatnonzero(starts), "right") - 1
 
 
 def _with_neighbours(base: np.ndarray, row: np.ndarray) -> np.ndarray:
