@@ -7,8 +7,8 @@ wavelet-tree ranks, locates the occurrences by sampled positions and merges them
 Only words of the benchmark can stand in an occurrence. All other words, and stretches of benchmark words shorter
 than the shortest window, are left out of the index; a boundary symbol stands in their place.
 
-The windows are a stated query set. They are read in blocks of at most `BLOCK_WINDOWS`; each block goes once over all
-shards, and the spans of several blocks meet by document.
+The windows are a stated query set. They are read in blocks of about `BLOCK_WINDOWS`; each block goes once over all
+shards and adds its spans to those the row has from the blocks before, without a shuffle.
 
 Cases: null and wordless texts have no words and no hits; null items and items without words have no windows. Rows
 are answered one by one, so repeated rows, null doc_ids and ties need no rule. Rows of the benchmark that repeat an
@@ -18,7 +18,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import functools
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -58,13 +57,14 @@ class Phrases:
 
 def phrase_blocks(benchmark: DataFrame, span: int, most: int) -> Iterator[Phrases]:
     """The items in blocks of about `most` windows, read one after another."""
-    block = Phrases()
+    block, first = Phrases(), True
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).toLocalIterator():
         block.add(row["i"], row["t"].encode().translate(WORD_TABLE).split(), span)
         if len(block.windows) >= most:
             yield block
-            block = Phrases()
-    yield block
+            block, first = Phrases(), False
+    if first or block.windows:
+        yield block
 
 
 class _Shard:
@@ -121,7 +121,9 @@ _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
 
 
 def _find(symbols: dict[bytes, int], phrases: list[tuple[np.ndarray, list[list[str]]]], shard_symbols: int, schema: pa.Schema) -> Callable:
+    """Adds n_words, spans and items to the other columns of `schema`; spans and items that a row has already stay."""
     shortest = min((w.shape[1] for w, _ in phrases), default=1 << 60)
+    passed = schema.names[:-3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -138,8 +140,13 @@ def _find(symbols: dict[bytes, int], phrases: list[tuple[np.ndarray, list[list[s
             doc = 0
             for batch in held:
                 rows = range(doc, doc + batch.num_rows)
+                if "spans" in batch.schema.names:
+                    for r, old, names in zip(rows, batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                        if names or old:
+                            spans[r] += [(s["first"], s["after"]) for s in old]
+                            items[r].update(names)
                 yield pa.RecordBatch.from_arrays([
-                    *batch.columns, pa.array([counts[r] for r in rows], pa.int64()),
+                    *(batch.column(c).cast(schema.field(c).type) for c in passed), pa.array([counts[r] for r in rows], pa.int64()),
                     pa.array([[{"first": a, "after": b} for a, b in merge_spans(spans.get(r, []))] for r in rows], _SPANS),
                     pa.array([sorted(items.get(r, ())) for r in rows], pa.list_(pa.string())),
                 ], schema=schema)
@@ -154,7 +161,7 @@ def _find(symbols: dict[bytes, int], phrases: list[tuple[np.ndarray, list[list[s
                 if len(words) >= shortest:
                     shard.add(len(counts), np.fromiter((get(w, 0) for w in words), np.int64, len(words)), shortest)
                 counts.append(len(words))
-            held.append(batch.drop_columns(["text"]))
+            held.append(batch if "text" in passed else batch.drop_columns(["text"]))
             if shard.size >= shard_symbols or shard.bytes >= SHARD_BYTES:
                 yield from flush()
         yield from flush()
@@ -167,31 +174,17 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_wi
 
     `block_windows` bounds the windows held by a task, `shard_symbols` the words of a shard; neither changes the result.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = []
-    for block in phrase_blocks(benchmark, span, block_windows):
-        if found and not block.windows:
-            break
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string()))])
-        found.append(texts.mapInArrow(_find(block.symbols, block.frozen(), shard_symbols, schema), f"doc_id long, {_FOUND}"))
-    if len(found) == 1:
-        return found[0]
-    # every block answers every row, so rows that repeat come as often for each block
-    whole = functools.reduce(DataFrame.unionByName, found)
-    by_doc = whole.groupBy("doc_id", "n_words").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        (F.count("*") / len(found)).cast("int").alias("rows"))
-    merged = by_doc.mapInArrow(_merge(by_doc.columns), by_doc.schema)
-    return merged.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "rows")).alias("_row")).drop("_row")
-
-
-def _merge(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            merged = [[{"first": a, "after": b} for a, b in merge_spans([(s["first"], s["after"]) for s in x])] for x in batch.column("spans").to_pylist()]
-            yield batch.set_column(names.index("spans"), "spans", pa.array(merged, _SPANS))
-
-    return run
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    blocks = phrase_blocks(benchmark, span, block_windows)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        # all blocks but the last hand the text on
+        text, column = ("", []) if following is None else ("text string, ", [("text", pa.string())])
+        schema = pa.schema([("doc_id", pa.int64()), *column, ("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string()))])
+        found = found.mapInArrow(_find(block.symbols, block.frozen(), shard_symbols, schema), f"doc_id long, {text}{_FOUND}")
+        block = following
+    return found
 
 
 def _without_hits(symbols: dict[bytes, int], phrases: list[tuple[np.ndarray, list[list[str]]]], shard_symbols: int, text: int) -> Callable:
