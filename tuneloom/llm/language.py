@@ -34,6 +34,8 @@ UNKNOWN = "und"
 #: Distinct n-grams whose vectors are held at once.
 GRAM_BLOCK = 4096
 SLICE_BYTES = 1 << 20
+#: Texts bundled at once: with `GRAM_BLOCK` it bounds the table of counts.
+SLICE_ROWS = 2048
 #: Below this cosine with every prototype a text is taken for no known language.
 LEAST_SCORE = 0.1
 
@@ -94,7 +96,7 @@ _PARTS_ARROW = pa.schema([("lang", pa.string()), ("vector", pa.list_(pa.float64(
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
-    for batch in slices(batches, "text", SLICE_BYTES):
+    for batch in slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
         vectors = _unit(bundle(batch.column("text").to_pylist()))
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         for lang in sorted(set(langs)):
@@ -140,7 +142,7 @@ def _predict(langs: list[str], vectors: np.ndarray, schema: pa.Schema) -> Callab
     names = np.array([*langs, UNKNOWN], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
             best, scores = _judged(batch.column("text").to_pylist(), langs, vectors)
             yield pa.RecordBatch.from_arrays([
                 *batch.drop_columns(["text"]).columns, pa.array(names[best], pa.string()), pa.array(scores, pa.float64())], schema=schema)
@@ -163,7 +165,7 @@ def known_language(docs: DataFrame, learn: DataFrame, least: float = LEAST_SCORE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([batch.column(text)], ["text"])
-            judged = [_judged(part.column("text").to_pylist(), langs, vectors) for part in slices([texts], "text", SLICE_BYTES)]
+            judged = [_judged(part.column("text").to_pylist(), langs, vectors) for part in slices([texts], "text", SLICE_BYTES, SLICE_ROWS)]
             if judged:
                 best, scores = (np.concatenate(x) for x in zip(*judged, strict=True))
                 yield batch.filter(pa.array((best < len(langs)) & (scores >= least)))

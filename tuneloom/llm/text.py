@@ -49,14 +49,14 @@ def sent_if_few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches whose texts hold about `limit` bytes, one row at least; null texts become empty."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about `limit` bytes of text and up to `rows` rows, one row at least; null texts become empty."""
     for batch in batches:
         place = batch.schema.get_field_index(column)
         batch = batch.set_column(place, column, pc.fill_null(batch.column(place).cast(pa.large_string()), ""))
         ends, row = _offsets(batch.column(place)), 0
         while row < batch.num_rows:
-            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
+            stop = min(row + rows, max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1))
             yield batch.slice(row, stop - row)
             row = stop
 
