@@ -185,7 +185,8 @@ def test_decontamination(spark, docs, odd, block, shard):
     rows = docs.limit(150).collect()
     items += [(k, " ".join(words(r["text"])[7:7 + n])) for (k, r), n in zip(enumerate(rows[:40], 100), itertools.cycle([3, 9, 10, 11, 40]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    frame = docs.limit(150).select("doc_id", "text").union(odd.select("doc_id", "text"))
+    twins = spark.createDataFrame([(None, "tie id now"), (6, "no, tie.")], "doc_id long, text string")  # ids and counts of other rows
+    frame = docs.limit(150).select("doc_id", "text").union(odd.select("doc_id", "text")).union(twins)
     got = decontaminate.find_spans(frame, bench, block_windows=block, shard_symbols=shard).collect()
     want = brute_spans([(r["doc_id"], r["text"]) for r in frame.collect()], items)
     assert collections.Counter((r["doc_id"], r["n_words"], sum(s["after"] - s["first"] for s in r["spans"]), tuple(r["items"])) for r in got) == want
@@ -366,6 +367,21 @@ def test_forward_backward():
     assert np.allclose(good, want) and np.allclose(pairs, want_pairs)
 
 
+@given(st.lists(st.text(st.sampled_from("aB1é .\n!日"), max_size=30), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_lines_do_not_depend_on_other_texts(texts):
+    together = quality.lines_of(pa.array(texts, pa.large_string()))
+    alone = [quality.lines_of(pa.array([t], pa.large_string())) for t in texts]
+    assert together.row.tolist() == [k for k, x in enumerate(alone) for _ in x.row]
+    assert not texts or np.allclose(together.features, np.concatenate([x.features for x in alone]))
+
+
+def test_slices_are_bounded():
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "c" * 50, "", "d"])], ["text"])
+    parts = list(text.slices(iter([batch]), "text", limit=10, rows=2))
+    assert [p.column("text").to_pylist() for p in parts] == [["ab", ""], ["c" * 50], ["", "d"]]
+
+
 def test_quality_cases(spark, odd):
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (8, 1, 0), (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality.score(odd, quality.fit(odd, labels, rounds=5)).collect()
