@@ -44,6 +44,24 @@ def test_running_max_and_last(spark):
     assert {(r["k"], r["id"]): (r["m"], r["l"]) for r in out} == want
 
 
+def test_rows_cross_the_network_once(spark):
+    """Null keys too; the totals are small, the rows themselves stand below one exchange."""
+    data = [(None if i % 3 == 0 else i % 5, i, float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(data, "k int, id int, x double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = skew.running(df, ["k"], ["id"], {"s": ("sum_before", F.col("x"))})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows_side = plan[:plan.index("_carry_s", plan.index("SortMergeJoin"))]
+        assert rows_side.count("Exchange hashpartitioning") <= 2 and "hashpartitioning(coalesce" not in plan
+        got = {(r["k"], r["id"]): r["s"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    for k, i, _ in data:
+        assert got[(k, i)] == sum(x for a, b, x in data if a == k and b < i)
+
+
 def test_average_ranks(spark):
     df = spark.createDataFrame([("a", 0.5), ("a", 0.7), ("a", 0.5)], "k string, v double")
     got = sorted((r["v"], r["avg_rank"]) for r in skew.average_ranks(df, ["k"], "v").collect())

@@ -72,19 +72,21 @@ def running(
     ("sum_before", x): sum of x over the rows strictly before this one,
     ("max", x): largest x up to and including this row,
     ("last", x): latest non-NULL x up to and including this row.
-    `order` has to identify a row inside its group. The input is read three times
-    (cut points, totals, rows); `settle` writes it once first, which pays when it
-    is itself the result of joins or aggregations.
+    `order` has to identify a row inside its group. The rows cross the network once:
+    the totals are joined back on the very columns that the window deals them by.
+    The input is read three times (cut points, totals, rows); `settle` writes it
+    once first, which pays when it is itself the result of joins or aggregations.
     """
     keys, order = list(keys), list(order)
     for name, (_, x) in values.items():
         df = df.withColumn(f"_in_{name}", x)
     if settle:
         df = cut_lineage(df)
-    cut = with_range(df, keys + order, ranges=ranges)
+    # a struct is never null, and null fields of two structs are equal: the join needs no null-safe comparison
+    cut = with_range(df, keys + order, ranges=ranges).withColumn("_group", F.struct(*keys))
 
     totals, carried = [], []
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     for name, (kind, _) in values.items():
         x = F.col(f"_in_{name}")
         if kind == "sum_before":
@@ -101,8 +103,8 @@ def running(
             raise ValueError(f"unknown running value {kind}")
 
     # One row per (group, range): about as many rows as groups plus ranges.
-    carry = cut.groupBy(*keys, "_range").agg(*totals).select(*keys, "_range", *carried)
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    carry = cut.groupBy("_group", "_range").agg(*totals).select("_group", "_range", *carried)
+    inside = Window.partitionBy("_group", "_range").orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -116,7 +118,7 @@ def running(
         else:
             local = local.withColumn(f"_loc_{name}", F.last(x, ignorenulls=True).over(upto))
 
-    merged = _null_safe_join(local, carry, keys + ["_range"])
+    merged = local.join(carry, ["_group", "_range"], "left")
     out = []
     for name, (kind, _) in values.items():
         loc, car = F.col(f"_loc_{name}"), F.col(f"_carry_{name}")
