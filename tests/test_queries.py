@@ -50,6 +50,16 @@ def test_time_limit(spark, data):
     assert got.first()["status"] == "TIMEOUT"
 
 
+def test_each_candidate_has_its_own_time_limit(spark, data):
+    """One slow candidate among quick ones, one after another: only the slow one is stopped."""
+    task = learning.line_task(spark, data)
+    quick, slow = ("DecisionTreeClassifier",), ("HistGradientBoostingClassifier",)
+    got = J.evaluate_candidates(task, [J.Candidate(0, 0, 0, quick), J.Candidate(0, 1, 0, slow, {"0:maxIter": 400}), J.Candidate(0, 2, 0, quick)], cutoff=15.0, parallel=1)
+    rows = {r["structure"]: r for r in got.collect()}
+    assert [rows[k]["status"] for k in range(3)] == ["SUCCESS", "TIMEOUT", "SUCCESS"]
+    assert 15 <= rows[1]["training_time"] < 20 and rows[2]["training_time"] < 15
+
+
 def test_no_task_collects_a_hot_group(spark):
     """A third of all runs in one structure: its rows are spread over several ranges."""
     from tuneloom.operators import runs as R

@@ -9,8 +9,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as FutureTimeout
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
@@ -24,13 +23,14 @@ from pyspark.sql import functions as F
 from tuneloom.evaluation import components as K
 from tuneloom.functions import draws, scores
 from tuneloom.operators import metrics, splits
-from tuneloom.session import new_path
 
 RESULT_SCHEMA = (
     "iteration int, structure int, config int, status string, loss double, structure_loss double, "
     "training_time double, model_path string, message string")
 # Fixed values of the performance model.
 VARIANCE_FLOOR = 0.01
+#: How often the time limits of running candidates are looked at.
+POLL_SECONDS = 0.2
 
 
 @dataclass(frozen=True)
@@ -100,18 +100,20 @@ def evaluate_candidates(task: Task, candidates: Sequence[Candidate], cutoff: flo
                         model_dir: str | None = None) -> DataFrame:
     """Fits every candidate on the training rows and scores it on the held-out ones.
 
-    A failing candidate is CRASHED, one over the time limit TIMEOUT with its jobs
-    cancelled; both get the worst loss.
+    A failing candidate is CRASHED. One that runs for more than `cutoff` seconds, counted from its own
+    start, is TIMEOUT and its jobs are cancelled. Both get the worst loss.
     """
     spark = task.rows.sparkSession
     sc = spark.sparkContext
     train, test = (part.persist() for part in holdout(task))
-    begin = time.monotonic()
+    begun: dict[int, float] = {}
 
-    def run(c: Candidate):
-        group = f"candidate-{id(task)}-{c.iteration}-{c.structure}-{c.config}"
-        sc.setJobGroup(group, f"candidate {c.iteration}:{c.structure}:{c.config}", interruptOnCancel=True)
-        started = time.monotonic()
+    def group(c: Candidate) -> str:
+        return f"candidate-{id(task)}-{c.iteration}-{c.structure}-{c.config}"
+
+    def run(k: int, c: Candidate):
+        sc.setJobGroup(group(c), f"candidate {c.iteration}:{c.structure}:{c.config}", interruptOnCancel=True)
+        begun[k] = time.monotonic()
         pipe = K.build(c.steps, c.params, task.numeric, task.categorical, len(task.classes))
         model = pipe.fit(train)
         loss, structure_loss = score(K.predictions(model, test, task.key), task)
@@ -119,29 +121,33 @@ def evaluate_candidates(task: Task, candidates: Sequence[Candidate], cutoff: flo
         if model_dir:
             path = f"{model_dir}/models_{c.iteration}-{c.structure}-{c.config}"
             model.write().save(path)
-        return loss, structure_loss, time.monotonic() - started, path
+        return loss, structure_loss, time.monotonic() - begun[k], path
 
     worst = (scores.worst_loss_of(task.metric), scores.WORST_STRUCTURE)
+    late: dict[int, float] = {}
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        futures = [pool.submit(inheritable_thread_target(spark)(run), k, c) for k, c in enumerate(candidates)]
+        open_ = set(futures)
+        while open_:
+            _, open_ = wait(open_, timeout=None if cutoff is None else POLL_SECONDS)
+            for k, c in enumerate(candidates):
+                if futures[k] in open_ and k in begun and cutoff is not None and time.monotonic() - begun[k] > cutoff:
+                    # again until it ends: a fit starts many jobs
+                    late.setdefault(k, time.monotonic() - begun[k])
+                    sc.cancelJobGroup(group(c))
+    train.unpersist()
+    test.unpersist()
     results = []
-    pool = ThreadPoolExecutor(max_workers=parallel)
-    try:
-        waiting = [(c, pool.submit(inheritable_thread_target(spark)(run), c)) for c in candidates]
-        for c, future in waiting:
-            head = (c.iteration, c.structure, c.config)
-            try:
-                left = None if cutoff is None else max(0.0, begin + cutoff * len(candidates) - time.monotonic())
-                loss, structure_loss, spent, path = future.result(timeout=left)
-                results.append((*head, "SUCCESS", loss, structure_loss, spent, path, None))
-            except FutureTimeout:
-                sc.cancelJobGroup(f"candidate-{id(task)}-{c.iteration}-{c.structure}-{c.config}")
-                future.cancel()
-                results.append((*head, "TIMEOUT", *worst, time.monotonic() - begin, None, "time limit"))
-            except Exception as ex:  # any failure of a candidate is a result of the search
-                results.append((*head, "CRASHED", *worst, None, None, str(ex) or type(ex).__name__))
-    finally:
-        pool.shutdown(wait=cutoff is None, cancel_futures=True)
-        train.unpersist()
-        test.unpersist()
+    for k, (c, future) in enumerate(zip(candidates, futures, strict=True)):
+        head = (c.iteration, c.structure, c.config)
+        ex = future.exception()
+        if k in late:
+            results.append((*head, "TIMEOUT", *worst, late[k], None, "time limit"))
+        elif ex is None:
+            loss, structure_loss, spent, path = future.result()
+            results.append((*head, "SUCCESS", loss, structure_loss, spent, path, None))
+        else:  # any failure of a candidate is a result of the search
+            results.append((*head, "CRASHED", *worst, None, None, str(ex) or type(ex).__name__))
     return spark.createDataFrame(results, RESULT_SCHEMA)
 
 
@@ -204,7 +210,7 @@ def library_predictions(results: DataFrame, rows: DataFrame, key: str = "row_id"
     return out
 
 
-def performance_prior(runs: DataFrame, ask: DataFrame, actions: Sequence[str], mf: str = "mf", n_mf: int = 44,
+def performance_prior(runs: DataFrame, ask: DataFrame, actions: Sequence[str], mf: str = "mf",
                       trees: int = 10, seed: int = 0) -> DataFrame:
     """Expected performance of an action on a dataset at a depth, with one normal draw.
 
@@ -213,7 +219,7 @@ def performance_prior(runs: DataFrame, ask: DataFrame, actions: Sequence[str], m
     """
     def features(df: DataFrame) -> DataFrame:
         hot = F.array(*[(F.col("action") == a).cast("double") for a in actions], F.col("depth").cast("double"))
-        return df.withColumn("features", array_to_vector(F.concat(F.slice(F.col(mf), 1, n_mf), hot)))
+        return df.withColumn("features", array_to_vector(F.concat(F.col(mf), hot)))
 
     base = features(runs).withColumn("label", F.col("performance")).persist()
     forest = dict(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=6, seed=seed)
@@ -254,6 +260,3 @@ def search(task: Task, structures: Sequence[Sequence[str]], eta: int = 3, max_bu
         budget = min(budget * eta, max_budget)
     return results, tried
 
-
-def scratch_models(task: Task) -> str:
-    return new_path(task.rows.sparkSession, "models")
