@@ -148,7 +148,7 @@ def test_wilcoxon(spark):
     ref = [0.9, 0.8, 0.7, 0.95, 0.85, 0.6]
     other = [0.5, 0.7, 0.75, 0.6, 0.65, 0.58]
     pairs = spark.createDataFrame([("t", "s", i, a, b) for i, (a, b) in enumerate(zip(ref, other))], "task string, system string, fold int, ref double, result double")
-    r = compare.wilcoxon(pairs).first()
+    r = compare.wilcoxon(pairs, "exact").first()
     d = [round(a - b, 9) for a, b in zip(ref, other)]
     order = sorted(range(6), key=lambda i: abs(d[i]))
     rank = {i: n + 1 for n, i in enumerate(order)}
@@ -158,6 +158,35 @@ def test_wilcoxon(spark):
     assert abs(r["p_value"] - min(1, 2 * ways / 64)) < 1e-12 and not r["significant"]
 
 
+def test_wilcoxon_method_does_not_follow_the_size(spark):
+    """26 pairs: the exact chance from the number of subsets, the normal one beside it; a tie leaves only the normal one."""
+    signs = [1 if i % 4 else -1 for i in range(1, 27)]
+    rows = [(t, "s", i, 0.01 * i * g, 0.01 if t == "tied" and i == 2 else 0.0) for t in ("whole", "tied") for i, g in enumerate(signs, 1)]
+    pairs = spark.createDataFrame(rows, "task string, system string, fold int, ref double, result double")
+    exact, normal_ = ({r["task"]: r for r in compare.wilcoxon(pairs, m).collect()} for m in ("exact", "normal"))
+    ways = [1] + [0] * 351
+    for i in range(1, 27):
+        ways = [w + (ways[k - i] if k >= i else 0) for k, w in enumerate(ways)]
+    w = int(exact["whole"]["statistic"])
+    assert w == sum(i for i in range(1, 27) if i % 4 == 0)
+    assert abs(exact["whole"]["p_value"] - 2 * sum(ways[:w + 1]) / 2**26) < 1e-12
+    assert normal_["whole"]["p_value"] != exact["whole"]["p_value"] and abs(normal_["whole"]["p_value"] - exact["whole"]["p_value"]) < 0.01
+    assert exact["tied"]["p_value"] == normal_["tied"]["p_value"]
+    with pytest.raises(ValueError, match="unknown method"):
+        compare.wilcoxon(pairs, "auto")
+
+
+def test_systems_come_from_the_data(spark, tmp_path):
+    rows = [("t", f"{k}/system {k}", f, "auc", 0.1 * k + 0.01 * f) for k in range(6) for f in range(3)]
+    results = spark.createDataFrame(rows, "task string, system string, fold int, metric string, result double")
+    tables.write_benchmark(results, str(tmp_path / "sheets"))
+    back = tables.read_benchmark(spark, str(tmp_path / "sheets")).select(*results.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    cells = compare.comparison_cells(results, "exact")
+    wide = compare.comparison_table(cells).first()
+    assert cells.count() == 6 and len(wide) == 2 + 6 * 3 and wide["5/system 5_flag"] == "best"
+
+
 def library(n_rows=300, n_models=5):
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, n_rows)
@@ -286,14 +315,13 @@ def test_logs(spark, tmp_path):
     assert [g["loss"] for g in got] == [-0.5, None]
 
 
-def test_history_documents_are_bounded(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(logs, "CONFIGS_PER_DOCUMENT", 10)
+def test_history_documents_are_bounded(spark, tmp_path):
     s = spark.createDataFrame([(0, 1, 2)], "iteration int, structure long, budget int")
     r = spark.range(25).select(
         F.lit(0).alias("iteration"), F.lit(1).cast("long").alias("structure"), F.col("id").alias("config"), F.lit("SUCCESS").alias("status"),
         (-F.col("id") / 100).alias("loss"), F.lit(0.0).alias("structure_loss"), F.lit("x").alias("origin"), F.lit(1.0).alias("training_time"),
         F.timestamp_seconds(F.col("id")).alias("ts"))
-    docs = logs.export_history(s, r)
+    docs = logs.export_history(s, r, 10)
     assert sorted(x["n_configs"] for x in docs.collect()) == [5, 10, 10]
     logs.write_history(docs, str(tmp_path / "history"))
     with pytest.raises(Exception, match="already exists"):

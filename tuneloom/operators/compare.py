@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +11,6 @@ from tuneloom.functions import normal
 from tuneloom.functions.scores import MISSING_AUC, MISSING_LOGLOSS
 from tuneloom.operators import skew
 
-EXACT_UP_TO = 25
 ALPHA = 0.05
 
 
@@ -58,29 +56,28 @@ def paired_results(results: DataFrame, best: DataFrame) -> DataFrame:
     return paired.select("task", "system", "fold", "ref", "result")
 
 
-def null_distributions(n_max: int = EXACT_UP_TO) -> list[list[float]]:
-    """P(W <= w) of the signed-rank statistic for n = 0..n_max without ties."""
-    out, ways = [], [1]
-    for n in range(n_max + 1):
-        if n:
-            longer = ways + [0] * n
-            for w, c in enumerate(ways):
-                longer[w + n] += c
-            ways = longer
-        total, acc, cdf = 2.0 ** n, 0, []
-        for c in ways:
-            acc += c
-            cdf.append(acc / total)
-        out.append(cdf)
-    return out
-
-
-def wilcoxon(pairs: DataFrame, digits: int = 9) -> DataFrame:
+def exact_lower_tail(n: Column, w: Column) -> Column:
+    """P(W <= w) of the signed-rank statistic of n pairs without ties.
+
+    The chances of the sums 0..w, one rank after the other: half of the time a rank counts, half of the time not.
+    """
+    start = F.transform(F.sequence(F.lit(0), w.cast("int")), lambda k: F.when(k == 0, 1.0).otherwise(0.0))
+
+    def with_rank(chances: Column, rank: Column) -> Column:
+        return F.transform(chances, lambda x, k: (x + F.when(k >= rank, F.get(chances, k - rank)).otherwise(0.0)) / 2)
+
+    chances = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, with_rank)
+    return F.aggregate(chances, F.lit(0.0), lambda total, x: total + x)
+
+
+def wilcoxon(pairs: DataFrame, method: str, digits: int = 9) -> DataFrame:
     """Two-sided signed-rank test per (task, system) on pairs (ref, result).
 
-    Zero differences are dropped. Without zeros and ties and up to 25 pairs the
-    null distribution is exact, otherwise normal with tie correction.
+    Zero differences are dropped. `method` is "exact" or "normal" for any number of pairs; where zeros
+    or ties leave no exact null distribution, "exact" too is normal with tie correction.
     """
+    if method not in ("exact", "normal"):
+        raise ValueError(f"unknown method {method}")
     keys = ["task", "system"]
     d = F.round(F.col("ref") - F.col("result"), digits)
     by_size = pairs.select(*keys, d.alias("d")).groupBy(*keys, F.abs("d").alias("a")).agg(
@@ -102,18 +99,19 @@ def wilcoxon(pairs: DataFrame, digits: int = 9) -> DataFrame:
     n, w = F.col("n"), F.least("w_plus", "w_minus")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
     z = (w - n * (n + 1) / 4.0) / spread
-    exact = (n == F.col("n_pairs")) & (F.col("ties") == 0) & (n <= EXACT_UP_TO) & (n > 0)
-    cdf = F.from_json(F.lit(json.dumps(null_distributions())), "ARRAY<ARRAY<DOUBLE>>")
-    row = F.get(cdf, F.when(exact, n).otherwise(0).cast("int"))
-    p_exact = F.least(F.lit(1.0), 2.0 * F.get(row, F.when(exact, w).otherwise(0.0).cast("int")))
     p_normal = F.least(F.lit(1.0), 2.0 * normal.upper_tail(F.abs(z)))
-    p = F.when(n == 0, None).when(exact, p_exact).otherwise(p_normal)
+    p = p_normal
+    if method == "exact":
+        exact = (n == F.col("n_pairs")) & (F.col("ties") == 0) & (n > 0)
+        tail = exact_lower_tail(F.when(exact, n).otherwise(1), F.when(exact, w).otherwise(0.0))
+        p = F.when(exact, F.least(F.lit(1.0), 2.0 * tail)).otherwise(p_normal)
+    p = F.when(n > 0, p)
     return joined.select(
         *keys, "n", w.alias("statistic"), p.alias("p_value"), F.coalesce(p < ALPHA, F.lit(False)).alias("significant"))
 
 
-def comparison_table(results: DataFrame, systems: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
-    """Task x system: mean, deviation and a flag per system.
+def comparison_cells(results: DataFrame, method: str, exclude: Sequence[str] = ()) -> DataFrame:
+    """One row per (task, system): mean, deviation and a flag.
 
     Flags: missing (mean is 0 or 4), best, same (not significantly worse), worse.
     """
@@ -121,17 +119,19 @@ def comparison_table(results: DataFrame, systems: Sequence[str], exclude: Sequen
     if exclude:
         stats = stats.where(~F.col("task").isin(*exclude))
     best = best_system(stats)
-    test = wilcoxon(paired_results(results, best)).select("task", "system", "significant")
+    test = wilcoxon(paired_results(results, best), method).select("task", "system", "significant")
     # tasks x systems rows; AQE turns the joins into broadcasts when they are small
     joined = stats.join(best.select("task", "best_mean"), "task").join(test, ["task", "system"], "left")
     flag = (
         F.when(F.col("mean").isin(MISSING_AUC, MISSING_LOGLOSS), "missing")
         .when(F.col("mean") == F.col("best_mean"), "best")
         .when(~F.coalesce("significant", F.lit(False)), "same").otherwise("worse"))
-    cells = joined.withColumn("flag", flag).withColumn("_slot", F.array_position(F.lit(list(systems)), F.col("system")))
-    out = [F.max(F.when(F.col("_slot") == i + 1, F.col(c))).alias(f"{c}_{i + 1}")
-           for i in range(len(systems)) for c in ("mean", "std", "flag")]
-    return cells.groupBy("task", "metric").agg(*out)
+    return joined.select("task", "metric", "system", "mean", "std", flag.alias("flag"))
+
+
+def comparison_table(cells: DataFrame) -> DataFrame:
+    """Task x system: mean, deviation and flag of every system that occurs, as columns named after it."""
+    return cells.groupBy("task", "metric").pivot("system").agg(F.max("mean").alias("mean"), F.max("std").alias("std"), F.max("flag").alias("flag"))
 
 
 def rank_per(results: DataFrame, part: str, value: str, name: str = "rank") -> DataFrame:

@@ -11,8 +11,6 @@ from tuneloom.plans.history import r6
 from tuneloom.plans.registry import query
 from tuneloom.sources import views as V
 
-SYSTEMS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-
 IMPUTED = """
 imp AS (SELECT task, system, fold, metric, coalesce(result, CASE WHEN metric = 'auc' THEN 0e0 ELSE 4e0 END) AS result FROM bench)"""
 STATS = IMPUTED + """,
@@ -94,7 +92,7 @@ def paired_results(spark, d):
     SELECT task, system, n, round(w, 6) AS statistic, round(p, 6) AS p_value, coalesce(p < 0.05, false) AS significant FROM tests""")
 def wilcoxon(spark, d):
     rows = _imputed(spark, d)
-    test = C.wilcoxon(C.paired_results(rows, C.best_system(C.task_statistics(rows))))
+    test = C.wilcoxon(C.paired_results(rows, C.best_system(C.task_statistics(rows))), "exact")
     return test.select("task", "system", "n", r6("statistic"), r6("p_value"), "significant")
 
 
@@ -104,27 +102,21 @@ def wilcoxon(spark, d):
 def wilcoxon_exact(spark, d):
     """The same test on measured results only: no zero differences, so the exact distribution."""
     best = C.best_system(C.task_statistics(_imputed(spark, d)))
-    test = C.wilcoxon(C.paired_results(V.bench(spark, d).where("result IS NOT NULL"), best))
+    test = C.wilcoxon(C.paired_results(V.bench(spark, d).where("result IS NOT NULL"), best), "exact")
     return test.select("task", "system", "n", r6("statistic"), r6("p_value"), "significant")
 
 
-_CELLS = ", ".join(
-    f"max(round(mean, 9)) FILTER (system = '{s}') AS mean_{i + 1}, max(round(std, 9)) FILTER (system = '{s}') AS std_{i + 1}, "
-    f"max(flag) FILTER (system = '{s}') AS flag_{i + 1}" for i, s in enumerate(SYSTEMS))
-
-
 @query("comparison_table", f"""
-    WITH {STATS}, {_pairs('imp')},
-    cells AS (SELECT s.task, s.metric, s.system, mean, std,
-                     CASE WHEN mean IN (0, 4) THEN 'missing' WHEN mean = best_mean THEN 'best'
-                          WHEN NOT coalesce(p < 0.05, false) THEN 'same' ELSE 'worse' END AS flag
-              FROM stats s JOIN best USING (task) LEFT JOIN tests t ON t.task = s.task AND t.system = s.system
-              WHERE s.task <> 'NATION_7')
-    SELECT task, metric, {_CELLS} FROM cells GROUP BY task, metric""")
+    WITH {STATS}, {_pairs('imp')}
+    SELECT s.task, s.metric, s.system, round(mean, 9) AS mean, round(std, 9) AS std,
+           CASE WHEN mean IN (0, 4) THEN 'missing' WHEN mean = best_mean THEN 'best'
+                WHEN NOT coalesce(p < 0.05, false) THEN 'same' ELSE 'worse' END AS flag
+    FROM stats s JOIN best USING (task) LEFT JOIN tests t ON t.task = s.task AND t.system = s.system
+    WHERE s.task <> 'NATION_7'""")
 def comparison_table(spark, d):
-    table = C.comparison_table(_imputed(spark, d), SYSTEMS, exclude=["NATION_7"])
-    numbers = [r6(f"{c}_{i}", digits=9) for i in range(1, 6) for c in ("mean", "std")]
-    return table.select("task", "metric", *numbers, *[f"flag_{i}" for i in range(1, 6)])
+    """The cells of the table, a row each, for all systems there are."""
+    cells = C.comparison_cells(_imputed(spark, d), "exact", exclude=["NATION_7"])
+    return cells.select("task", "metric", "system", r6("mean", digits=9), r6("std", digits=9), "flag")
 
 
 RASTER = """

@@ -49,27 +49,46 @@ def fold_split(spark, d):
 
 @query("read_run_log", """
     SELECT r.iteration, r.structure, r.config, status, round(loss, 6) AS loss, round(training_time, 6) AS training_time,
-           origin, CAST(budget AS DOUBLE) AS budget
+           round(epoch_us(ts) / 1e6, 3) AS timestamp, origin, printf('models_%d-%d-%d.pkl', r.iteration, r.structure, r.config) AS model_file,
+           CAST(budget AS DOUBLE) AS budget
     FROM runs r JOIN structures s USING (iteration, structure)""")
 def read_run_log(spark, d):
-    log = logs.read_run_log(logs.structure_lines(V.structures(spark, d)), logs.result_lines(V.runs(spark, d)))
-    return log.select("iteration", "structure", "config", "status", r6("loss"), r6("training_time"), "origin", "budget")
+    """The log files, written and read back."""
+    structures, results = new_path(spark, "structure-log"), new_path(spark, "result-log")
+    logs.write_log_lines(logs.structure_lines(V.structures(spark, d)), structures)
+    logs.write_log_lines(logs.result_lines(V.runs(spark, d)), results)
+    log = logs.read_run_log_files(spark, structures, results)
+    return log.select("iteration", "structure", "config", "status", r6("loss"), r6("training_time"), r6("timestamp", digits=3), "origin", "model_file", "budget")
 
 
 @query("append_structures", """
-    SELECT iteration, structure, budget FROM structures WHERE budget < 3""")
+    SELECT iteration, structure, budget FROM structures""")
 def append_structures(spark, d):
+    """Structures of budget 3 and more are stored first, all that are logged arrive after them: each is stored once."""
+    path = new_path(spark, "structures")
     known = V.structures(spark, d)
+    logs.append_structures(known.where("budget >= 3").select("iteration", "structure", "budget"), path)
+    stored = spark.read.schema("structure BIGINT, budget INT, iteration INT").parquet(path)
     incoming = V.runs(spark, d).select("iteration", "structure", (F.col("structure") % 5 + 1).cast("int").alias("budget"))
-    return R.new_structures(known.where("budget >= 3"), incoming)
+    logs.append_structures(R.new_structures(stored, incoming), path)
+    return spark.read.schema("structure BIGINT, budget INT, iteration INT").parquet(path).select("iteration", "structure", "budget")
 
 
 @query("append_results", """
     SELECT iteration, structure, config, round(loss, 6) AS loss, rung > 0 AS accepted
     FROM runs JOIN structures USING (iteration, structure)""")
 def append_results(spark, d):
+    """Accepted results in the log and the others in the reject table, read back."""
+    log, rejects = new_path(spark, "results"), new_path(spark, "rejects")
     known = V.structures(spark, d).where("rung > 0")
-    return R.split_results(known, V.runs(spark, d)).select("iteration", "structure", "config", r6("loss"), "accepted")
+    marked = R.split_results(known, V.runs(spark, d)).select("iteration", "structure", "config", r6("loss"), "accepted")
+    logs.append_results(marked, log, rejects)
+    schema = "iteration INT, structure BIGINT, config BIGINT, loss DOUBLE"
+    return spark.read.schema(schema).parquet(log).withColumn("accepted", F.lit(True)).unionByName(
+        spark.read.schema(schema).parquet(rejects).withColumn("accepted", F.lit(False)))
+
+
+CONFIGS_PER_DOCUMENT = 1000
 
 
 @query("export_history", """
@@ -80,7 +99,7 @@ def append_results(spark, d):
 def export_history(spark, d):
     """The documents, read back."""
     path = new_path(spark, "history")
-    logs.write_history(logs.export_history(V.structures(spark, d), V.runs(spark, d)), path)
+    logs.write_history(logs.export_history(V.structures(spark, d), V.runs(spark, d), CONFIGS_PER_DOCUMENT), path)
     config = "STRUCT<pos: BIGINT, config: BIGINT, status: STRING, loss: DOUBLE>"
     doc = F.from_json("value", f"cid STRING, budget INT, configs ARRAY<{config}>")
     read = spark.read.text(path).select(doc.alias("d")).select("d.*")
@@ -88,7 +107,7 @@ def export_history(spark, d):
     cid = F.split("cid", ":")
     return read.select(
         cid.getItem(0).cast("int").alias("iteration"), cid.getItem(1).cast("bigint").alias("structure"),
-        F.floor(F.array_min(F.transform("configs", lambda c: c["pos"])) / logs.CONFIGS_PER_DOCUMENT).cast("bigint").alias("part"),
+        F.floor(F.array_min(F.transform("configs", lambda c: c["pos"])) / CONFIGS_PER_DOCUMENT).cast("bigint").alias("part"),
         "cid", F.size("configs").cast("bigint").alias("n_configs"), F.array_min(ids_).alias("first_config"),
         F.array_max(ids_).alias("last_config"), r6(F.array_max(F.transform("configs", lambda c: c["loss"])), "best_score"), "budget")
 
@@ -96,15 +115,8 @@ def export_history(spark, d):
 @query("read_benchmark", "SELECT task, system, fold, metric, round(result, 12) AS result FROM bench")
 def read_benchmark(spark, d):
     path = new_path(spark, "sheets")
-    bench = V.bench(spark, d)
-    systems = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-    numbered = bench.withColumn("sheet", F.array_position(F.lit(list(systems)), F.col("system")))
-    numbered.select("task", "fold", "metric", "result", "sheet").write.partitionBy("sheet").csv(path, header=True)
-    sheets = {s: f"{path}/sheet={i + 1}" for i, s in enumerate(systems)}
-    return tables.read_benchmark(spark, sheets).select("task", "system", "fold", "metric", r6("result", digits=12))
-
-
-EXPECTED_SYSTEMS = ("click", "error", "idle", "purchase", "signup", "view")
+    tables.write_benchmark(V.bench(spark, d), path)
+    return tables.read_benchmark(spark, path).select("task", "system", "fold", "metric", r6("result", digits=12))
 
 
 @query("read_trajectory", """
@@ -112,7 +124,7 @@ EXPECTED_SYSTEMS = ("click", "error", "idle", "purchase", "signup", "view")
                         (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 1000000 AS sec,
                         min(least(value/500, 1e0)) AS score FROM events GROUP BY ALL),
     expected AS (SELECT s.system, u.task FROM (SELECT DISTINCT user_id AS task FROM events) u,
-                 (SELECT unnest(['click','error','idle','purchase','signup','view']) AS system) s)
+                 (SELECT DISTINCT event_type AS system FROM events UNION SELECT 'idle') s)
     SELECT system, task, sec, round(score, 6) AS score FROM pts
     UNION ALL
     SELECT system, task, CAST(sec AS BIGINT) AS sec, 0e0 AS score
@@ -124,8 +136,9 @@ def read_trajectory(spark, d):
     sec = F.floor((F.col("us") - start) / 1000000).cast("long")
     pts = ev.groupBy(F.col("origin").alias("system"), F.col("structure").alias("task"), sec.alias("sec")).agg(
         F.min(F.least(F.col("training_time") / 500, F.lit(1.0))).alias("score"))
-    expected = ev.select(F.col("structure").alias("task")).distinct().withColumn(
-        "system", F.explode(F.lit(list(EXPECTED_SYSTEMS))))
+    # all systems of the log and one that never ran; a name per system comes to the driver
+    systems = sorted({"idle", *(r["origin"] for r in ev.select("origin").distinct().collect())})
+    expected = ev.select(F.col("structure").alias("task")).distinct().withColumn("system", F.explode(F.lit(systems)))
     out = tables.complete_trajectories(pts, expected, ["system", "task"], F.lit(0.0))
     return out.select("system", "task", "sec", r6("score"))
 

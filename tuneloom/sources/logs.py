@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tuneloom.functions import ids
 from tuneloom.operators import skew
 
 RESULT_SCHEMA = (
@@ -13,14 +14,14 @@ RESULT_SCHEMA = (
 )
 STRUCTURE_SCHEMA = "cid STRING, budget DOUBLE"
 STEP_SCHEMA = "config ARRAY<DOUBLE>, configspace STRING, name STRING"
-CONFIGS_PER_DOCUMENT = 1000
 
 
 def result_lines(results: DataFrame) -> DataFrame:
     """One JSON line per result: a two-element array of id triple and result."""
     body = F.to_json(F.struct(
         "status", "loss", "structure_loss",
-        F.struct("training_time", (F.unix_micros("ts") / 1e6).alias("timestamp")).alias("runtime"), "origin"))
+        F.struct("training_time", (F.unix_micros("ts") / 1e6).alias("timestamp")).alias("runtime"), "origin",
+        ids.model_file_name(*(F.col(c).cast("int") for c in ("iteration", "structure", "config")), F.lit(None)).alias("model_file")))
     cid = F.concat_ws(",", F.col("iteration").cast("string"), F.col("structure").cast("string"), F.col("config").cast("string"))
     return results.select(F.concat(F.lit("[["), cid, F.lit("],"), body, F.lit("]")).alias("value"))
 
@@ -39,7 +40,7 @@ def parse_result_lines(lines: DataFrame) -> DataFrame:
     return parsed.select(
         F.get("cid", F.lit(0)).cast("int").alias("iteration"), F.get("cid", F.lit(1)).alias("structure"),
         F.get("cid", F.lit(2)).alias("config"), "r.status", "r.loss", "r.structure_loss",
-        F.col("r.runtime.training_time").alias("training_time"), "r.origin")
+        F.col("r.runtime.training_time").alias("training_time"), F.col("r.runtime.timestamp").alias("timestamp"), "r.origin", "r.model_file")
 
 
 def parse_structure_lines(lines: DataFrame) -> DataFrame:
@@ -58,6 +59,10 @@ def read_run_log_files(spark: SparkSession, structure_path: str, result_path: st
     return read_run_log(spark.read.text(structure_path), spark.read.text(result_path))
 
 
+def write_log_lines(lines: DataFrame, path: str) -> None:
+    lines.select("value").write.mode("append").text(path)
+
+
 def append_structures(new: DataFrame, path: str) -> None:
     new.write.mode("append").partitionBy("iteration").parquet(path)
 
@@ -83,15 +88,15 @@ def read_step_log(lines: DataFrame) -> DataFrame:
     return parsed.select("run_id", "name", F.col("c.config").alias("config"), "origin")
 
 
-def export_history(structures: DataFrame, results: DataFrame, metric: str = "f1") -> DataFrame:
+def export_history(structures: DataFrame, results: DataFrame, per_document: int, metric: str = "f1") -> DataFrame:
     """Nested documents: a structure with its configs.
 
-    A structure with more than a thousand configs is continued in further
-    documents (`part`), so no document grows with the data.
+    A document holds up to `per_document` configs; a structure with more is continued
+    in further documents (`part`), so that no document grows with the data.
     """
     sign = 1.0 if metric == "logloss" else -1.0
     placed = skew.row_numbers(results, ["iteration", "structure"], ["ts", "config"], "pos")
-    placed = placed.withColumn("part", F.floor(F.col("pos") / CONFIGS_PER_DOCUMENT).cast("long"))
+    placed = placed.withColumn("part", F.floor(F.col("pos") / per_document).cast("long"))
     config = F.struct("pos", "config", "status", (F.col("loss") * sign).alias("loss"), "structure_loss", "origin", "training_time")
     docs = placed.groupBy("iteration", "structure", "part").agg(
         F.array_sort(F.collect_list(config)).alias("configs"), F.count("*").alias("n_configs"))

@@ -28,10 +28,14 @@ def store_dataset(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def read_benchmark(spark: SparkSession, sheets: dict[str, str]) -> DataFrame:
-    """One result sheet per system as one table."""
-    read = {s: spark.read.csv(p, schema=SHEET_SCHEMA, header=True) for s, p in sheets.items()}
-    return union_systems(read)
+def write_benchmark(results: DataFrame, path: str) -> None:
+    """One result sheet per system, in a folder named after it."""
+    results.select("task", "fold", "metric", "result", "system").write.partitionBy("system").csv(path, header=True)
+
+
+def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    """The result sheets of all systems as one table."""
+    return spark.read.csv(path, schema=f"{SHEET_SCHEMA}, system STRING", header=True)
 
 
 def union_systems(parts: dict[str, DataFrame]) -> DataFrame:
