@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import feature as FT
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tuneloom.evaluation import steps
+
 # Parameter ranges per component: (lower, upper, log) or a list of choices; the first choice is the default.
 SPACES = {
     "BernoulliNB": {"smoothing": (0.01, 10.0, True)},
@@ -28,7 +29,8 @@ SPACES = {
 WHOLE = {"maxDepth", "minInstancesPerNode", "numTrees", "maxIter"}
 CLASSIFIERS = ("BernoulliNB", "MultinomialNB", "DecisionTreeClassifier", "HistGradientBoostingClassifier", "SVC",
                "RandomForestClassifier", "SGDClassifier")
-NO_PROBABILITIES = ("SVC",)
+#: Steps that work on the columns before they stand in one vector, or need no stage.
+ON_COLUMNS = {"OneHotEncoder", "SimpleImputer", "MinorityCoalescer", "MissingIndicator", "LabelEncoder", "Clone"}
 
 
 def classifier(name: str, features: str = "features", label: str = "label", n_classes: int = 2, **params):
@@ -74,42 +76,30 @@ def vector_step(name: str, features: str, out: str, label: str = "label", **para
         chosen = FT.UnivariateFeatureSelector(featuresCol=features, outputCol=out, labelCol=label, selectionMode=mode)
         return chosen.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(size)
     if name == "PCA":
-        return FT.PCA(k=params["k"], **io)
+        if "k" in params:
+            return FT.PCA(k=params["k"], **io)
+        return steps.VarianceKeepingPCA(size=params.get("keep_variance", 0.9999), **io)
+    if name == "TruncatedSVD":
+        return steps.TruncatedSVD(size=float(params.get("k", 2)), **io)
+    if name == "QuantileTransformer":
+        return steps.QuantileStep(size=float(params.get("n_quantiles", 100)), **io)
+    if name == "KBinsDiscretizer":
+        return steps.EqualWidthStep(size=float(params.get("n_bins", 5)), **io)
     if name == "Binarizer":
         return FT.Binarizer(threshold=params.get("threshold", 0.0), **io)
     raise ValueError(f"unknown step {name}")
 
 
-def pca_keeping(df: DataFrame, n_features: int, keep_variance: float, features: str = "features", out: str = "reduced"):
+def pca_keeping(df: DataFrame, keep_variance: float, features: str = "features", out: str = "reduced"):
     """PCA with as many components as are needed to keep a share of the variance."""
-    full = FT.PCA(k=n_features, inputCol=features, outputCol=out).fit(df)
-    total, k = 0.0, 0
-    for share in full.explainedVariance.toArray():
-        total, k = total + share, k + 1
-        if total >= keep_variance:
-            break
-    return FT.PCA(k=k, inputCol=features, outputCol=out).fit(df)
+    return steps.VarianceKeepingPCA(inputCol=features, outputCol=out, size=keep_variance).fit(df)
 
 
 def truncated_svd(df: DataFrame, n_features: int, k: int, features: str = "features", out: str = "reduced") -> tuple[DataFrame, list[float]]:
-    """Projection on the first k right singular vectors.
-
-    They are the eigenvectors of the matrix of column products, which is summed in
-    one pass; only that (columns x columns) matrix is collected.
-    """
-    arr = vector_to_array(features)
-    x = [F.get(arr, F.lit(i)) for i in range(n_features)]
-    pairs = [(i, j) for i in range(n_features) for j in range(i, n_features)]
-    sums = df.agg(*[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    gram = np.zeros((n_features, n_features))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"]
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:k]
-    v = vectors[:, order]
-    v = v * np.where(v[np.abs(v).argmax(0), range(v.shape[1])] < 0, -1.0, 1.0)
-    cols = [sum((x[i] * float(v[i, c]) for i in range(n_features)), F.lit(0.0)) for c in range(v.shape[1])]
-    return df.withColumn(out, array_to_vector(F.array(*cols))), [float(np.sqrt(max(values[c], 0.0))) for c in order]
+    """Projection on the first k right singular vectors, and the singular values."""
+    model = steps.TruncatedSVD(inputCol=features, outputCol=out, size=float(k)).fit(df)
+    _, values = steps.singular_vectors(df, n_features, k, features)
+    return model.transform(df), values.tolist()
 
 
 def quantile_transform(df: DataFrame, cols: Sequence[str], n: int = 100) -> DataFrame:
@@ -150,40 +140,55 @@ def column_variances(df: DataFrame, features: str = "features") -> DataFrame:
     return df.select(Summarizer.variance(F.col(features)).alias("v")).select(F.posexplode(vector_to_array("v")).alias("i", "variance"))
 
 
-def build(steps: Sequence[str], config: dict, numeric: Sequence[str], categorical: Sequence[str], n_classes: int = 2) -> Pipeline:
-    """A pipeline of named steps. Columns are encoded and imputed first, the other steps work on the vector."""
-    if not steps or steps[-1] not in CLASSIFIERS:
+def build(chain: Sequence[str], config: dict, numeric: Sequence[str], categorical: Sequence[str], n_classes: int = 2) -> Pipeline:
+    """A pipeline of named steps. Columns are encoded and imputed first, the other steps work on the vector.
+
+    Categories always become numbers (`LabelEncoder`), and `Clone` hands on what it gets: neither adds a stage.
+    """
+    if not chain or chain[-1] not in CLASSIFIERS:
         raise ValueError("the last step has to be a classifier")
-    stages, inputs = [], list(numeric)
+
+    def params_of(i: int) -> dict:
+        return {k.split(":", 1)[1]: v for k, v in config.items() if k.startswith(f"{i}:")}
+
+    stages, inputs, indexed, flags = [], list(numeric), [], []
     if categorical:
+        values = list(categorical)
+        if "MinorityCoalescer" in chain:
+            values = [f"{c}_common" for c in categorical]
+            stages.append(steps.MinorityCoalescer(inputCols=list(categorical), outputCols=values, **params_of(chain.index("MinorityCoalescer"))))
         indexed = [f"{c}_index" for c in categorical]
-        stages.append(FT.StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"))
-        if "OneHotEncoder" in steps:
+        stages.append(FT.StringIndexer(inputCols=values, outputCols=indexed, handleInvalid="keep"))
+        if "OneHotEncoder" in chain:
             hot = [f"{c}_hot" for c in categorical]
             stages.append(FT.OneHotEncoder(inputCols=indexed, outputCols=hot, handleInvalid="keep"))
             indexed = hot
-    else:
-        indexed = []
-    if "SimpleImputer" in steps:
+    if "MissingIndicator" in chain and numeric:
+        flags = [f"{c}_missing" for c in numeric]
+        says = ", ".join(f"CAST(`{c}` IS NULL OR isnan(`{c}`) AS DOUBLE) AS `{f}`" for c, f in zip(numeric, flags, strict=True))
+        stages.append(FT.SQLTransformer(statement=f"SELECT *, {says} FROM __THIS__"))
+    if "SimpleImputer" in chain and numeric:
         inputs = [f"{c}_imp" for c in numeric]
         stages.append(FT.Imputer(strategy="mean", inputCols=list(numeric), outputCols=inputs))
-    stages.append(FT.VectorAssembler(inputCols=inputs + indexed, outputCol="features_0", handleInvalid="keep"))
+    stages.append(FT.VectorAssembler(inputCols=inputs + indexed + flags, outputCol="features_0", handleInvalid="keep"))
     current = "features_0"
-    for i, step in enumerate(steps[:-1]):
-        if step in ("OneHotEncoder", "SimpleImputer"):
+    for i, step in enumerate(chain[:-1]):
+        if step in ON_COLUMNS:
             continue
-        params = {k.split(":", 1)[1]: v for k, v in config.items() if k.startswith(f"{i}:")}
         if step in CLASSIFIERS:
-            model = classifier(step, current, n_classes=n_classes, **params).setPredictionCol(f"prediction_{i}")
-            model = model.setProbabilityCol(f"probability_{i}").setRawPredictionCol(f"raw_{i}")
-            stages += [model, FT.VectorAssembler(
-                inputCols=[current, f"probability_{i}", f"prediction_{i}"], outputCol=f"features_{i + 1}")]
+            model = classifier(step, current, n_classes=n_classes, **params_of(i)).setPredictionCol(f"prediction_{i}").setRawPredictionCol(f"raw_{i}")
+            rated = f"raw_{i}"
+            if isinstance(model, C.OneVsRest):
+                # it reads the raw predictions of its learners under its own name for them
+                model.getClassifier().setRawPredictionCol(rated)
+            if hasattr(model, "setProbabilityCol"):
+                rated = f"probability_{i}"
+                model = model.setProbabilityCol(rated)
+            stages += [model, FT.VectorAssembler(inputCols=[current, rated, f"prediction_{i}"], outputCol=f"features_{i + 1}")]
         else:
-            stages.append(vector_step(step, current, f"features_{i + 1}", **params))
+            stages.append(vector_step(step, current, f"features_{i + 1}", **params_of(i)))
         current = f"features_{i + 1}"
-    last = len(steps) - 1
-    params = {k.split(":", 1)[1]: v for k, v in config.items() if k.startswith(f"{last}:")}
-    stages.append(classifier(steps[-1], current, n_classes=n_classes, **params))
+    stages.append(classifier(chain[-1], current, n_classes=n_classes, **params_of(len(chain) - 1)))
     return Pipeline(stages=stages)
 
 

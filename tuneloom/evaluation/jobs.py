@@ -74,8 +74,6 @@ def random_config(steps: Sequence[str], seed: int) -> dict:
     out = {}
     for i, step in enumerate(steps):
         for name, (lo, hi, log) in K.SPACES.get(step, {}).items():
-            if name == "keep_variance":
-                continue
             x = lo * (hi / lo) ** rng.random() if log else lo + (hi - lo) * rng.random()
             out[f"{i}:{name}"] = int(round(x)) if name in K.WHOLE else x
     return out

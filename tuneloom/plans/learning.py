@@ -139,7 +139,7 @@ def _line_vectors(spark, d):
 @query("pca")
 def pca(spark, d):
     df = _line_vectors(spark, d)
-    model = K.pca_keeping(df, 3, 0.7)
+    model = K.pca_keeping(df, 0.7)
     return model.transform(df).select("row_id", F.size(vector_to_array("reduced")).alias("k"), F.array_join(
         F.transform(vector_to_array("reduced"), lambda x: F.round(x, 4).cast("string")), ",").alias("reduced"))
 
