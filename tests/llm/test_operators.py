@@ -233,6 +233,36 @@ def test_page_cases(page, want):
     assert html_text.main_text(page) == want
 
 
+LONGER = "<p>A reader says this and that about the text, at great length and with many words.</p>" * 12
+PARTS = "<div class='sidebar'>Side text</div><div class='ad'>Buy this now</div><p class='widget'>Other things</p>"
+
+
+@pytest.mark.parametrize("attribute", ['style="overflow:hidden"', 'style="backface-visibility: hidden"', 'aria-hidden="false"', 'title="the hidden lake"', 'href="/hidden-lake"', "data-role=menu", 'data-class="sidebar"',
+                                       "hidden=until-found", 'class="has-sidebar"', 'class="no-sidebar"', 'class="page with-banner"', 'class="menu-open"', 'id="no-comments"'])
+def test_attributes_that_hide_nothing(attribute):
+    assert html_text.main_text(f"<body><div id=x>{BODY}<div {attribute}>A part of it.</div></div>") == TEXT + "\nA part of it."
+    assert html_text.main_text(f"<body><div {attribute}>{BODY}</div>{LEFT_OUT}") == TEXT
+    assert html_text.main_text(f"<body><div>{BODY}<p>See <a {attribute}>the lake</a> there.</p></div>") == TEXT + "\nSee the lake there."
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'hidden=""', "style='color:red;display:none'", "style=visibility:hidden", "role=navigation", "class='comment-body'", "class='entry-footer'", "id=content-sidebar", "class='post comments'"])
+def test_attributes_that_leave_out(attribute):
+    assert html_text.main_text(f"<body><article>{BODY}<div {attribute}><p>Not of it.</p></div></article>{LEFT_OUT}") == TEXT
+
+
+@pytest.mark.parametrize("name", ["comments-open", "no-comments", "comments", "has-sidebar", "sidebar", "with-banner", "banner"])
+def test_names_never_drop_the_main_text(name):
+    for page in (f"<html class='{name}'><body><article>{BODY}</article>{PARTS}", f"<body class='{name}'><div>{BODY}</div>{PARTS}", f"<body><article class='{name}'>{BODY}</article>{PARTS}",
+                 f"<body><main id='{name}'>{BODY}</main>{PARTS}", f"<body><div class='{name}'><article>{BODY}</article>{PARTS}</div>", f"<body><div class='{name}'><div>{BODY}</div>{PARTS}</div>"):
+        assert html_text.main_text(page) == TEXT, page
+
+
+def test_comments_beside_an_article():
+    for page in (f"<article>{BODY}</article><div id=comments>{LONGER}</div>", f"<article>{BODY}<div id=comments>{LONGER}</div></article>",
+                 f"<article>{BODY}</article><div id=comments><article class='comment-body'>{LONGER}</article></div>", f"<article>{BODY}<article class='comment'>{LONGER}</article></article>"):
+        assert html_text.main_text(f"<body>{page}") == TEXT, page
+
+
 def test_pages_frame(spark):
     frame = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>long " + "words " * 200_000, "y"), (1, "u", "<p>a", "z"), (1, "u", "<p>a", "z")], "page_id long, url string, html string, text string")
     got = sorted((r["page_id"] or 0, r["url"] or "", r["n_chars"]) for r in html_text.extract(frame).collect())

@@ -9,8 +9,11 @@ it. A node's sum adds the densities of its children (own text counts as a child)
 core; the least density on the path from the core to the body is the threshold, and nodes outside the core that reach it
 belong to the text as well. A core inside an article or main element grows to that element.
 
-Elements that never hold main text, and containers whose class or id says menu, advert, comment and the like, are left
-out before densities are taken. Nothing else is dropped.
+Elements that never hold main text, hidden ones, and containers whose class or id says menu, advert, comment and the like,
+are left out before densities are taken. By its class or id no body, html, article or main goes (but an article named a
+comment inside another article), and no container that holds an article or main, or blocks with most of the page's text
+outside links. Articles named comments do not keep their container, nor does much text keep comments beside an article
+with text of its own. Names that tell of a state (has-sidebar, no-comments, menu-open) say nothing. Nothing else is dropped.
 
 White space inside a block becomes one space, blocks are joined by line breaks in page order. Cases: null or empty html
 and pages without text give an empty text. Broken markup is closed as browsers do for paragraphs, list items and
@@ -54,14 +57,20 @@ ASIDE_WORDS = frozenset(
     "gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promotion promoted recommended "
     "related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split())
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
+#: Of the first, words of readers' comments, and words that no word of the second vouches against.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+SURE_WORDS = COMMENT_WORDS | {"footer", "sidebar"}
+#: A word after one of the first, or before one of the second as the name's last, tells of a state: has-sidebar, menu-open.
+STATE_BEFORE = frozenset("has have is no not with without".split())
+STATE_AFTER = frozenset("open opened closed enabled disabled collapsed off".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 MAIN_ELEMENTS = frozenset({"article", "main"})
 #: A core that is a part of the running text grows to the container around it.
 CONTAINERS = MAIN_ELEMENTS | {"body", "div", "section", "td"}
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<(?=[a-zA-Z/!])[^>]*+\Z""", re.S)
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|\b(hidden)\b(?!\s*=\s*["']?until)""", re.I)
-_HIDDEN = re.compile(r"""\bstyle\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDDEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
 @dataclass
@@ -71,24 +80,39 @@ class Tree:
     names: list[str] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
     texts: list[tuple[int, str]] = field(default_factory=list)
+    asides: dict[int, set[str]] = field(default_factory=dict)  # the aside words of nodes that have some
 
 
-def _aside(name: str, attributes: str) -> bool:
-    if name in ("html", "body", *MAIN_ELEMENTS) and "comment" not in attributes.lower():
-        return False
-    if _HIDDEN.search(attributes):
+def _attributes(text: str) -> dict[str, str]:
+    """Values by lower-case name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    if "hidden" in attributes and attributes["hidden"].strip().lower() != "until-found":
         return True
+    return bool(_HIDDEN.search(attributes.get("style", ""))) or attributes.get("role", "").strip().lower() in ASIDE_ROLES
+
+
+def _aside_words(attributes: dict[str, str]) -> set[str]:
+    """The words of class and id by which an element is not main text."""
     words: set[str] = set()
-    for kind, *values, hidden in _NAMES.findall(attributes):
-        value = "".join(values).lower()
-        if hidden or (kind.lower() == "role" and value in ASIDE_ROLES):
-            return True
-        words.update(re.split(r"[^a-z]+", value))
-    return bool(words & ASIDE_WORDS) and not words & MAIN_WORDS
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if len(parts) > 1 and parts[-1] in STATE_AFTER:
+            del parts[-2:]
+        words.update(x for k, x in enumerate(parts) if not (k and parts[k - 1] in STATE_BEFORE))
+    return words & (SURE_WORDS if words & MAIN_WORDS else ASIDE_WORDS)
 
 
 def parse(page: str) -> Tree:
-    """The tree of what may be main text; elements that never are have gone with everything inside."""
+    """The tree of what may be main text; elements that never are have gone with everything inside.
+
+    Those with aside words are in it: whether they go depends on what they hold.
+    """
     tree = Tree(["body"], [-1], [])
     stack = [0]
     skipped: list[str] = []  # open elements of the part left out
@@ -135,17 +159,24 @@ def parse(page: str) -> Tree:
         if name in CLOSES:
             _close(stack, names, *CLOSES[name])
         inside_main = any(names[k] in MAIN_ELEMENTS for k in stack)
-        if name in NEVER or (name == "header" and not inside_main) or _aside(name, attributes):
+        if name in ("html", "body"):
+            continue
+        opens = name not in VOID and not attributes.rstrip().endswith("/") or name in ("div", "section")
+        values = _attributes(attributes) if attributes else {}
+        if name in NEVER or (name == "header" and not inside_main) or (name not in MAIN_ELEMENTS and _hidden(values)):
             if raw:
                 at = _after(page, at)
-            elif name not in VOID and not attributes.rstrip().endswith("/") or name in ("div", "section"):
+            elif opens:
                 skipped.append(name)
             continue
-        if name in ("html", "body"):
+        words = _aside_words(values) if "class" in values or "id" in values else set()
+        if words and not opens:
             continue
         names.append(name)
         tree.parents.append(stack[-1])
         n += 1
+        if words:
+            tree.asides[n] = words
         if name == "br":
             tree.texts.append((n, " "))
         else:
@@ -170,6 +201,45 @@ def _close(stack: list[int], names: list[str], closing: set[str], fence: set[str
             return
 
 
+def without_asides(tree: Tree) -> Tree:
+    """The tree without the containers that their names say are not main text, but for those that hold it."""
+    if not tree.asides:
+        return tree
+    n, names, parents = len(tree.names), tree.names, tree.parents
+    in_link, in_article, plain, blocks, holds = [False] * n, [False] * n, [0] * n, [False] * n, [False] * n
+    comments = [bool(tree.asides.get(k, set()) & COMMENT_WORDS) for k in range(n)]
+    for k in range(1, n):
+        in_link[k] = names[k] == "a" or in_link[parents[k]]
+        in_article[k] = in_article[parents[k]] or (names[parents[k]] == "article" and not comments[parents[k]])
+    for k, text in tree.texts:
+        if not in_link[k]:
+            plain[k] += len(" ".join(text.split()))
+    for k in range(n - 1, 0, -1):
+        plain[parents[k]] += plain[k]
+        blocks[parents[k]] |= blocks[k] or names[k] in BLOCKS
+        holds[parents[k]] |= holds[k] or (names[k] in MAIN_ELEMENTS and not comments[k])
+    articles = [k for k in range(1, n) if names[k] == "article" and not comments[k]]
+    gone = [False] * n
+    for k in range(1, n):
+        gone[k] = gone[parents[k]]
+        if gone[k] or k not in tree.asides or holds[k]:
+            continue
+        if names[k] in MAIN_ELEMENTS and not (comments[k] and in_article[k]):
+            continue
+        gone[k] = not blocks[k] or 2 * plain[k] <= plain[0]
+        if comments[k] and not gone[k]:
+            above, node = set(), parents[k]
+            while node > 0:
+                above.add(node)
+                node = parents[node]
+            gone[k] = any(plain[a] > (plain[k] if a in above else 0) for a in articles)
+    place = [-1] * n
+    kept = [k for k in range(n) if not gone[k]]
+    for at, k in enumerate(kept):
+        place[k] = at
+    return Tree([names[k] for k in kept], [place[parents[k]] if k else -1 for k in kept], [(place[k], text) for k, text in tree.texts if not gone[k]])
+
+
 def densities(tree: Tree) -> tuple[list[float], list[float]]:
     """The composite density of each node and the sum over its children."""
     n = len(tree.names)
@@ -225,7 +295,7 @@ def _chosen(tree: Tree) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    tree = parse(page or "")
+    tree = without_asides(parse(page or ""))
     chosen = _chosen(tree)
     block = [0] * len(tree.names)
     for k in range(1, len(block)):
