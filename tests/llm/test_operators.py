@@ -121,6 +121,20 @@ def test_spans_keep_the_first_passage(spark):
     assert got[0][0] == 0 and all(got[k][0] == 14 and "Alpha" not in got[k][1] and f"Own{k}" in got[k][1] and f"Last{k}" in got[k][1] for k in range(1, 40))
 
 
+def test_spans_of_passages_fused_at_their_ends(spark):
+    """Passages of 51 and 55 words that begin and end inside a sentence: their whole sentences go if they make a span."""
+    for inner, size in ((3, 9), (2, 13)):
+        whole = [" ".join(f"m{inner}x{j}x{k}" for k in range(size)) + ". " for j in range(inner)]
+        ends = [" ".join(f"{e}{inner}x{k}" for k in range(n)) for e, n in zip("be", (12, 12) if inner == 3 else (13, 16), strict=True)]
+        passage = f"{ends[0]}. {''.join(whole)}{ends[1]}"
+        assert 51 <= len(words(passage)) <= 60
+        frame = spark.createDataFrame([(k, f"Own{k} begin{k} {passage} own{k} end{k}. Last{k}.") for k in range(5)], "doc_id long, text string")
+        for sentences in (3, 2):
+            got = keyed(spans.without_repeats(frame, sentences=sentences).collect(), "n_removed", "text")
+            gone = inner if inner >= sentences else 0
+            assert got[0][0] == 0 and all(got[k][0] == gone and (whole[0] in got[k][1]) == (not gone) and ends[0] in got[k][1] and ends[1] in got[k][1] for k in range(1, 5))
+
+
 # 3 tokens
 
 
