@@ -529,3 +529,26 @@ def test_mined_rules_against_brute_force(spark):
     pages = spark.createDataFrame([(1, "http://bad-news.example.net/"), (2, "http://good-news.example.net/"), (3, "http://bad.example.net")], "page_id long, url string")
     got = {r["page_id"]: (r["verdict"], r["evidence"]) for r in urls.judge(pages, labelled).collect()}
     assert got == {1: ("block", ["word:bad"]), 2: ("allow", None), 3: ("allow", None)}
+
+
+def test_rules_on_the_last_tokens_of_deep_urls(spark):
+    """A label that hangs on type and query, behind more than 16 tokens of host and folders."""
+    host, folders = ".".join(f"d{chr(97 + k)}" for k in range(22)), "/".join(f"f{chr(97 + k)}" for k in range(18))
+    made = [(f"http://{host}.net/{folders}/{k}.{'php' if k % 2 else 'html'}?{'ref' if k % 3 else 'ad'}={k}&z=1", k % 2 == 1 and k % 3 == 0) for k in range(120)]
+    labelled = spark.createDataFrame([*made, *((f"http://other.org/{k}", False) for k in range(40))], "url string, bad boolean")
+    pages = spark.createDataFrame([(1, "http://x.net/1.php?ad=1"), (2, "http://x.net/1.php?ref=1"), (3, "http://x.net/1.html?ad=1")], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["evidence"]) for r in urls.judge(pages, labelled).collect()}
+    assert got == {1: ("block", ["query:ad", "type:php"]), 2: ("allow", None), 3: ("allow", None)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_shortest_rules_are_those_of_all_rules(spark, seed):
+    rng = np.random.default_rng(seed)
+    made = []
+    for k in range(200):
+        a, b, c = rng.random(3) < (0.5, 0.4, 0.6)
+        path = "/".join(x for x, has in (("aa/ab", a), ("bb", b), ("cc", c), ("dd", rng.random() < 0.2)) if has)
+        made.append((f"http://w.{'m.n' if rng.random() < 0.5 else 'o'}.net/{path}/{k}?q", bool((a and b) or (c and b and rng.random() < 0.1) or rng.random() < 0.1)))
+    labelled = spark.createDataFrame(made, "url string, bad boolean")
+    every, short = (sorted((tuple(r["tokens"]), round(r["confidence"], 9), round(r["support"], 9)) for r in urls.shortest_rules(urls.mine(labelled, shortest=s)).collect()) for s in (False, True))
+    assert every == short and any(len(t) > 1 for t, _, _ in every)

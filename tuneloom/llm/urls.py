@@ -10,8 +10,11 @@ token and fits it if it has all the rule's tokens. Without a fitting rule a URL
 Tokens are the dot-separated labels of the host, their hyphen-separated words, the directories of the path without digits, the
 suffix of its last part and the names of query parameters.
 
-Learning reads distinct labelled URLs, at most `LEARN_URLS` by a hash, and of each the first `LEARN_TOKENS` tokens;
-judging reads all of every URL.
+Learning reads distinct labelled URLs, at most `LEARN_URLS` by a hash, and all tokens of each; judging reads all of every
+URL. Since only rules without a rule as a part are used, FP-growth gets no token that cannot be in one together with others:
+tokens too rare beside the label, tokens that are rules alone, tokens of all URLs, and all but one of the tokens that stand in
+the same URLs, which take its place in the rules found. No rule is lost by this, and rules have no greatest length: the work
+still grows fast with the number of other tokens that many URLs share.
 
 Cases: a null url, or one without `://`, has empty host and path, no tokens and the verdict allow. Null labels teach
 nothing. Repeated rows are judged one by one; repeated page_ids get one row per input row. Without labels there are no
@@ -20,6 +23,8 @@ rules. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +34,6 @@ from tuneloom.llm.text import written
 #: Fixed values of the contract: host, begin of the path, verdict.
 LISTED = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 LEARN_URLS = 200_000
-LEARN_TOKENS = 16
 LEAST_SUPPORT = 0.001
 LEAST_ROWS = 8
 LEAST_CONFIDENCE = 0.7
@@ -72,26 +76,50 @@ def _named(kind: str, values: Column) -> Column:
     return F.transform(F.filter(values, lambda x: F.length(x) > 0), lambda x: F.concat(F.lit(kind), x))
 
 
-def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, rows: int = LEAST_ROWS, confidence: float = LEAST_CONFIDENCE, most: int = LEARN_URLS, tokens: int = LEARN_TOKENS) -> DataFrame:
-    """(tokens, confidence, support) of the rules for `labelled` (url, bad): see the module."""
+_RULES = "tokens array<string>, confidence double, support double"
+
+
+def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, rows: int = LEAST_ROWS, confidence: float = LEAST_CONFIDENCE, most: int = LEARN_URLS, shortest: bool = False) -> DataFrame:
+    """(tokens, confidence, support) of the rules for `labelled` (url, bad): see the module.
+
+    With `shortest`, rules that have a rule as a part may be missing, and no others.
+    """
     known = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("bad"))
     known = known.orderBy(F.xxhash64("url"), "url").limit(most)
-    items = F.slice(tokens_of(F.col("url")), 1, tokens)
-    baskets = written(known.select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BLOCK)))).otherwise(items).alias("items")).where(F.size("items") > 0), "url-baskets")
+    baskets = written(known.select("url", "bad", tokens_of(F.col("url")).alias("items")).where(F.size("items") > 0), "url-baskets")
     n = baskets.count()
     if not n:
-        return labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, rows / n)), minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(
-        F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    return written(found, "url-rules")
+        return labelled.sparkSession.createDataFrame([], _RULES)
+    share = min(1.0, max(support, rows / n))
+    if not shortest:
+        return written(_grown(baskets, share, confidence), "url-rules")
+    each = baskets.select("url", "bad", F.explode("items").alias("token"))
+    counted = each.groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if("bad").alias("both"), F.bit_xor(F.xxhash64("url")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "url")).alias("h2"))
+    counted = written(counted.where(F.col("both") >= math.ceil(share * n)), "url-tokens")
+    sure = F.col("both") / F.col("n")
+    alone = counted.where(sure >= confidence).select(F.array("token").alias("tokens"), sure.alias("confidence"), (F.col("both") / n).alias("support"))
+    # tokens of the same URLs: the first by name stands for all
+    same = written(counted.where((sure < confidence) & (F.col("n") < n)).groupBy("n", "h1", "h2").agg(
+        F.min("token").alias("_chosen"), F.array_sort(F.collect_list("token")).alias("_members")).select("_chosen", "_members"), "url-classes")
+    chosen = each.join(F.broadcast(same.select("_chosen")), F.col("token") == F.col("_chosen"), "left").groupBy("url").agg(F.max("bad").alias("bad"), F.collect_list("_chosen").alias("items"))
+    found = _grown(written(chosen.select("bad", "items"), "url-chosen"), share, confidence)
+    members = found.select("tokens", "confidence", "support", F.explode("tokens").alias("_token")).join(F.broadcast(same), F.col("_token") == F.col("_chosen")).groupBy("tokens").agg(
+        F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.collect_list("_members").alias("_members"))
+    each_of = F.aggregate(
+        "_members", F.array(F.array().cast("array<string>")), lambda made, some: F.flatten(F.transform(made, lambda m: F.transform(some, lambda x: F.concat(m, F.array(x))))))
+    return written(alone.unionByName(members.select(F.explode(each_of).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))), "url-rules")
+
+
+def _grown(baskets: DataFrame, share: float, confidence: float) -> DataFrame:
+    """The rules of `baskets` (bad, items) for the label by FP-growth."""
+    labelled = baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(labelled)
+    return model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
 
 
 def shortest_rules(rules: DataFrame) -> DataFrame:
-    """Rules of which no part is a rule: a part that blocks makes the longer combination superfluous.
-
-    Every rule is looked up by the subsets of its tokens, at most `LEARN_TOKENS` of them.
-    """
+    """Rules of which no part is a rule: a part that blocks makes the longer combination superfluous."""
     one = rules.select("tokens", F.explode("tokens").alias("_t"))
     parts = rules.select(F.col("tokens").alias("_part"), F.element_at("tokens", 1).alias("_t"))
     longer = one.join(parts, "_t").where((F.size("_part") < F.size("tokens")) & (F.size(F.array_except("_part", "tokens")) == 0)).select("tokens").distinct()
@@ -105,7 +133,7 @@ def judge(pages: DataFrame, labelled: DataFrame, listed_rules: tuple[tuple[str,
     name, says = listed(host, path, listed_rules)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.select("*", name.alias("rule"), says.alias("says"))
-    rules = shortest_rules(mine(labelled))
+    rules = shortest_rules(mine(labelled, shortest=True))
     # the inverted index: each rule under its token that is rarest among the rules' URLs
     open_urls = rows.where("rule is null and url is not null").select("url").distinct().select("url", tokens_of(F.col("url")).alias("has"))
     often = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("rules_with"))
