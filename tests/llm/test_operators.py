@@ -435,6 +435,24 @@ def test_quality_cases(spark, odd):
     assert quality.score(odd.limit(0), quality.fit(odd, labels, rounds=2)).count() == 0
 
 
+def test_quality_learns_from_all_parts_of_a_document():
+    for n, most in ((2000, 512), (512, 512), (513, 512), (70, 64), (0, 512), (1999, 512)):
+        found = [quality._chosen_lines(i, n, most) for i in range(40)]
+        for rows in found:
+            assert (np.diff(rows) > 0).all() and (len(rows) == n if n <= most else most - quality.CHAIN < len(rows) <= most)
+            assert all(len(list(g)) == min(quality.CHAIN, n - k * quality.CHAIN) for k, g in itertools.groupby(rows // quality.CHAIN))
+        assert set(np.concatenate(found).tolist()) == set(range(n))
+
+
+def test_quality_learns_junk_that_comes_late(spark):
+    plain, junk = "This is a line of plain words that says something about the day.", "$$$ ### @@@ 999 *** BUY === ~~~"
+    rows = [(k, "\n".join([plain] * 600 + [junk if k % 2 else plain] * 1400)) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = quality.fit(docs, spark.createDataFrame([(k, 1 - k % 2) for k, _ in rows], "doc_id long, quality int"), rounds=60)
+    good, bad = quality.document_scores(pa.array([plain + "\n" + plain, junk + "\n" + junk], pa.large_string()), chain)
+    assert bad < 0.2 < good - 0.2
+
+
 # 9 packing
 
 

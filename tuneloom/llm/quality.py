@@ -5,8 +5,9 @@ the same measures of the line before and after it, its neighbourhood; transition
 Labels are known for documents only, so all lines of a learning document carry its label. Forward-backward gives every
 line its marginal of being good, and the document's score is their mean weighted by the lines' lengths.
 
-Learning is the only step on a sample: `LEARN_DOCUMENTS` labelled documents by the order of a hash of their id, at most
-`LEARN_LINES` lines of each in chains of `CHAIN` lines. Scoring reads every line of every text.
+Learning is the only step on a sample: `LEARN_DOCUMENTS` labelled documents by the order of a hash of their id, of each all
+lines in chains of `CHAIN` lines or, where there are more than `LEARN_LINES`, as many whole chains from the whole document by
+the order of a hash of its id and their number. Scoring reads every line of every text.
 
 Cases: a null text and a text without lines score the share of good learning documents. Null labels teach nothing; of
 labels that repeat a doc_id the smallest counts. Without learning documents every score is 0.5. Rows are answered one
@@ -194,12 +195,22 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 _FEATURES_ARROW = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("lines", pa.int32()), ("features", pa.binary())])
 
 
+def _chosen_lines(doc_id: int, n: int, most: int) -> np.ndarray:
+    """The lines of a document with `n` lines to learn from, in their order."""
+    lines = np.arange(n)
+    if n <= most:
+        return lines
+    chains = np.arange(-(-n // CHAIN), dtype=np.uint64)
+    order = np.argsort(mix(mix(chains + np.uint64(1)) ^ np.array([doc_id], np.int64).view(np.uint64)), kind="stable")
+    return lines[np.isin(lines // CHAIN, order[: max(1, most // CHAIN)])]
+
+
 def _feature_rows(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = lines_of(batch.column("text"))
             edges = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
-            parts = [found.features[a : min(b, a + most)].astype(np.float32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            parts = [found.features[a + _chosen_lines(i, b - a, most)].astype(np.float32) for i, a, b in zip(batch.column("doc_id").to_pylist(), edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("quality"), pa.array([len(p) for p in parts], pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=_FEATURES_ARROW)
 
