@@ -366,6 +366,17 @@ def test_near_links(spark, bucket, block):
     assert got == brute_links(rows)
 
 
+def test_near_links_of_ids_with_several_texts(spark):
+    """Ids that stand on rows with unlike texts: each text has its own links, and only texts with one go."""
+    like = lambda name, changed="": " ".join(f"{name}{k}" for k in range(60)) + changed
+    rows = [(9, like("a")), (9, like("b")), (9, like("c")), (3, like("a", " x")), (4, like("b", " x")), (5, like("c", " x")), (6, like("b", " y")), (7, like("d"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["class_id"], r["set_id"], r["n_links"]) for r in near.near_links(frame).collect())
+    assert got == collections.Counter([(9, 3, 9, 1), (9, 4, 9, 2), (9, 5, 9, 1), (3, 3, 3, 1), (4, 4, 4, 2), (5, 5, 5, 1), (6, 4, 6, 2), (7, 7, 7, 0)])
+    frame = spark.createDataFrame([*rows, (9, like("e"))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"][0]) for r in near.keep_one(frame).collect()) == [(3, "a"), (4, "b"), (5, "c"), (7, "d"), (9, "e")]
+
+
 def test_near_cases(spark, odd):
     got = near.near_links(odd).collect()
     assert len(got) == len(ODD)

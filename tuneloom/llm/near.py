@@ -17,8 +17,8 @@ similarity of its sets is at least the threshold.
 A leaf returns for each set its number of links and the smallest member it hangs together with, never the pairs.
 
 Cases: null or wordless texts have no shingles, no links and a class of their own; a text of one to four words is one
-shingle. Rows without doc_id are returned with null classes and no links. Rows that repeat a doc_id take the first
-set by hash. An empty table gives no rows. Columns besides doc_id and text are not read.
+shingle. Rows without doc_id are returned with null classes and no links. Rows that repeat a doc_id are judged each by
+its own text: sets have numbers of their own until the end. An empty table gives no rows. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -72,8 +72,8 @@ def _tokens(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-_SETS = "doc_id long, size int, print1 long, print2 long, tokens binary"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("print1", pa.int64()), ("print2", pa.int64()), ("tokens", pa.binary())])
+_SETS = "doc_id long, text_hash long, size int, print1 long, print2 long, tokens binary"
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("size", pa.int32()), ("print1", pa.int64()), ("print2", pa.int64()), ("tokens", pa.binary())])
 
 
 def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingles(batch.column("text"))
         prints = np.array([(mix(s ^ _SEED).sum(dtype=np.uint64), s.sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
+            batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
             pa.array([_tokens(s).tobytes() if len(s) else None for s in sets], pa.binary()),
         ], schema=_SETS_ARROW)
 
@@ -358,6 +358,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("set_id", "label")
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of it, which tells the texts of a repeated doc_id apart."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.withColumn("text_hash", F.xxhash64("text"))
+
+
 def near_links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id, set_id, n_links.
 
@@ -365,12 +371,18 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     least `threshold`, class_id the smallest doc_id of everything that hangs together by links or equal sets. `bucket`
     and `block` size leaves and tasks and don't change which pairs are compared inside a leaf.
     """
+    return _linked(docs, threshold, recall, bucket, block).select("doc_id", "class_id", "set_id", "n_links")
+
+
+def _linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """The columns of `near_links`, and text_hash."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = _texts(docs)
     prints = written(texts.mapInArrow(_embed, _SETS), "near-prints")
     known = prints.where("doc_id is not null and size > 0")
-    sets = written(known.groupBy("print1", "print2").agg(F.min(F.struct("doc_id", "tokens")).alias("least")).select(
-        "print1", "print2", F.col("least.doc_id").alias("set_id"), F.col("least.tokens").alias("tokens")), "near-sets")
+    # within these steps set_id is a number of the set's own
+    sets = written(known.groupBy("print1", "print2").agg(F.min(F.struct("doc_id", "text_hash", "tokens")).alias("least")).select(
+        "print1", "print2", F.monotonically_increasing_id().alias("set_id"), F.struct("least.doc_id", "least.text_hash").alias("first"), F.col("least.tokens").alias("tokens")), "near-sets")
     found = written(leaves(sets, threshold, recall, bucket), "near-leaves")
     least = max(1, math.floor(WIDTH * threshold - SLACK * math.sqrt(WIDTH * threshold * (1 - threshold))))
     lists = found.groupBy("set_id").agg(F.array_sort(F.collect_set("path")).alias("earlier"))
@@ -382,22 +394,27 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     spread = lambda df: df.repartitionByRange(width, *keys).sortWithinPartitions(*keys)
     need = written(spread(rows).mapInArrow(_needed(least), _NEED), "near-needed")
     # up to a bound the ids go to the texts, beyond it the texts are dealt by id
-    ids = sent_if_few(written(need.select(F.col("set_id").alias("doc_id")).distinct(), "near-ids"))
-    whole = texts.join(ids, "doc_id").select(F.col("doc_id").alias("set_id"), "text").dropDuplicates(["set_id"])
+    ids = sent_if_few(written(need.select("set_id").distinct().join(sets, "set_id").select("set_id", "first.doc_id", "first.text_hash"), "near-ids"))
+    whole = texts.join(ids, ["doc_id", "text_hash"]).select("set_id", "text").dropDuplicates(["set_id"])
     exact = written(whole.mapInArrow(_shingle_rows, "set_id long, shingles binary"), "near-shingles")
     links = written(spread(need.join(exact, "set_id")).mapInArrow(_verify(least, threshold), _LINKS), "near-links")
-    groups = components(links.select("set_id", "root"))
+    groups = written(components(links.select("set_id", "root")).join(sets.select("set_id", "first"), "set_id"), "near-groups")
+    groups = groups.join(groups.groupBy("group_id").agg(F.min("first.doc_id").alias("least_id")), "group_id").select("set_id", "least_id")
     counts = links.groupBy("set_id").agg(F.sum("links").alias("n_links"))
-    per_set = sets.select("print1", "print2", "set_id").join(counts, "set_id", "left").join(groups, "set_id", "left")
-    named = prints.select("doc_id", "size", "print1", "print2").join(
+    per_set = sets.select("print1", "print2", "set_id", "first").join(counts, "set_id", "left").join(groups, "set_id", "left")
+    named = prints.select("doc_id", "text_hash", "size", "print1", "print2").join(
         per_set.withColumnsRenamed({"print1": "p1", "print2": "p2"}),
         (F.col("print1") == F.col("p1")) & (F.col("print2") == F.col("p2")) & (F.col("size") > 0) & F.col("doc_id").isNotNull(), "left")
-    return named.select("doc_id", F.coalesce("group_id", "set_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"),
-                        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return named.select(
+        "doc_id", F.coalesce("least_id", "first.doc_id", "doc_id").alias("class_id"), F.coalesce("first.doc_id", "doc_id").alias("set_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stay, with all their columns: of each group the one with the smallest doc_id."""
-    other = free_name(docs, "near_id")
-    found = near_links(docs, threshold).where("doc_id != class_id").select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(sent_if_few(written(found, "near-dropped")), F.col("doc_id") == F.col(other), "left_anti")
+    """The documents that stay, with all their columns: of each group the one with the smallest doc_id.
+
+    Where a doc_id has several texts, each goes or stays by its own group.
+    """
+    other, its_hash = free_name(docs, "near_id"), free_name(docs, "near_hash")
+    found = _linked(docs, threshold).where("doc_id != class_id").select(F.col("doc_id").alias(other), F.col("text_hash").alias(its_hash)).distinct()
+    return docs.join(sent_if_few(written(found, "near-dropped")), (F.col("doc_id") == F.col(other)) & (F.xxhash64(F.col("text").cast("string")) == F.col(its_hash)), "left_anti")
