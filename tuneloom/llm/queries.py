@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneloom.llm import decontaminate, exact, html_text, language, near, packing, quality, spans, sql, tokens, urls
+from tuneloom.llm import decontaminate, exact, html_text, language, merkle, near, packing, quality, sharding, spans, sql, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,9 +74,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, numbered.join(bad, "doc_id").select("url", "bad"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_language_id, op2_substring_dedup, op3_token_counts, op4_decontamination, op5_html_text, op6_exact_dedup, op7_jaccard_join, op8_quality, op9_packing, op10_url_filter)}
+    op1_language_id, op2_substring_dedup, op3_token_counts, op4_decontamination, op5_html_text, op6_exact_dedup, op7_jaccard_join, op8_quality, op9_packing, op10_url_filter,
+    op11_merkle_manifest, op12_sharding)}
 
 SQL = {
-    "op2_substring_dedup": sql.SPANS, "op4_decontamination": sql.DECONTAMINATION, "op6_exact_dedup": sql.EXACT, "op7_jaccard_join": sql.NEAR,
+    "op2_substring_dedup": sql.SPANS, "op4_decontamination": sql.DECONTAMINATION, "op6_exact_dedup": sql.EXACT, "op7_jaccard_join": sql.NEAR, "op11_merkle_manifest": sql.MERKLE,
+    "op12_sharding": sql.SHARDING,
 }

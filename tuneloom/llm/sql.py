@@ -77,3 +77,88 @@ counts AS (SELECT a AS set_id, count(*) AS n FROM edges GROUP BY a)
 SELECT doc_id, coalesce(g.class_id, n.set_id) AS class_id, n.set_id, coalesce(c.n, 0) AS n_links
 FROM named n LEFT JOIN groups g USING (set_id) LEFT JOIN counts c USING (set_id)
 """
+
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The remainders of a byte, and the unsigned checksum of the bytes that the hexadecimal column `{0}` spells; `crc` is the table of remainders.
+CRC_TABLE = "[list_reduce(list_concat([CAST(i AS BIGINT)], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) FOR i IN range(256)]"
+CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], [CAST('0x' || {0}[2 * k + 1:2 * k + 2] AS BIGINT) FOR k IN range(len({0}) // 2)]),
+             lambda a, b: xor(a >> 8, crc[xor(a, b) % 256 + 1])), 4294967295)"""
+
+
+def _said(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE octet_length(encode(CAST({column} AS VARCHAR))) || ':' || {column} END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_said(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _climb(name: str, start: str, nodes: str) -> str:
+    """A recursive table that climbs from `start` (id, tree, place, folded, proof) to the top of the trees in `nodes`."""
+    return f"""
+{name} AS (
+  SELECT id, tree, 0 AS level, place, folded, proof FROM {start}
+  UNION ALL
+  SELECT c.id, c.tree, c.level + 1, c.place // 8, sha256(string_agg(CASE WHEN n.place = c.place THEN c.folded ELSE n.digest END, '' ORDER BY n.place)),
+         c.proof || string_agg(CASE WHEN n.place = c.place THEN '' ELSE n.digest END, '' ORDER BY n.place)
+  FROM {name} c JOIN {nodes} n ON n.tree = c.tree AND n.level = c.level AND n.place // 8 = c.place // 8 WHERE n.width > 1
+  GROUP BY c.id, c.tree, c.level, c.place, c.folded, c.proof
+)"""
+
+
+def _nodes(name: str, ground: str) -> str:
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, place, digest, width FROM {ground}
+  UNION ALL
+  SELECT tree, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (width + 7) // 8 FROM {name} WHERE width > 1 GROUP BY tree, level, place // 8, width
+)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE crcs AS MATERIALIZED (SELECT {CRC_TABLE} AS crc),
+leaves AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, {_leaf('text')} AS leaf,
+         CASE WHEN {CRC.format('h')} % 3 = 0 THEN {_leaf(LOWER.format('text'))} ELSE {_leaf('text')} END AS folded
+  FROM (SELECT *, hex(encode(CAST(doc_id AS VARCHAR))) AS h FROM documents), crcs
+), langs AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) AS tree FROM (SELECT DISTINCT lang FROM documents)),
+ground AS (
+  SELECT l.*, l.leaf AS digest, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS place, count(*) OVER (PARTITION BY tree) AS width
+  FROM leaves l JOIN langs g ON l.lang IS NOT DISTINCT FROM g.lang
+), {_nodes('nodes', 'ground')},
+subroots AS (SELECT 0 AS tree, tree - 1 AS place, digest, count(*) OVER () AS width FROM nodes WHERE width = 1), {_nodes('tops', 'subroots')},
+below AS (SELECT id, tree, place, folded, '' AS proof FROM ground), {_climb('low', 'below', 'nodes')},
+above AS (SELECT id, 0 AS tree, tree - 1 AS place, folded, proof FROM (SELECT *, max(level) OVER (PARTITION BY id) AS m FROM low) WHERE level = m), {_climb('high', 'above', 'tops')},
+ended AS (SELECT id, folded, proof FROM (SELECT *, max(level) OVER (PARTITION BY id) AS m FROM high) WHERE level = m)
+SELECT g.doc_id, g.leaf, s.digest AS subroot, r.digest AS root, sha256(e.proof) AS proof_sha256, e.folded AS folded_root, e.folded = r.digest AS verified
+FROM ground g JOIN ended e USING (id) JOIN subroots s ON s.place = g.tree - 1, (SELECT digest FROM tops WHERE width = 1) r
+"""
+
+
+def _drawn(path: str, child: str, weight: str) -> str:
+    return f"-ln((CAST('0x' || md5({path} || '/' || {child} || ':' || k)[1:13] AS BIGINT) + 0.5e0) / 4503599627370496e0) / {weight}"
+
+
+SHARDING = f"""
+WITH crcs AS MATERIALIZED (SELECT {CRC_TABLE} AS crc),
+shards AS (
+  SELECT n, s AS shard, CASE WHEN s < 16 THEN 'region' || (s * 2) // 16 ELSE 'region-of-' || s END AS region, CASE WHEN s < 16 THEN 'rack' || (s * 4) // 16 ELSE 'rack-of-' || s END AS rack
+  FROM (SELECT unnest([16, 17]) AS n), (SELECT unnest(range(17)) AS s) WHERE s < n
+), keys AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), '-') AS k FROM documents),
+regions AS (
+  SELECT k, n, arg_min(region, t) AS region FROM (
+    SELECT k, n, region, {_drawn("''", 'region', 'w')} AS t FROM keys, (SELECT n, region, count(*) AS w FROM shards GROUP BY n, region)) GROUP BY k, n
+), racks AS (
+  SELECT k, n, region, arg_min(rack, t) AS rack FROM (
+    SELECT k, n, region, rack, {_drawn("'/' || region", 'rack', 'w')} AS t FROM regions JOIN (SELECT n, region, rack, count(*) AS w FROM shards GROUP BY n, region, rack) USING (n, region)) GROUP BY k, n, region
+), placed AS (
+  SELECT k, n, arg_min(shard, t) AS shard FROM (
+    SELECT k, n, shard, {_drawn("'/' || region || '/' || rack", 'shard', '1e0')} AS t FROM racks JOIN shards USING (n, region, rack)) GROUP BY k, n
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(a.shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY a.shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(b.shard AS INTEGER) AS grown_shard
+FROM (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '-') AS k, len(h) // 2 + 1 AS size, {CRC.format('h')} AS text_crc32
+      FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), crcs)
+JOIN placed a USING (k) JOIN placed b USING (k) WHERE a.n = 16 AND b.n = 17
+"""
