@@ -80,10 +80,24 @@ FROM named n LEFT JOIN groups g USING (set_id) LEFT JOIN counts c USING (set_id)
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: The remainders of a byte, and the unsigned checksum of the bytes that the hexadecimal column `{0}` spells; `crc` is the table of remainders.
-CRC_TABLE = "[list_reduce(list_concat([CAST(i AS BIGINT)], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) FOR i IN range(256)]"
-CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], [CAST('0x' || {0}[2 * k + 1:2 * k + 2] AS BIGINT) FOR k IN range(len({0}) // 2)]),
-             lambda a, b: xor(a >> 8, crc[xor(a, b) % 256 + 1])), 4294967295)"""
+#: Checksums: `crc` has the remainder of each byte, `far` those of each byte of a state that 64 zero bytes follow.
+_SHIFT = "lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+CRCS = f"""
+  SELECT [list_reduce(list_concat([CAST(i AS BIGINT)], range(8)), {_SHIFT}) FOR i IN range(256)] AS crc,
+         [[list_reduce(list_concat([CAST(i AS BIGINT) << 8 * j], range(512)), {_SHIFT}) FOR i IN range(256)] FOR j IN range(4)] AS far"""
+
+
+def _crc(spelled: str) -> str:
+    """The unsigned checksum of the bytes that a hexadecimal column spells: stretches of 64 bytes each, put together, then the rest."""
+    def through(state: str, text: str) -> str:
+        return f"""list_reduce(list_concat([{state}], [CAST('0x' || {text}[2 * k + 1:2 * k + 2] AS BIGINT) FOR k IN range(len({text}) // 2)]),
+          lambda a, b: xor(a >> 8, crc[xor(a, b) % 256 + 1]))"""
+
+    stretches = f"[{through('CAST(0 AS BIGINT)', 's')} FOR s IN [{spelled}[128 * i + 1:128 * i + 128] FOR i IN range(len({spelled}) // 128)]]"
+    moved = " , ".join(f"far[{j + 1}][(a >> {8 * j}) % 256 + 1]" for j in range(4))
+    joined = "xor(xor(xor(xor({}, {}), {}), {}), b)".format(*moved.split(" , "))
+    whole = f"list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {stretches}), lambda a, b: {joined})"
+    return f"xor({through(whole, f'{spelled}[128 * (len({spelled}) // 128) + 1:]')}, 4294967295)"
 
 
 def _said(column: str) -> str:
@@ -117,10 +131,10 @@ def _nodes(name: str, ground: str) -> str:
 
 
 MERKLE = f"""
-WITH RECURSIVE crcs AS MATERIALIZED (SELECT {CRC_TABLE} AS crc),
+WITH RECURSIVE crcs AS MATERIALIZED ({CRCS}),
 leaves AS (
   SELECT row_number() OVER () AS id, doc_id, lang, {_leaf('text')} AS leaf,
-         CASE WHEN {CRC.format('h')} % 3 = 0 THEN {_leaf(LOWER.format('text'))} ELSE {_leaf('text')} END AS folded
+         CASE WHEN {_crc('h')} % 3 = 0 THEN {_leaf(LOWER.format('text'))} ELSE {_leaf('text')} END AS folded
   FROM (SELECT *, hex(encode(CAST(doc_id AS VARCHAR))) AS h FROM documents), crcs
 ), langs AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) AS tree FROM (SELECT DISTINCT lang FROM documents)),
 ground AS (
@@ -141,7 +155,7 @@ def _drawn(path: str, child: str, weight: str) -> str:
 
 
 SHARDING = f"""
-WITH crcs AS MATERIALIZED (SELECT {CRC_TABLE} AS crc),
+WITH crcs AS MATERIALIZED ({CRCS}),
 shards AS (
   SELECT n, s AS shard, CASE WHEN s < 16 THEN 'region' || (s * 2) // 16 ELSE 'region-of-' || s END AS region, CASE WHEN s < 16 THEN 'rack' || (s * 4) // 16 ELSE 'rack-of-' || s END AS rack
   FROM (SELECT unnest([16, 17]) AS n), (SELECT unnest(range(17)) AS s) WHERE s < n
@@ -158,7 +172,7 @@ regions AS (
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(a.shard AS INTEGER) AS shard,
        row_number() OVER (PARTITION BY a.shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(b.shard AS INTEGER) AS grown_shard
-FROM (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '-') AS k, len(h) // 2 + 1 AS size, {CRC.format('h')} AS text_crc32
+FROM (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '-') AS k, len(h) // 2 + 1 AS size, {_crc('h')} AS text_crc32
       FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), crcs)
 JOIN placed a USING (k) JOIN placed b USING (k) WHERE a.n = 16 AND b.n = 17
 """
