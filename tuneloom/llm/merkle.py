@@ -7,9 +7,9 @@ of the languages, form the tree of the root in the same way.
 `build` writes each level as rows that link to their parent: the place of the node, the digests of its children, its own
 place among its parent's children, its parent. Two joins of that table with itself then string `HOP` ancestors together,
 so that `climb`, a recursive query, ascends `HOP` levels in each of its steps: every leaf appends the digests of its
-siblings to its proof and folds its own digest, which may be that of a tampered row, with them up to the root. Spark
-shuffles the rows of each step of a recursive query; a step of one level would move every proof as often as the tree has
-levels.
+siblings to its proof and folds its own digest, which may be that of a tampered row, with them up to the root. A proof
+that has come to the root is put down to its digest. Spark shuffles the rows of each step of a recursive query; a step of
+one level would move every proof as often as the tree has levels.
 
 Nodes near the root are met by every leaf below them. Such a node stands in the climbed table once for every `SPREAD`
 leaves below it, and the leaves are dealt out over these copies, so no key of the join holds more than `SPREAD` rows; the
@@ -28,12 +28,14 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneloom.llm.ranks import numbered, ranked
+from tuneloom.llm.ranks import numbered, ranked, written_rows
 from tuneloom.llm.text import sent_if_few, written
+from tuneloom.session import shuffle_width
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 RUN = 8
@@ -71,12 +73,15 @@ def leaves_of(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     return written(made, "merkle-leaves")
 
 
+_NODE = "struct<tree:long,level:int,place:long>"
+
+
 def node(tree: Column, level: Column, place: Column) -> Column:
     return F.struct(tree.cast("long").alias("tree"), level.cast("int").alias("level"), place.cast("long").alias("place"))
 
 
-def _levels(ground: DataFrame, most: int, label: str) -> Iterator[DataFrame]:
-    """The written levels above `ground` (tree, place, digest, below, width), whose widest tree has `most` nodes."""
+def _levels(ground: DataFrame, nodes: int, most: int, trees: int, label: str) -> Iterator[tuple[DataFrame, int]]:
+    """The written levels above the `nodes` rows of `ground` (tree, place, digest, below, width) and about their rows; the widest tree has `most` nodes."""
     level = ground
     for height in range(1, 64):
         if most <= 1:
@@ -85,40 +90,44 @@ def _levels(ground: DataFrame, most: int, label: str) -> Iterator[DataFrame]:
         children = F.array_sort(F.collect_list(F.struct("place", "digest")))["digest"]
         runs = level.where("width > 1").groupBy("tree", parent.alias("place"), F.ceil(F.col("width") / RUN).cast("long").alias("width")).agg(
             F.concat_ws("", F.transform(children, F.hex)).alias("_run"), F.sum("below").alias("below"))
-        level = written(runs.select(
-            "tree", F.lit(height).alias("level"), "place", F.unhex("_run").alias("run"), digest(F.lower("_run")).alias("digest"), "below", "width"), f"{label}-{height}")
-        most = -(-most // RUN)
-        yield level
+        most, nodes = -(-most // RUN), nodes // RUN + trees
+        level = written_rows(runs.select(
+            "tree", F.lit(height).alias("level"), "place", F.unhex("_run").alias("run"), digest(F.lower("_run")).alias("digest"), "below", "width"), f"{label}-{height}", nodes)
+        yield level, nodes
 
 
-class Manifest:
-    """The built trees: `leaves` (with tree and place), `nodes`, `subroots` (tree, digest) and `root` as hex text, None without rows."""
+class Manifest(NamedTuple):
+    """The built trees: `leaves` (with tree and place), about `count` `nodes`, `subroots` (tree, digest) and `root` as hex text, None without rows."""
 
-    def __init__(self, leaves: DataFrame, nodes: DataFrame, subroots: DataFrame, trees: int, root: str | None) -> None:
-        self.leaves, self.nodes, self.subroots, self.trees, self.root = leaves, nodes, subroots, trees, root
+    leaves: DataFrame
+    nodes: DataFrame
+    count: int
+    subroots: DataFrame
+    trees: int
+    root: str | None
 
 
 def build(leaves: DataFrame) -> Manifest:
     """The trees over `leaves` (written; doc_id, lang, leaf, row and any others)."""
     placed = ranked(leaves, ["lang"], ["doc_id", "leaf", "row"], "merkle-order")
     langs = written(placed.groupBy("lang").agg(F.first("members").alias("size")), "merkle-langs")
-    named = written(ranked(langs, [], ["lang"], "merkle-lang-order").select(F.col("lang").alias("_lang"), (F.col("rank") + 1).alias("tree")), "merkle-trees")
-    trees, most = langs.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
-    placed = written(placed.join(sent_if_few(named), F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang").withColumnsRenamed({"rank": "place", "members": "width"}), "merkle-placed")
+    trees, total, most = langs.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    named = written_rows(ranked(langs, [], ["lang"], "merkle-lang-order").select(F.col("lang").alias("_lang"), (F.col("rank") + 1).alias("tree")), "merkle-trees", trees)
+    placed = placed.join(sent_if_few(named), F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang").withColumnsRenamed({"rank": "place", "members": "width"})
     ground = placed.select("tree", "place", F.col("leaf").alias("digest"), F.lit(1).cast("long").alias("below"), "width")
-    low = list(_levels(ground, most, "merkle-level"))
+    low = list(_levels(ground, total, most, trees, "merkle-level"))
     top = ["tree", "digest", "below"]
     subroots = ground.where("width = 1").select(*top)
-    for level in low:
+    for level, _ in low:
         subroots = subroots.unionByName(level.where("width = 1").select(*top))
-    subroots = written(subroots, "merkle-subroots")
-    high = list(_levels(subroots.select(F.lit(0).cast("long").alias("tree"), (F.col("tree") - 1).alias("place"), "digest", "below", F.lit(trees).cast("long").alias("width")), trees, "merkle-top"))
-    last = (high[-1] if high else subroots).select("digest").first()
-    spark = leaves.sparkSession
-    nodes = spark.createDataFrame([], "node struct<tree:long,level:int,place:long>, run binary, up long, parent struct<tree:long,level:int,place:long>, below long")
-    for level in [*low, *high]:
+    subroots = written_rows(subroots, "merkle-subroots", trees)
+    high = list(_levels(subroots.select(F.lit(0).cast("long").alias("tree"), (F.col("tree") - 1).alias("place"), "digest", "below", F.lit(trees).cast("long").alias("width")), trees, trees, 1, "merkle-top"))
+    last = (high[-1][0] if high else subroots).select("digest").first()
+    nodes = leaves.sparkSession.createDataFrame([], f"node {_NODE}, run binary, up long, parent {_NODE}, below long")
+    for level, _ in [*low, *high]:
         nodes = nodes.unionByName(level.select(node(F.col("tree"), F.col("level"), F.col("place")).alias("node"), "run", *_link(F.col("level"), trees), "below"))
-    return Manifest(placed, nodes, subroots.select("tree", "digest"), trees, last["digest"].hex() if last else None)
+    count = sum(n for _, n in [*low, *high])
+    return Manifest(placed, written_rows(nodes, "merkle-nodes", count), count, subroots.select("tree", "digest"), trees, last["digest"].hex() if last else None)
 
 
 def _link(level: Column, trees: int) -> tuple[Column, Column]:
@@ -130,17 +139,16 @@ def _link(level: Column, trees: int) -> tuple[Column, Column]:
     return up.alias("up"), parent.alias("parent")
 
 
-def hops(nodes: DataFrame) -> DataFrame:
-    """For each node and copy of it the `HOP` runs above its children, as far as the tree goes, and the node to go on with."""
-    nodes = written(nodes, "merkle-nodes")
+def hops(nodes: DataFrame, count: int) -> DataFrame:
+    """For each of `count` nodes and each copy the `HOP` runs above its children, as far as the tree goes, and the node to go on with."""
     made = nodes.select("node", F.array(F.struct("run", "up")).alias("steps"), F.col("parent").alias("next"), "below")
     for _ in range(HOP.bit_length() - 1):
         above = made.select(F.col("node").alias("next"), F.col("steps").alias("_more"), F.col("next").alias("_next"))
-        made = written(made.join(above, "next", "left").select(
-            "node", F.when(F.col("_more").isNull(), F.col("steps")).otherwise(F.concat("steps", "_more")).alias("steps"), F.col("_next").alias("next"), "below"), "merkle-hops")
+        made = written_rows(made.join(above, "next", "left").select(
+            "node", F.when(F.col("_more").isNull(), F.col("steps")).otherwise(F.concat("steps", "_more")).alias("steps"), F.col("_next").alias("next"), "below"), "merkle-hops", count)
     sizes = nodes.select(F.col("node").alias("next"), _copies(F.col("below")).alias("next_copies"))
     made = made.join(sizes, "next", "left").select("node", "steps", "next", F.coalesce("next_copies", F.lit(1).cast("long")).alias("next_copies"), "below")
-    return written(made.select("node", F.explode(F.sequence(F.lit(0).cast("long"), _copies(F.col("below")) - 1)).alias("copy"), "steps", "next", "next_copies"), "merkle-climb")
+    return written_rows(made.select("node", F.explode(F.sequence(F.lit(0).cast("long"), _copies(F.col("below")) - 1)).alias("copy"), "steps", "next", "next_copies"), "merkle-climb", count)
 
 
 def _copies(below: Column) -> Column:
@@ -149,9 +157,9 @@ def _copies(below: Column) -> Column:
 
 _CLIMB = """
 WITH RECURSIVE climb (doc_id, row, tree, leaf, next, copies, up, folded, proof) AS (
-  SELECT doc_id, row, tree, leaf, next, CAST(1 AS BIGINT), up, folded, CAST('' AS BINARY) FROM {leaves}
+  SELECT doc_id, row, tree, leaf, next, CAST(1 AS BIGINT), up, folded, if(next IS NULL, unhex(sha2('', 256)), CAST('' AS BINARY)) FROM {leaves}
   UNION ALL
-  SELECT doc_id, row, tree, leaf, next, copies, went.up, went.folded, went.proof FROM (
+  SELECT doc_id, row, tree, leaf, next, copies, went.up, went.folded, if(next IS NULL, unhex(sha2(lower(hex(went.proof)), 256)), went.proof) FROM (
     SELECT c.doc_id, c.row, c.tree, c.leaf, h.next, h.next_copies AS copies, aggregate(
       h.steps, named_struct('up', c.up, 'folded', c.folded, 'proof', c.proof), (a, s) -> named_struct(
         'up', s.up,
@@ -159,7 +167,7 @@ WITH RECURSIVE climb (doc_id, row, tree, leaf, next, copies, up, folded, proof)
         'proof', concat(a.proof, substring(s.run, 1, CAST(32 * a.up AS INT)), substring(s.run, CAST(32 * a.up + 33 AS INT))))) AS went
     FROM climb c JOIN {hops} h ON h.node = c.next AND h.copy = c.row % c.copies)
 )
-SELECT doc_id, tree, leaf, lower(hex(folded)) AS folded_root, sha2(lower(hex(proof)), 256) AS proof_sha256 FROM climb WHERE next IS NULL
+SELECT doc_id, tree, leaf, lower(hex(folded)) AS folded_root, lower(hex(proof)) AS proof_sha256 FROM climb WHERE next IS NULL
 """
 
 
@@ -180,7 +188,8 @@ def climb(made: Manifest) -> DataFrame:
     start = made.leaves.withColumn("level", F.lit(0)).select(
         "doc_id", "row", "tree", "leaf", *_link(F.lit(0), made.trees), F.coalesce("tampered_leaf", "leaf").alias("folded")).withColumnRenamed("parent", "next")
     with _all_rows(spark):
-        return written(spark.sql(_CLIMB, leaves=start, hops=hops(made.nodes)), "merkle-proofs")
+        proofs = spark.sql(_CLIMB, leaves=start, hops=hops(made.nodes, made.count))
+        return written(proofs.coalesce(shuffle_width(spark)), "merkle-proofs")
 
 
 def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:

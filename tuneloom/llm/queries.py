@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneloom.llm import decontaminate, exact, html_text, language, merkle, near, packing, quality, sharding, spans, sql, tokens, urls
+from tuneloom.llm import decontaminate, exact, html_text, language, merkle, near, packing, quality, search, sharding, spans, sql, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,11 +83,15 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_language_id, op2_substring_dedup, op3_token_counts, op4_decontamination, op5_html_text, op6_exact_dedup, op7_jaccard_join, op8_quality, op9_packing, op10_url_filter,
-    op11_merkle_manifest, op12_sharding)}
+    op11_merkle_manifest, op12_sharding, op13_ranked_search)}
 
 SQL = {
     "op2_substring_dedup": sql.SPANS, "op4_decontamination": sql.DECONTAMINATION, "op6_exact_dedup": sql.EXACT, "op7_jaccard_join": sql.NEAR, "op11_merkle_manifest": sql.MERKLE,
-    "op12_sharding": sql.SHARDING,
+    "op12_sharding": sql.SHARDING, "op13_ranked_search": sql.SEARCH,
 }

@@ -176,3 +176,19 @@ FROM (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '-') AS k, len(h) // 2 +
       FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), crcs)
 JOIN placed a USING (k) JOIN placed b USING (k) WHERE a.n = 16 AND b.n = 17
 """
+
+SEARCH = f"""
+WITH queries AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({WORDS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term
+), docs AS (SELECT row_number() OVER () AS id, doc_id, {WORDS} AS w FROM documents),
+size AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM docs WHERE len(w) > 0),
+counts AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM docs) SEMI JOIN queries USING (term) GROUP BY id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, size GROUP BY term),
+scores AS (
+  SELECT item_id, c.id, CAST(sum(q.times * g.w * (1000000000 * c.tf // (1000 * c.tf + 12 * (75 + 25 * len(d.w) * s.n // s.l)))) AS BIGINT) AS score
+  FROM queries q JOIN counts c USING (term) JOIN weights g USING (term) JOIN docs d ON c.id = d.id, size s GROUP BY item_id, c.id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scores JOIN docs USING (id) WHERE score > 0) WHERE rank <= 20
+"""
