@@ -7,10 +7,10 @@ segment together. `search` takes the queries in blocks of bounded size. For a bl
 1. turns the lists of its terms into scores and precomputes, per segment, the intersection lists of term pairs: the
    documents that hold both, with the score of both together. The largest of a list is the bound of its term or pair;
 2. finds for every query a score that its k-th best document surely reaches, from the best entries of its lists;
-3. runs MaxScore per segment. The terms of a query are matched into disjoint pairs; a pair is bound by the largest of its
-   joint maximum and its two single maxima, never by their sum. Terms whose bounds together cannot reach the threshold
-   are not opened for new documents, and a document is dropped as soon as what is left cannot lift it: for a pair its
-   intersection list is asked first, which either has the whole score of both or rules out their sum.
+3. runs MaxScore per segment. Of the terms in the order of their bounds, neighbours are matched into disjoint pairs; a pair
+   is bound by the largest of its joint maximum and its two single maxima, where MaxScore adds these up. Terms whose
+   bounds together cannot reach the threshold are not opened for new documents, and a document is dropped as soon as what
+   is left cannot lift it: once the first term of a pair is known, the second adds what the joint maximum leaves.
 
 Nothing is skipped that could still be among the k best: bounds are exact integers and ties stay in until the end, so the
 result equals that of scoring every document.
@@ -46,7 +46,7 @@ SEGMENT_BYTES = 16 << 20
 #: Terms of queries, counted per query, that a block holds; one query more may pass it.
 BLOCK_TERMS = 50_000
 #: A term is paired with so many terms that come next by weight.
-PARTNERS = 4
+PARTNERS = 2
 #: Terms that are sent to all tasks to choose lists by; an index for more terms keeps all lists.
 CHOSEN_TERMS = 500_000
 #: Segments whose best entries raise the thresholds before the search; fewer or more change the work, not the result.
@@ -211,7 +211,7 @@ class Block:
         for item, terms in self.items.items():
             terms.sort(key=lambda x: (-self.weights[x[0]] * x[1], x[0]))
             self.pairs_of[item] = [(min(a, b), max(a, b)) for n, (a, _) in enumerate(terms) for b, _ in terms[n + 1 : n + 1 + partners]]
-        self.pairs = sorted(set().union(*self.pairs_of.values()))
+        self.pairs = set().union(*self.pairs_of.values())
 
 
 class Entry(NamedTuple):
@@ -235,9 +235,10 @@ def intersection(a: Entry, b: Entry) -> Entry | None:
     return Entry(a.docs[both], scores, int(scores.max()))
 
 
-SCORED = "segment long, kind string, a long, b long, docs binary, scores binary, ids array<long>"
+SCORED = "segment long, kind string, a long, b long, most long, docs binary, scores binary, ids array<long>"
 _SCORED_ARROW = pa.schema([
-    ("segment", pa.int64()), ("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("docs", pa.binary()), ("scores", pa.binary()), ("ids", pa.list_(pa.int64()))])
+    ("segment", pa.int64()), ("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("most", pa.int64()), ("docs", pa.binary()), ("scores", pa.binary()),
+    ("ids", pa.list_(pa.int64()))])
 
 
 def _score(block: Block, documents: int, words: int, k: int) -> Callable[[pa.Table], pa.Table]:
@@ -255,18 +256,18 @@ def _score(block: Block, documents: int, words: int, k: int) -> Callable[[pa.Tab
                 docs, times = np.cumsum(np.frombuffer(r["docs"], "<i4"), dtype=np.int64), np.frombuffer(r["counts"], "<i4").astype(np.int64)
                 scores = block.weights[a] * (1_000_000_000 * times // (1000 * times + 12 * m[docs]))
                 entries[a, -1] = Entry(docs.astype(np.int32), scores, int(scores.max()))
-        for a, b in block.pairs:
+        for a, b in sorted(block.pairs):
             if (a, -1) in entries and (b, -1) in entries and (both := intersection(entries[a, -1], entries[b, -1])):
                 entries[a, b] = both
         tops = {key: np.sort(e.scores)[: -k - 1 : -1] for key, e in entries.items()}
         sums = {key: int(t.sum()) for key, t in tops.items()}
-        out = [(segment, "documents", -1, -1, b"", b"", own["ids"])]
-        out += [(segment, "term" if b < 0 else "pair", a, b, e.docs.astype("<i4").tobytes(), e.scores.astype("<i8").tobytes(), None) for (a, b), e in entries.items()]
+        out = [(segment, "documents", -1, -1, 0, b"", b"", own["ids"])]
+        out += [(segment, "term" if b < 0 else "pair", a, b, e.most, e.docs.astype("<i4").tobytes(), e.scores.astype("<i8").tobytes(), None) for (a, b), e in entries.items()]
         for item, terms in block.items.items():
             keys = [*((a, -1) for a, _ in terms), *block.pairs_of[item]]
             best = max((key for key in keys if key in sums), key=sums.__getitem__, default=None)
             if best is not None:
-                out.append((segment, "prime", item, -1, b"", tops[best].astype("<i8").tobytes(), None))
+                out.append((segment, "prime", item, -1, 0, b"", tops[best].astype("<i8").tobytes(), None))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _SCORED_ARROW, strict=True)], schema=_SCORED_ARROW)
 
     return run
@@ -275,32 +276,35 @@ def _score(block: Block, documents: int, words: int, k: int) -> Callable[[pa.Tab
 # MaxScore
 
 
-class Unit(NamedTuple):
-    """A term, or two that are bound together."""
+class Bounds(NamedTuple):
+    """A query's terms that the segment has, by ascending bound.
 
-    bound: int
-    terms: tuple[tuple[int, int], ...]
+    `upto[p]` is the most that a document can get from the first p terms: neighbours in this order are matched into disjoint
+    pairs, bound by the joint maximum, where that is least. `joint[p]` is that of the terms p and p - 1, None if unknown.
+    """
 
+    terms: list[tuple[int, int]]
+    alone: list[int]
+    joint: list[int | None]
+    upto: list[int]
 
-def units_of(terms: list[tuple[int, int]], entries: dict[tuple[int, int], Entry], pairs: list[tuple[int, int]]) -> list[Unit]:
-    """The query's terms that the segment has, matched into disjoint pairs where that saves most, by ascending bound."""
-    here = {a: (a, n) for a, n in terms if (a, -1) in entries}
-    alone = {a: entries[a, -1].most * n for a, n in here.values()}
-    saved = []
-    for a, b in pairs:
-        if a in here and b in here:
-            # the joint maximum holds for one of each; further repeats add their single maxima
-            joint = entries[a, b].most + alone[a] - entries[a, -1].most + alone[b] - entries[b, -1].most if (a, b) in entries else 0
-            bound = max(joint, alone[a], alone[b])
-            if bound < alone[a] + alone[b]:
-                saved.append((alone[a] + alone[b] - bound, bound, (a, b)))
-    free, units = set(here), []
-    for _, bound, (a, b) in sorted(saved, reverse=True):
-        if a in free and b in free:
-            free -= {a, b}
-            units.append(Unit(bound, (here[a], here[b])))
-    units += [Unit(alone[a], (here[a],)) for a in free]
-    return sorted(units)
+
+def bounds_of(terms: list[tuple[int, int]], entries: dict[tuple[int, int], Entry], pairs: set[tuple[int, int]]) -> Bounds:
+    here = sorted((entries[a, -1].most * n, a, n) for a, n in terms if (a, -1) in entries)
+    alone, joint, upto = [m for m, _, _ in here], [], [0]
+    for p, (most, a, n) in enumerate(here):
+        both = None
+        if p:
+            other, b, n2 = here[p - 1]
+            key = (min(a, b), max(a, b))
+            if key in entries:
+                # the joint maximum holds for one of each; further repeats add their single maxima
+                both = max(most, other, entries[key].most + entries[a, -1].most * (n - 1) + entries[b, -1].most * (n2 - 1))
+            elif key in pairs:
+                both = max(most, other)
+        joint.append(both)
+        upto.append(upto[p] + most if both is None else min(upto[p] + most, upto[p - 1] + both))
+    return Bounds([(a, n) for _, a, n in here], alone, joint, upto)
 
 
 class Work:
@@ -311,58 +315,39 @@ class Work:
 
 
 def best_of(
-    terms: list[tuple[int, int]], entries: dict[tuple[int, int], Entry], pairs: list[tuple[int, int]], documents: int, k: int, threshold: int, work: Work | None = None,
+    terms: list[tuple[int, int]], entries: dict[tuple[int, int], Entry], pairs: set[tuple[int, int]], documents: int, k: int, threshold: int, work: Work | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Documents of a segment that may be among the k best of a query, and their scores: all that reach the k-th and the threshold."""
-    work = work or Work()
-    units = units_of(terms, entries, pairs)
-    threshold = max(threshold, 1)
+    work, bounds = work or Work(), bounds_of(terms, entries, pairs)
+    threshold, left, upto = max(threshold, 1), len(bounds.terms), bounds.upto
     none = np.empty(0, np.int64)
-    if sum(u.bound for u in units) < threshold:
+    if upto[left] < threshold:
         return none, none
-    scores = np.zeros(documents, np.int64)
-    seen = np.zeros(documents, bool)
-    rest = sum(u.bound for u in units)
+    scores, seen = np.zeros(documents, np.int64), np.zeros(documents, bool)
     # lists are read whole until the others cannot reach the threshold without them
-    while units and rest >= threshold:
-        unit = units.pop()
-        rest -= unit.bound
-        alone = sorted(unit.terms, key=lambda x: entries[x[0], -1].most * x[1])
-        a, n = alone.pop()
+    while left and upto[left] >= threshold:
+        left -= 1
+        a, n = bounds.terms[left]
         e = entries[a, -1]
         scores[e.docs] += n * e.scores
         seen[e.docs] = True
         work.postings += len(e.docs)
         threshold = max(threshold, _kth(scores[seen], k))
-        if alone:
-            # what has not been seen holds at most the other term of the pair
-            left = Unit(entries[alone[0][0], -1].most * alone[0][1], (alone[0],))
-            bisect.insort(units, left)
-            rest += left.bound
-    upto = np.cumsum([0] + [u.bound for u in units])
     found = np.flatnonzero(seen)
-    for place in range(len(units) - 1, -1, -1):
-        found = found[scores[found] + upto[place + 1] >= threshold]
+    for p in range(left - 1, -1, -1):
+        found = found[scores[found] + upto[p + 1] >= threshold]
         if not len(found):
             return none, none
-        left, unit = found, units[place]
-        if len(unit.terms) == 2:
-            (a, n), (b, n2) = unit.terms
-            both = entries.get((min(a, b), max(a, b)))
-            if both is not None and n == n2 == 1:
-                hit, at = _held(both, left)
-                work.postings += min(len(left), len(both.docs))
-                scores[left[hit]] += both.scores[at[hit]]
-                left = left[~hit]
-            if both is None or n == n2 == 1:
-                # these have one of the two at most
-                single = max(entries[a, -1].most * n, entries[b, -1].most * n2)
-                left = left[scores[left] + single + upto[place] >= threshold]
-        for a, n in unit.terms:
-            hit, at = _held(entries[a, -1], left)
-            work.postings += min(len(left), len(entries[a, -1].docs))
-            scores[left[hit]] += n * entries[a, -1].scores[at[hit]]
+        a, n = bounds.terms[p]
+        hit, at = _held(entries[a, -1], found)
+        got = np.where(hit, n * entries[a, -1].scores[at], 0)
+        work.postings += min(len(found), len(entries[a, -1].docs))
+        scores[found] += got
         threshold = max(threshold, _kth(scores[found], k))
+        if bounds.joint[p] is not None:
+            # the other term of the pair adds what the joint maximum leaves, and no more than its own
+            rest = np.minimum(bounds.alone[p - 1], np.where(hit, bounds.joint[p] - got, bounds.alone[p - 1]))
+            found = found[scores[found] + upto[p - 1] + rest >= threshold]
     found = found[scores[found] >= threshold]
     return found, scores[found]
 
@@ -389,12 +374,11 @@ def _searched(block: Block, thresholds: dict[int, int], k: int) -> Callable[[pa.
             if r["kind"] == "documents":
                 ids = pa.array(r["ids"], pa.int64())
             else:
-                scores = np.frombuffer(r["scores"], "<i8")
-                entries[r["a"], r["b"]] = Entry(np.frombuffer(r["docs"], "<i4"), scores, int(scores.max()))
+                entries[r["a"], r["b"]] = Entry(np.frombuffer(r["docs"] or b"", "<i4"), np.frombuffer(r["scores"] or b"", "<i8"), r["most"])
         items, docs, found = [], [], []
         last = pc.fill_null(ids, np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
         for item, terms in block.items.items():
-            rows, scores = best_of(terms, entries, block.pairs_of[item], len(ids), k, thresholds.get(item, 0))
+            rows, scores = best_of(terms, entries, block.pairs, len(ids), k, thresholds.get(item, 0))
             first = np.lexsort((last[rows], -scores))[:k]
             items.append(np.full(len(first), item, np.int64))
             docs.append(rows[first])
@@ -432,7 +416,10 @@ def _block_search(index: Index, block: Block, k: int) -> DataFrame:
     primes = scored.where("kind = 'prime'").where(F.pmod(F.xxhash64("segment"), F.lit(1_000_000)) < 1_000_000 * min(1.0, PRIME_SEGMENTS / segments))
     reached = primes.select(F.col("a").alias("item"), "scores").groupBy("item").applyInArrow(_reached(k), "item long, threshold long")
     thresholds = {r["item"]: r["threshold"] for r in reached.collect()}
-    return scored.where("kind != 'prime'").groupBy("segment").applyInArrow(_searched(block, thresholds, k), FOUND)
+    # of pairs the bound is enough
+    terms = F.col("kind") == "term"
+    lists = scored.where("kind != 'prime'").select("segment", "kind", "a", "b", "most", F.when(terms, F.col("docs")).alias("docs"), F.when(terms, F.col("scores")).alias("scores"), "ids")
+    return lists.groupBy("segment").applyInArrow(_searched(block, thresholds, k), FOUND)
 
 
 def _reached(k: int) -> Callable[[pa.Table], pa.Table]:
