@@ -281,6 +281,50 @@ def test_config_groups_equal_first_come_first_served(spark):
             known.append(i)
     assert got == want
 
+def clustered(n, dims, seed=1):
+    """Points around a few centres, a third of them around one."""
+    rng = np.random.default_rng(seed)
+    at = np.where(rng.random(n) < 1 / 3, 0, rng.integers(1, 40, n))
+    return rng.random((40, dims))[at] + 0.02 * rng.standard_normal((n, dims))
+
+
+@pytest.mark.parametrize("within", [None, 0.03, 0.2])
+def test_growing_reach_finds_the_nearest(spark, within, monkeypatch):
+    """Several rounds, some rows far from all others, two spaces, another store than the asking rows."""
+    monkeypatch.setattr(similarity, "STORE_BLOCK", 64)
+    monkeypatch.setattr(similarity, "VISIT", 1)
+    s = clustered(500, 5)
+    q = np.concatenate([clustered(300, 5, 2), np.random.default_rng(9).random((20, 5)) * 3])
+    store = spark.createDataFrame([(i, i % 2, [float(x) for x in r]) for i, r in enumerate(s)], "id long, sp int, v array<double>")
+    asking = spark.createDataFrame([(i, i % 2, [float(x) for x in r]) for i, r in enumerate(q)], "id long, sp int, v array<double>")
+    grid = similarity.grid_of(store.select(F.col("v").alias("vec")))
+    assert similarity.projections_for(grid, 0.03, 500) >= 2 and similarity.projections_for(grid, 50.0, 500) == 0
+    got = {r["id"]: (r["neighbour"], r["distance"]) for r in similarity.nearest_neighbour(asking, store, "id", "v", within=within, space="sp").collect()}
+    d = np.sqrt(((q[:, None] - s[None]) ** 2).sum(-1))
+    d[(np.arange(len(q))[:, None] % 2) != (np.arange(len(s))[None] % 2)] = np.inf
+    for i in range(len(q)):
+        best = int(d[i].argmin())
+        if within is not None and d[i, best] > within:
+            assert got[i] == (None, None)
+        else:
+            assert got[i][0] == best and abs(got[i][1] - d[i, best]) < 1e-9
+
+
+def test_visits_of_cells_grow_as_the_rows(spark):
+    """At one reach a row visits few cells, however many rows there are, and meets a small part of them."""
+    counts = []
+    for n in (1000, 10_000):
+        v = clustered(n, 8)
+        df = spark.createDataFrame([(0, str(i), i, [float(x) for x in r]) for i, r in enumerate(v)], "space int, key string, ord long, vec array<double>")
+        grid = similarity.grid_of(df)
+        p = similarity.projections_for(grid, 0.05, n)
+        asked = similarity.visits(df, grid, p, 0.05)
+        assert asked.groupBy("key").count().agg(F.max("count")).first()[0] <= 2 ** p
+        counts.append(asked.count())
+        met = asked.groupBy("cell").count().join(similarity.store_cells(df, grid, p, 0.05).groupBy("cell").agg(F.count("*").alias("n")), "cell").agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+        assert met < 0.35 * n * n
+    assert counts[1] < 25 * counts[0]
+
 
 def test_transform_effect(spark):
     store = spark.createDataFrame([(1, [0.0, 0.0]), (2, [5.0, 5.0])], "id long, vec array<double>")

@@ -1,21 +1,28 @@
 """Exact nearest neighbours between two tables of vectors.
 
-Stored vectors belong to the cell of their nearest pivot. By the triangle
-inequality a query visits only the cells that can hold its neighbour, and
-inside a cell stored and asking rows meet in blocks of bounded size. A task
-gets one block of each side and returns one row per asking row, so neither a
-full cell nor the pairs of a cell ever exist as rows, and no candidate is left
-out. Copies of a vector are searched once.
+A projection on a unit vector never lengthens a distance, so two vectors within a reach lie within it on every
+projection. A grid over a few projections, its cells twice the reach wide, therefore holds all stored rows within reach
+of an asking row in the at most two cells per projection that the row's box touches: an equi join on cells finds them,
+and none is missed. Without a reach, or below it, the reach grows: what is found within the reach of a round is the
+nearest there is, and only the rows that found nothing ask again. When cells no longer part the rows, the rest meets
+everything once.
+
+Directions, number of projections and first reach come from a sample of bounded size; they change the work, not the
+result. Inside a cell stored and asking rows meet in blocks of bounded size. A task gets one block of each side and
+returns one row per asking row, so neither a full cell nor the pairs of a cell ever exist as rows, and no candidate is
+left out. Copies of a vector are searched once.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneloom.operators import skew
@@ -24,14 +31,74 @@ from tuneloom.session import cut_lineage
 STORE_BLOCK = 4096
 QUERY_BLOCK = 8192
 SLACK = 1e-9
+#: Stored vectors from which the grid is made.
+SAMPLE = 1000
+MOST_PROJECTIONS = 6
+#: What a visit of a cell costs, in comparisons of two vectors.
+VISIT = 64
+#: Cells part the rows if a row meets at most this share of the stored rows in the cells it visits.
+PARTED = 0.5
 
 
-def pivots_of(store: DataFrame, most: int = 128) -> np.ndarray:
-    """About sqrt(n)/2 stored vectors chosen by hash; at most `most` rows reach the driver."""
-    n = store.count()
-    k = min(most, max(2, math.ceil(math.sqrt(n) / 2)))
-    rows = store.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(k).collect()
-    return np.array([r["vec"] for r in rows], dtype=float)
+class Grid(NamedTuple):
+    """Unit vectors (already weighted), and the sample on them: the places of its rows and how far each has its nearest."""
+
+    directions: np.ndarray
+    places: np.ndarray
+    nearest: np.ndarray
+
+
+def grid_of(store: DataFrame, weights: Sequence[float] | None = None) -> Grid:
+    """Directions of greatest spread; at most `SAMPLE` rows reach the driver."""
+    rows = store.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()
+    if not rows:
+        return Grid(np.empty((0, 0)), np.empty((0, 0)), np.empty(0))
+    root = np.ones(len(rows[0]["vec"])) if weights is None else np.sqrt(np.array(weights, dtype=float))
+    x = np.array([r["vec"] for r in rows], dtype=float) * root
+    units = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:MOST_PROJECTIONS]
+    units = units / np.linalg.norm(units, axis=1, keepdims=True)
+    d = distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    return Grid(units * root, x @ units.T, d.min(1))
+
+
+def projections_for(grid: Grid, reach: float, rows: int) -> int:
+    """How many projections make the least work for `rows` stored rows at this reach, 0 if cells don't part the rows."""
+    apart = np.ones((len(grid.places), len(grid.places)), dtype=bool)
+    best, cost = 0, PARTED * rows
+    for p in range(1, grid.places.shape[1] + 1):
+        cell = np.floor(grid.places[:, p - 1] / (2 * reach))
+        first, last = (np.floor((grid.places[:, p - 1] + s * reach) / (2 * reach)) for s in (-1, 1))
+        apart &= (cell[None] >= first[:, None]) & (cell[None] <= last[:, None])
+        met = 2.0**p * VISIT + apart.mean() * rows
+        if apart.mean() <= PARTED and met < cost:
+            best, cost = p, met
+    return best
+
+
+def _places(grid: Grid, p: int) -> Column:
+    """Where a row lies on the first `p` projections."""
+    return F.array(*(F.aggregate(F.zip_with("vec", F.lit([float(x) for x in u]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for u in grid.directions[:p]))
+
+
+def _cell(numbers: Column) -> Column:
+    return F.concat_ws(",", numbers.cast("array<string>"))
+
+
+def store_cells(store: DataFrame, grid: Grid, p: int, reach: float) -> DataFrame:
+    """Every stored row in its cell."""
+    return store.withColumn("cell", _cell(F.transform(_places(grid, p), lambda x: F.floor(x / (2 * reach)))))
+
+
+def visits(queries: DataFrame, grid: Grid, p: int, reach: float) -> DataFrame:
+    """One row per asking row and cell that its box touches; sums and the slack of distances are allowed for."""
+    def touched(x: Column) -> Column:
+        wide = F.lit(reach + 4 * SLACK) + F.abs(x) * SLACK
+        return F.sequence(F.floor((x - wide) / (2 * reach)), F.floor((x + wide) / (2 * reach)))
+
+    spans = F.transform(_places(grid, p), touched)
+    cells = F.aggregate(spans, F.array(F.array().cast("array<bigint>")), lambda made, span: F.flatten(F.transform(made, lambda m: F.transform(span, lambda c: F.concat(m, F.array(c))))))
+    return queries.withColumn("_cells", cells).select(*queries.columns, F.explode("_cells").alias("_c")).withColumn("cell", _cell(F.col("_c"))).drop("_c")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -50,74 +117,11 @@ def _scaled(vecs, root: np.ndarray | None) -> np.ndarray:
     return x if root is None else x * root
 
 
-def _to_cells(store: DataFrame, pivots: np.ndarray, root) -> DataFrame:
-    schema = store.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("reach")).schema
-    scaled = pivots if root is None else pivots * root
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                d = distances(_scaled(pdf["vec"], root), scaled)
-                cell = d.argmin(1)
-                yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(pdf)), cell])
-
-    return store.mapInPandas(assign, schema)
-
-
-def _route(queries: DataFrame, pivots: np.ndarray, root, within: float | None, guaranteed: bool, exclude_same: bool) -> DataFrame:
-    """One row per (asking row, cell it has to visit). `cells` holds the cells of its space."""
-    schema = queries.drop("cells").select("*", F.lit(0).alias("cell")).schema
-    names = schema.names
-    scaled = pivots if root is None else pivots * root
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            vecs = _scaled(pdf["vec"], root)
-            d, slack = distances(vecs, scaled), doubt(vecs, scaled)
-            out_row, out_cell = [], []
-            for _, rows in pdf.groupby("space", sort=False).indices.items():
-                cells = pdf["cells"].iloc[rows[0]]
-                ids, n, near, far = (np.array([c[k] for c in cells]) for k in ("cell", "n", "near", "far"))
-                to = d[np.ix_(rows, ids)]
-                limit = np.full(len(rows), np.inf if within is None else within)
-                if guaranteed:
-                    sure = np.where(n >= 2, to + far, np.inf) if exclude_same else to + near
-                    limit = np.minimum(limit, sure.min(1))
-                lower = np.maximum(np.maximum(to - far, near - to), (to - to.min(1)[:, None]) / 2.0)
-                r, c = np.nonzero(lower <= limit[:, None] + 4 * slack)
-                out_row.append(rows[r])
-                out_cell.append(ids[c])
-            out_row, out_cell = np.concatenate(out_row), np.concatenate(out_cell)
-            if len(out_row):
-                out = pdf.drop(columns=["cells"]).iloc[out_row].reset_index(drop=True)
-                yield out.assign(cell=out_cell.astype("int32"))[names]
-
-    return queries.mapInPandas(visit, schema)
-
-
-def search(queries: DataFrame, store: DataFrame, weights: Sequence[float] | None = None, within: float | None = None,
-           exclude_same: bool = False, earlier: bool = False, first: bool = False) -> DataFrame:
-    """Best stored row per asking row.
-
-    `queries` and `store` have (space, key, ord, vec); the result has
-    (space, key, ord, found_key, found_ord, distance) for the asking rows that found one.
-    `exclude_same` skips equal keys, `earlier` stored rows with ord >= the asking ord,
-    `first` takes the smallest ord within reach instead of the nearest.
-    """
-    root = None if weights is None else np.sqrt(np.array(weights, dtype=float))
-    pivots = pivots_of(store)
-    if not len(pivots):
-        return queries.where("false").select(
-            "space", "key", "ord", F.col("key").alias("found_key"), F.col("ord").alias("found_ord"), F.lit(0.0).alias("distance"))
-    celled = _to_cells(store, pivots, root)
-    cells = celled.groupBy("space", "cell").agg(
-        F.count("*").alias("n"), F.min("reach").alias("near"), F.max("reach").alias("far"))
-    per_space = cells.groupBy("space").agg(F.collect_list(F.struct("cell", "n", "near", "far")).alias("cells"))
-    asking = skew.salted_join(queries, per_space, ["space"])
-    routed = _route(asking, pivots, root, within, guaranteed=not (earlier or first), exclude_same=exclude_same)
-
+def _meet(routed: DataFrame, celled: DataFrame, root: np.ndarray | None, within: float | None, exclude_same: bool, earlier: bool, first: bool) -> DataFrame:
+    """The best stored row of every asking row in the cells it visits."""
+    # columns of their own: both sides may come from one frame
+    routed, celled = (x.select(*(F.col(c).alias(c) for c in ("space", "key", "ord", "vec", "cell"))) for x in (routed, celled))
+    cells = celled.groupBy("space", "cell").agg(F.count("*").alias("n"))
     asked = routed.groupBy("space", "cell").agg(F.count("*").alias("m"))
     plan = cells.join(asked, ["space", "cell"]).select(
         "space", "cell", F.ceil(F.col("n") / STORE_BLOCK).alias("store_blocks"),
@@ -132,9 +136,8 @@ def search(queries: DataFrame, store: DataFrame, weights: Sequence[float] | None
         "space", "cell", "key", "ord", "vec",
         F.pmod(F.xxhash64("key"), "store_blocks").alias("sb"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - long)).alias("qb"))
-    types = dict(store.dtypes)
-    schema = (f"space {types['space']}, key {dict(queries.dtypes)['key']}, ord {dict(queries.dtypes)['ord']}, "
-              f"found_key {types['key']}, found_ord {types['ord']}, distance double")
+    asks, types = dict(routed.dtypes), dict(celled.dtypes)
+    schema = f"space {types['space']}, key {asks['key']}, ord {asks['ord']}, found_key {types['key']}, found_ord {types['ord']}, distance double"
 
     def meet(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame(columns=["space", "key", "ord", "found_key", "found_ord", "distance"], dtype=object)
@@ -189,6 +192,48 @@ def search(queries: DataFrame, store: DataFrame, weights: Sequence[float] | None
     return best.select("space", "key", "ord", "b.found_key", "b.found_ord", "b.distance")
 
 
+def search(queries: DataFrame, store: DataFrame, weights: Sequence[float] | None = None, within: float | None = None,
+           exclude_same: bool = False, earlier: bool = False, first: bool = False, grid: Grid | None = None) -> DataFrame:
+    """Best stored row per asking row.
+
+    `queries` and `store` have (space, key, ord, vec); the result has
+    (space, key, ord, found_key, found_ord, distance) for the asking rows that found one.
+    `exclude_same` skips equal keys, `earlier` stored rows with ord >= the asking ord,
+    `first` takes the smallest ord within reach instead of the nearest.
+    """
+    root = None if weights is None else np.sqrt(np.array(weights, dtype=float))
+    grid = grid or grid_of(store, weights)
+    n = store.count()
+    if not n:
+        return queries.where("false").select(
+            "space", "key", "ord", F.col("key").alias("found_key"), F.col("ord").alias("found_ord"), F.lit(0.0).alias("distance"))
+    limit = math.inf if within is None else within
+    finite = grid.nearest[np.isfinite(grid.nearest) & (grid.nearest > 0)]
+    reach = limit if first or not len(finite) else min(limit, float(np.median(finite)))
+    asking, parts = queries, []
+    while True:
+        p = projections_for(grid, reach, n) if 0 < reach < math.inf else 0
+        if not p:
+            # one cell for all: the rest is decided here
+            routed, celled = (x.withColumn("cell", F.lit("")) for x in (asking, store))
+            parts.append(_meet(routed, celled, root, within, exclude_same, earlier, first))
+            break
+        found = _meet(visits(asking, grid, p, reach), store_cells(store, grid, p, reach), root, reach, exclude_same, earlier, first)
+        if reach == limit:
+            parts.append(found)
+            break
+        found = cut_lineage(found.where(F.col("distance") <= reach))
+        parts.append(found)
+        asking = cut_lineage(asking.join(found.select("space", "key", "ord"), ["space", "key", "ord"], "left_anti"))
+        if asking.isEmpty():
+            break
+        reach = min(limit, 2 * reach)
+    out = parts[0]
+    for part in itertools.islice(parts, 1, None):
+        out = out.unionByName(part)
+    return out
+
+
 def _prepare(df: DataFrame, ident: str, vec: str, space: str | None) -> DataFrame:
     return df.select(
         (F.col(space) if space else F.lit(0)).alias("space"), F.col(ident).alias("id"), F.col(vec).alias("vec"),
@@ -231,22 +276,23 @@ def similar_within(rows: DataFrame, ident: str, vec: str, threshold: float = 0.0
 
 
 def config_groups(rows: DataFrame, ident: str, vec: str, space: str, threshold: float = 0.05,
-                  weights: Sequence[float] | None = None, max_rounds: int = 1000) -> DataFrame:
+                  weights: Sequence[float] | None = None) -> DataFrame:
     """Groups of similar datasets per space, first come first served: (space, id, leader, distance).
 
     In the order of ids a row joins its nearest earlier leader within the threshold or
     becomes a leader. Leaders are found in rounds over all rows at once: a row with
     no earlier row within reach leads; a row whose earliest such row leads does not; the
-    others wait for the next round. The result is the same as going row by row.
+    others wait for the next round. Every round decides the earliest open row at least. The result is the same as going
+    row by row.
     """
     q = _prepare(rows, ident, vec, space).withColumn("ord", F.col("id").cast("long"))
     # a later copy is never a leader, so only the earliest copy of a vector can be
     reps = q.groupBy("space", "key").agg(F.min("ord").alias("ord"), F.first("vec").alias("vec"))
     undecided = cut_lineage(reps.withColumn("lead", F.lit(False)))
-    leaders = undecided.where("false")
-    for _ in range(max_rounds):
+    leaders, grid = undecided.where("false"), grid_of(reps, weights)
+    while True:
         pool = leaders.unionByName(undecided)
-        hit = search(undecided.drop("lead"), pool.drop("lead"), weights, threshold, exclude_same=True, earlier=True, first=True)
+        hit = search(undecided.drop("lead"), pool.drop("lead"), weights, threshold, exclude_same=True, earlier=True, first=True, grid=grid)
         marks = leaders.select("space", F.col("key").alias("found_key"), F.lit(True).alias("_known"))
         state = (
             undecided.join(hit.select("space", "key", "found_key"), ["space", "key"], "left")
@@ -257,10 +303,8 @@ def config_groups(rows: DataFrame, ident: str, vec: str, space: str, threshold:
         undecided = state.where("found_key IS NOT NULL AND _known IS NULL").select("space", "key", "ord", "vec", "lead")
         if undecided.isEmpty():
             break
-    else:
-        raise RuntimeError("leaders did not settle; raise max_rounds")
     lead = leaders.drop("lead")
-    near = search(q.select("space", "key", "ord", "vec"), lead, weights, threshold, earlier=True)
+    near = search(q.select("space", "key", "ord", "vec"), lead, weights, threshold, earlier=True, grid=grid)
     own = lead.select("space", "ord", F.col("ord").alias("own"))
     joined = (
         q.select("space", "ord").join(near.select("space", "ord", "found_ord", "distance"), ["space", "ord"], "left")

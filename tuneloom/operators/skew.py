@@ -1,61 +1,86 @@
 """Ordered computations over groups of any size.
 
-A plain window puts a whole group into one task. The functions here cut every
-group along its sort order into ranges of about equal size, run the window
-inside a range, and carry the totals of the earlier ranges over. The ranges are
-cut on (keys, order), so a group holding a third of the table spans a third of
-the ranges, while a small group stays whole.
+A plain window puts a whole group into one task. The functions here deal the rows out by ranges of (keys, order),
+`RANGE_BYTES` of counted bytes each, so a group holding a third of the table spans a third of the ranges, while a small
+group stays whole. A range holds the end of one group, whole groups, and the begin of another: only its first group can
+have rows before the range. So one row per range carries everything over: what came before its first group's rows.
+
+The rows cross the network once. A range lands in one bucket of a table in the shared folder; the window inside the
+range and the totals read that table by its buckets and need no further exchange of rows. Tables of a single range are
+not dealt at all: a plain window does.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tuneloom.session import cut_lineage, shuffle_width
+from tuneloom.session import cut_lineage, new_path
 
-SAMPLES_PER_RANGE = 16
-MAX_RANGES = 512
+RANGE_BYTES = 64 << 20
+#: Buckets a table may have in Spark; more ranges than that share them, a window each.
+MAX_BUCKETS = 100_000
+#: Ranges, one short row each, whose carried values are sent to all tasks.
+SENT_RANGES = 20_000
 
 
-def with_range(df: DataFrame, cols: Sequence[str], name: str = "_range", ranges: int | None = None) -> DataFrame:
-    """Adds the number of the range a row falls into, ordered by `cols` ascending.
+def bytes_of(field: T.StructField) -> Column:
+    """About the bytes a value takes in a shuffle."""
+    x, kind = F.col(field.name), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(x), F.lit(0)) + 8
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else None
+        if isinstance(inner, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.aggregate(x, F.lit(0), lambda n, s: n + F.coalesce(F.octet_length(s), F.lit(0)) + 8), F.lit(0)) + 16
+        return F.greatest(F.size(x), F.lit(0)) * 16 + 16
+    return F.lit(8 * len(kind.fields) + 8 if isinstance(kind, T.StructType) else 8)
 
-    The cut points come from a fixed-size sample chosen by hash, so a retried
-    task or a second scan sees the same cut points. Only that sample
-    (at most 16 x 512 short rows) reaches the driver.
+
+def range_count(df: DataFrame, range_bytes: int | None = None) -> int:
+    """How many ranges of `RANGE_BYTES` the rows of `df` fill, counted."""
+    size = sum((bytes_of(f) for f in df.schema.fields), F.lit(8))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return max(1, -(-total // (range_bytes or RANGE_BYTES)))
+
+
+def dealt(df: DataFrame, cols: Sequence[str], ranges: int) -> DataFrame:
+    """The rows in a bucketed table, with the number `_range` of the range they fall into, ordered by `cols`.
+
+    Also `_place`, which grows along `cols` within a range.
+    """
+    spark = df.sparkSession
+    sorted_rows = df.repartitionByRange(ranges, *cols).sortWithinPartitions(*cols).withColumn("_place", F.monotonically_increasing_id())
+    named = f"ranges_{uuid.uuid4().hex}"
+    sorted_rows.withColumn("_range", F.shiftright("_place", 33)).write.bucketBy(min(ranges, MAX_BUCKETS), "_range").option("path", new_path(spark, "ranges")).saveAsTable(named)
+    rows = spark.table(named)
+    spark.sql(f"DROP TABLE {named}")  # the name goes, the files stay
+    return rows
+
+
+def _over_ranges(edges: DataFrame, held: Column, amounts: dict[str, Column], asked: Column, later: bool = False) -> DataFrame:
+    """(_to, and for each name of `amounts` its value over the earlier, or later, ranges that hold what the range `_to` asks for).
+
+    `edges` has one row per range; `amounts` are aggregates of columns of it.
     """
-    n = ranges or min(MAX_RANGES, max(2, shuffle_width(df.sparkSession)))
-    digest = F.xxhash64(*cols)
-    sample = (
-        df.select(*cols).orderBy(digest, *cols).limit(n * SAMPLES_PER_RANGE)
-        .sort(*cols).collect()
-    )
-    step = max(1, len(sample) // n)
-    cuts = sorted({i for i in range(step, len(sample), step)})
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def as_struct(row):
-        return F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in cols])
-
-    bounds = F.array(*[as_struct(sample[i]) for i in cuts])
-    here = F.struct(*[F.col(c) for c in cols])
-
-    def below(some: Column) -> Column:
-        return F.size(F.filter(some, lambda b: b <= here))
-
-    width = math.isqrt(len(cuts)) + 1
-    if len(cuts) <= 16:
-        return df.withColumn(name, below(bounds))
-    # many ranges: find the block of cut points first, then the place inside it
-    coarse = F.array(*[as_struct(sample[i]) for i in cuts[width - 1::width]])
-    return df.withColumn("_block", below(coarse) * width).withColumn(
-        name, F.col("_block") + below(F.slice(bounds, F.col("_block") + 1, F.lit(width)))).drop("_block")
+    rows = edges.select(F.col("_range").alias("_to"), F.explode(F.array(
+        F.struct(held.alias("of"), F.lit(True).alias("gives")), F.struct(asked.alias("of"), F.lit(False).alias("gives")))).alias("_e"), *[c for c in edges.columns if c != "_range"])
+    there = Window.partitionBy("_e.of").orderBy("_to")
+    there = there.rangeBetween(1, Window.unboundedFollowing) if later else there.rangeBetween(Window.unboundedPreceding, -1)
+    return rows.select("_to", "_e.gives", *(x.over(there).alias(n) for n, x in amounts.items())).where("not gives").drop("gives")
+
+
+def _carried_over(rows: DataFrame, carry: DataFrame, ranges: int) -> DataFrame:
+    """The rows next to what their range carries: joined on the range alone, by which they lie in buckets."""
+    return rows.join(F.broadcast(carry) if ranges <= SENT_RANGES else carry, F.col("_range") == F.col("_to"), "left")
+
+
+def _giving(x: Column) -> Column:
+    return F.when(F.col("_e.gives"), x)
 
 
 def running(
@@ -66,96 +91,103 @@ def running(
     ranges: int | None = None,
     settle: bool = False,
 ) -> DataFrame:
-    """Running values per group in the ascending order of `order`.
+    """Running values per group in the ascending order of `order`, which has to identify a row inside its group.
 
     `values` maps an output name to one of
     ("sum_before", x): sum of x over the rows strictly before this one,
     ("max", x): largest x up to and including this row,
     ("last", x): latest non-NULL x up to and including this row.
-    `order` has to identify a row inside its group. The rows cross the network once:
-    the totals are joined back on the very columns that the window deals them by.
-    The input is read three times (cut points, totals, rows); `settle` writes it
-    once first, which pays when it is itself the result of joins or aggregations.
+    The input is read to count its bytes and again to deal it out; `settle` writes it once first, which pays when it is
+    itself the result of joins or aggregations. `ranges` overrides the count.
     """
     keys, order = list(keys), list(order)
-    for name, (_, x) in values.items():
-        df = df.withColumn(f"_in_{name}", x)
+    unknown = {kind for kind, _ in values.values()} - {"sum_before", "max", "last"}
+    if unknown:
+        raise ValueError(f"unknown running value {unknown}")
+    kept = df.columns
+    df = df.withColumns({f"_in_{name}": x for name, (_, x) in values.items()})
     if settle:
         df = cut_lineage(df)
-    # a struct is never null, and null fields of two structs are equal: the join needs no null-safe comparison
-    cut = with_range(df, keys + order, ranges=ranges).withColumn("_group", F.struct(*keys))
-
-    totals, carried = [], []
-    earlier = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    for name, (kind, _) in values.items():
-        x = F.col(f"_in_{name}")
-        if kind == "sum_before":
-            totals.append(F.sum(x).alias(f"_tot_{name}"))
-            carried.append(F.sum(f"_tot_{name}").over(earlier).alias(f"_carry_{name}"))
-        elif kind == "max":
-            totals.append(F.max(x).alias(f"_tot_{name}"))
-            carried.append(F.max(f"_tot_{name}").over(earlier).alias(f"_carry_{name}"))
-        elif kind == "last":
-            at = F.struct(*order)
-            totals.append(F.max_by(x, F.when(x.isNotNull(), at)).alias(f"_tot_{name}"))
-            carried.append(F.last(f"_tot_{name}", ignorenulls=True).over(earlier).alias(f"_carry_{name}"))
-        else:
-            raise ValueError(f"unknown running value {kind}")
-
-    # One row per (group, range): about as many rows as groups plus ranges.
-    carry = cut.groupBy("_group", "_range").agg(*totals).select("_group", "_range", *carried)
-    inside = Window.partitionBy("_group", "_range").orderBy(*order)
+    ranges = ranges or range_count(df)
+    alone = ranges == 1
+    rows = df if alone else dealt(df, keys + order, ranges)
+    # a struct is never null, and null fields of two structs are equal
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    inside = (Window.partitionBy(*(keys or [F.lit(0)])) if alone else Window.partitionBy("_range", *keys)).orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    local = cut
+    local, totals, carried, out = {}, [], {}, []
     for name, (kind, _) in values.items():
-        x = F.col(f"_in_{name}")
+        x, loc, car, tot = F.col(f"_in_{name}"), F.col(f"_loc_{name}"), F.when(group == F.col("_head"), F.col(f"_carry_{name}")), F.col(f"_t._tot_{name}")
         if kind == "sum_before":
-            local = local.withColumn(f"_loc_{name}", F.sum(x).over(before))
-        elif kind == "max":
-            local = local.withColumn(f"_loc_{name}", F.max(x).over(upto))
-        else:
-            local = local.withColumn(f"_loc_{name}", F.last(x, ignorenulls=True).over(upto))
-
-    merged = local.join(carry, ["_group", "_range"], "left")
-    out = []
-    for name, (kind, _) in values.items():
-        loc, car = F.col(f"_loc_{name}"), F.col(f"_carry_{name}")
-        if kind == "sum_before":
-            out.append((F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))).alias(name))
+            local[f"_loc_{name}"] = F.sum(x).over(before)
+            totals.append(F.sum(x).alias(f"_tot_{name}"))
+            carried[f"_carry_{name}"] = F.sum(_giving(tot))
+            out.append((F.coalesce(loc, F.lit(0)) + (F.lit(0) if alone else F.coalesce(car, F.lit(0)))).alias(name))
         elif kind == "max":
-            out.append(F.greatest(loc, car).alias(name))
+            local[f"_loc_{name}"] = F.max(x).over(upto)
+            totals.append(F.max(x).alias(f"_tot_{name}"))
+            carried[f"_carry_{name}"] = F.max(_giving(tot))
+            out.append((loc if alone else F.greatest(loc, car)).alias(name))
         else:
-            out.append(F.coalesce(loc, car).alias(name))
-    kept = [c for c in df.columns if not c.startswith("_in_")]
-    return merged.select(*kept, *out)
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    cond = None
-    for k in keys:
-        part = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = part if cond is None else cond & part
-    return left.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
-
-
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+            local[f"_loc_{name}"] = F.last(x, ignorenulls=True).over(upto)
+            totals.append(F.max_by(x, F.when(x.isNotNull(), F.col("_place"))).alias(f"_tot_{name}"))
+            carried[f"_carry_{name}"] = F.last(_giving(tot), ignorenulls=True)
+            out.append((loc if alone else F.coalesce(loc, car)).alias(name))
+    rows_with = rows.withColumns(local)
+    if alone:
+        return rows_with.select(*kept, *out)
+    each = rows.groupBy("_range", group.alias("_group")).agg(F.min("_place").alias("_at"), *totals)
+    picked = [c for c in each.columns if c not in ("_range", "_at")]
+    edges = cut_lineage(each.groupBy("_range").agg(F.min_by("_group", "_at").alias("_head"), F.max_by(F.struct(*picked), "_at").alias("_t")))
+    carry = _over_ranges(edges, F.col("_t._group"), carried, F.col("_head")).join(edges.select(F.col("_range").alias("_to"), "_head"), "_to")
+    return _carried_over(rows_with, carry, ranges).select(*kept, *out)
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", ranges: int | None = None) -> DataFrame:
     """0-based position inside the group; the same number everywhere as row_number() - 1."""
-    return running(df, keys, order, {name: ("sum_before", F.lit(1).cast("long"))})
+    return running(df, keys, order, {name: ("sum_before", F.lit(1).cast("long"))}, ranges)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "avg_rank") -> DataFrame:
-    """Rank with ties averaged, over groups of any size.
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "avg_rank", ranges: int | None = None) -> DataFrame:
+    """Rank with ties averaged, over groups and ties of any size.
 
-    Equal values are counted first, so a group of copies is one row.
+    Ties may span ranges; a range asks the others for the rows that tie with its first and its last one.
     """
-    keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    placed = running(counts, keys, [value], {"_before": ("sum_before", F.col("_n"))}, settle=True)
-    placed = placed.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
-    return _null_safe_join(df, placed, keys + [value])
+    keys, kept = list(keys), df.columns
+    ranges = ranges or range_count(df)
+    alone = ranges == 1
+    if not alone:
+        plain = [F.col(f.name) for f in df.schema.fields if f.dataType.typeName() != "map"]
+        df = dealt(df.withColumn("_spread", F.xxhash64(*plain) + F.spark_partition_id()), [*keys, value, "_spread"], ranges)
+    by = keys or [F.lit(0)]
+    within = Window.partitionBy(*by) if alone else Window.partitionBy("_range", *keys)
+    ties = Window.partitionBy(*by, value) if alone else Window.partitionBy("_range", *keys, value)
+    place, tied = F.rank().over(within.orderBy(value)), F.count("*").over(ties)
+    if alone:
+        return df.select(*kept, (place + (tied - 1) / 2).alias(name))
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    each = df.groupBy("_range", group.alias("_group"), F.col(value).alias("_value")).agg(F.count("*").alias("_n"), F.min("_place").alias("_at"))
+    one = F.struct(F.struct("_group", "_value").alias("tie"), "_n")
+    each = each.groupBy("_range", "_group").agg(
+        F.sum("_n").alias("_rows"), F.min_by(one, "_at").alias("_low"), F.max_by(one, "_at").alias("_high"), F.min("_at").alias("_at"))
+    edges = cut_lineage(each.groupBy("_range").agg(F.min_by("_low", "_at").alias("_head"), F.max_by(F.struct("_rows", "_high"), "_at").alias("_t")))
+    head, tail = F.col("_head.tie"), F.col("_t._high.tie")
+    carry = edges.select(F.col("_range").alias("_to"), head.alias("_first"), tail.alias("_last"))
+    carry = carry.join(_over_ranges(edges, tail["_group"], {"_before": F.sum(_giving(F.col("_t._rows")))}, head["_group"]), "_to")
+    carry = carry.join(_over_ranges(edges, tail, {"_ties_before": F.sum(_giving(F.col("_t._high._n")))}, head), "_to")
+    carry = carry.join(_over_ranges(edges, head, {"_ties_after": F.sum(_giving(F.col("_head._n")))}, tail, later=True), "_to")
+    here = F.struct(group.alias("_group"), F.col(value).alias("_value"))
+
+    def where(found: Column, x: str) -> Column:
+        return F.when(found, F.coalesce(x, F.lit(0))).otherwise(0)
+
+    earlier = where(here == F.col("_first"), "_ties_before")
+    start = F.col("_rank") + where(group == F.col("_first._group"), "_before") - earlier
+    ties = F.col("_tied") + earlier + where(here == F.col("_last"), "_ties_after")
+    rows = df.select("*", place.alias("_rank"), tied.alias("_tied"))
+    return _carried_over(rows, carry, ranges).select(*kept, (start + (ties - 1) / 2).alias(name))
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:

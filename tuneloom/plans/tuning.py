@@ -32,9 +32,21 @@ def similar_within(spark, d):
     return SIM.similar_within(V.vectors(spark, d), "vec_id", "mf", NEAR).select("id", "neighbour", r6("distance"), "same")
 
 
-@query("config_groups")
+@query("config_groups", f"""
+    WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM vectors),
+    reach AS (SELECT b.vec_id, a.vec_id AS other, {DIST} AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {DIST} <= 1e0 + 1e-9),
+    earlier AS (SELECT vec_id, list(other) AS others FROM reach GROUP BY vec_id),
+    led AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS leaders FROM v
+            UNION ALL SELECT l.label, l.k + 1, CASE WHEN list_has_any(l.leaders, coalesce(e.others, [])) THEN l.leaders ELSE list_append(l.leaders, v.vec_id) END
+            FROM led l JOIN v ON v.label = l.label AND v.k = l.k + 1 LEFT JOIN earlier e ON e.vec_id = v.vec_id),
+    leaders AS (SELECT unnest(arg_max(leaders, k)) AS leader FROM led GROUP BY label),
+    joined AS (SELECT r.vec_id, arg_min(r.other, (round(distance, 12), r.other)) AS leader, min(distance) AS distance
+               FROM reach r SEMI JOIN leaders ON other = leader GROUP BY r.vec_id)
+    SELECT v.label, v.vec_id, CASE WHEN l.leader IS NOT NULL THEN l.leader ELSE j.leader END AS leader, CASE WHEN l.leader IS NOT NULL THEN 0e0 ELSE round(j.distance, 6) END AS distance
+    FROM v LEFT JOIN leaders l ON l.leader = v.vec_id LEFT JOIN joined j ON j.vec_id = v.vec_id""")
 def config_groups(spark, d):
-    return SIM.config_groups(V.vectors(spark, d), "vec_id", "mf", "label", threshold=1.0)
+    groups = SIM.config_groups(V.vectors(spark, d), "vec_id", "mf", "label", threshold=1.0)
+    return groups.select("label", "vec_id", "leader", r6("distance"))
 
 
 @query("transform_effect", """
