@@ -80,9 +80,32 @@ def test_density(spark):
     bw = spark.createDataFrame([(1, s, 2, 1.0) for s in ("good", "bad")], "space_id int, set string, n long, bw_x double")
     pts = spark.createDataFrame([(1, 0, 0.0)], "space_id int, point long, x double")
     assert abs(tuning.kde_density(rows, bw, pts, dims).first()["good"] - 0.320457) < 1e-6
-    match = spark.range(1).select(
-        F.expr(tuning.kernel_sql(tuning.Dim("c", 3), "1D", "1D", "0.2D")), F.expr(tuning.kernel_sql(tuning.Dim("c", 3), "1D", "2D", "0.2D"))).first()
-    assert [round(x, 12) for x in match] == [0.8, 0.1]
+    match = tuning.kernel(tuning.Dim("c", 3), np.array([1.0]), np.array([1.0, 2.0]), 0.2)
+    assert match.round(12).tolist() == [[0.8, 0.1]]
+    assert np.isnan(tuning.kernel(tuning.Dim("c", 1), np.array([1.0]), np.array([0.0]), 0.2)).all()
+
+
+def test_kernel_sums_of_a_hot_space(spark, monkeypatch):
+    """A space of many rows is spread over salts, the others are not; the sums are those of one task."""
+    rng = np.random.default_rng(2)
+    dims = [tuning.Dim("x"), tuning.Dim("c", 3)]
+    data = [(int(k % 7 == 0), str(rng.choice(["good", "bad"])), float(rng.random()), float(rng.integers(3)), int(rng.integers(1, 4))) for k in range(900)]
+    rows = spark.createDataFrame(data, "space_id int, set string, x double, c double, weight long").repartition(3)
+    pts = spark.createDataFrame([(s, k, k / 5, float(k % 3)) for s in (0, 1, 2) for k in range(5)], "space_id int, point long, x double, c double")
+    bw = tuning.kde_bandwidth(rows, dims, ["space_id", "set"])
+    want = {(r["space_id"], r["point"]): r for r in tuning.kde_density(rows, bw, pts, dims).collect()}
+    means = {(r["space_id"], r["name"], r["value"]): r for r in tuning.marginal_means(rows, bw, dims).collect()}
+    monkeypatch.setattr(tuning, "TASK_ROWS", 200)
+    monkeypatch.setattr(tuning, "CHUNK_ROWS", 7)
+    left, _ = tuning.spread(rows, pts, ["space_id"])
+    assert {r["space_id"]: r["n"] for r in left.count().groupBy("space_id").agg(F.count("*").alias("n")).collect()} == {0: 4, 1: 1}
+    got = tuning.kde_density(rows, bw, pts, dims).collect()
+    assert len(got) == len(want) == 10
+    for r in got:
+        w = want[r["space_id"], r["point"]]
+        assert abs(r["good"] - w["good"]) < 1e-9 and abs(r["bad"] - w["bad"]) < 1e-9
+    for r in tuning.marginal_means(rows, bw, dims).collect():
+        assert abs(r["good"] - means[r["space_id"], r["name"], r["value"]]["good"]) < 1e-9
 
 
 def test_good_and_bad_sets_overlap_and_take_part_of_copies(spark):

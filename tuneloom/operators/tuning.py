@@ -8,11 +8,14 @@ combine before they are shuffled.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tuneloom.functions import draws, normal
 from tuneloom.operators import skew
@@ -27,6 +30,12 @@ MIN_BANDWIDTH = 1e-3
 SUPPORT_POINTS = 8
 TINY = 1e-32
 
+#: Rows of a group that one task adds up, and rows whose kernels stand in memory at once.
+TASK_ROWS = 200_000
+CHUNK_ROWS = 4096
+#: Hot groups, counted, that are sent to all tasks.
+SENT_GROUPS = 100_000
+
 
 @dataclass(frozen=True)
 class Dim:
@@ -126,32 +135,69 @@ def kde_bandwidth(rows: DataFrame, dims: Sequence[Dim], keys: Sequence[str]) ->
     return rows.groupBy(*keys).agg(F.sum(w).alias("n"), *out)
 
 
-def kernel_sql(dim: Dim, x: str, at: str, bw: str) -> str:
-    """Gaussian kernel for a number, match kernel for a category."""
+def kernel(dim: Dim, x: np.ndarray, at: np.ndarray, bw: float) -> np.ndarray:
+    """Kernels of all rows at all points: Gaussian for a number, match kernel for a category."""
     if dim.choices:
-        other = f"{bw} / {dim.choices - 1}.0D" if dim.choices > 1 else "CAST('NaN' AS DOUBLE)"
-        return f"(CASE WHEN {x} = {at} THEN 1 - {bw} ELSE {other} END)"
-    return f"(exp(-0.5D * power(({x} - {at}) / {bw}, 2)) / ({math.sqrt(2 * math.pi)!r}D * {bw}))"
+        return np.where(x[:, None] == at[None], 1 - bw, bw / (dim.choices - 1) if dim.choices > 1 else np.nan)
+    return np.exp(-0.5 * ((x[:, None] - at[None]) / bw) ** 2) / (math.sqrt(2 * math.pi) * bw)
+
+
+def _chunks(n: int) -> Iterator[slice]:
+    for begin in range(0, n, CHUNK_ROWS):
+        yield slice(begin, begin + CHUNK_ROWS)
+
+
+def _floats(table: pa.Table, names: Sequence[str]) -> dict[str, np.ndarray]:
+    return {c: table.column(c).to_numpy().astype(float) for c in names}
+
+
+def spread(rows: DataFrame, models: DataFrame, keys: Sequence[str]) -> tuple[GroupedData, GroupedData]:
+    """Rows and the models of their group by (keys, salt). Only groups counted to hold more than a task's rows have several salts."""
+    keys = list(keys)
+    # columns of their own: both sides may come from one frame
+    rows, models = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (rows, models))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > TASK_ROWS)
+    hot = cut_lineage(sizes.select(*keys, F.ceil(F.col("_n") / TASK_ROWS).alias("_salts")))
+    n = hot.count()
+    if not n:
+        return tuple(x.withColumn("_salt", F.lit(0).cast("long")).groupBy(*keys, "_salt") for x in (rows, models))
+    hot = F.broadcast(hot) if n <= SENT_GROUPS else hot
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    salted = rows.withColumn("_part", F.spark_partition_id()).join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns, "_part"), salts))
+    each = models.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    return tuple(x.drop("_salts", "_part").groupBy(*keys, "_salt") for x in (salted, each))
 
 
 def kde_density(rows: DataFrame, bandwidths: DataFrame, points: DataFrame, dims: Sequence[Dim]) -> DataFrame:
     """Density of both sets at every point: (space_id, point, good, bad).
 
-    `points` has a bounded number of rows (space_id, point, dims..) per space. They
-    travel as one array per space; each data row meets them once.
+    `points` has a bounded number of rows (space_id, point, dims..) per space. A task adds up the kernels of its rows at
+    all points of the space as one array; these sums, one row per task and point, are all that is added up after it.
     """
     cols = names_of(dims)
-    point = F.struct("point", *[F.col(c).alias(f"at_{c}") for c in cols])
-    per_space = points.groupBy("space_id").agg(F.collect_list(point).alias("points"))
-    models = bandwidths.join(per_space, "space_id")
-    met = skew.salted_join(rows.select("space_id", "set", *cols, "weight"), models, ["space_id", "set"])
-    flat = met.select("space_id", "set", *cols, "weight", "n", *[f"bw_{c}" for c in cols], F.explode("points").alias("p")).select(
-        "*", "p.*")
-    product = " * ".join(kernel_sql(d, d.name, f"at_{d.name}", f"bw_{d.name}") for d in dims)
-    value = F.expr(f"weight * {product} / n")
-    return flat.groupBy("space_id", "point").agg(
-        F.sum(F.when(F.col("set") == "good", value).otherwise(0.0)).alias("good"),
-        F.sum(F.when(F.col("set") == "bad", value).otherwise(0.0)).alias("bad"))
+    wide = bandwidths.groupBy("space_id").agg(*(
+        F.max(F.when(F.col("set") == s, F.col(c))).alias(f"{s}_{c}") for s in ("good", "bad") for c in ("n", *(f"bw_{c}" for c in cols))))
+    models = points.select("space_id", "point", *cols).join(wide, "space_id")
+
+    def add_up(data: pa.Table, model: pa.Table) -> pa.Table:
+        x, at = _floats(data, [*cols, "weight"]), _floats(model, cols)
+        sets, sums = data.column("set").to_numpy(zero_copy_only=False), {}
+        for s in ("good", "bad"):
+            own, sums[s] = sets == s, np.zeros(model.num_rows)
+            if model.num_rows and own.any():
+                n, bw = model.column(f"{s}_n")[0].as_py(), {c: model.column(f"{s}_bw_{c}")[0].as_py() for c in cols}
+                some = {c: v[own] for c, v in x.items()}
+                for part in _chunks(len(some["weight"])):
+                    k = some["weight"][part, None] / n
+                    for d in dims:
+                        k = k * kernel(d, some[d.name][part], at[d.name], bw[d.name])
+                    sums[s] += k.sum(0)
+        return pa.table({"space_id": model.column("space_id"), "point": model.column("point"), "good": sums["good"], "bad": sums["bad"]})
+
+    types = dict(points.dtypes)
+    left, right = spread(rows.select("space_id", "set", *cols, "weight"), models, ["space_id"])
+    each = left.cogroup(right).applyInArrow(add_up, f"space_id {types['space_id']}, point {types['point']}, good double, bad double")
+    return each.groupBy("space_id", "point").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
 def expected_improvement(densities: DataFrame) -> DataFrame:
@@ -165,12 +211,6 @@ def best_candidate(rated: DataFrame, digits: int = 9) -> DataFrame:
         F.min_by("point", F.struct(-F.round("ei", digits), F.col("point"))).alias("point"), F.max("ei").alias("ei"))
 
 
-def candidate_points(split: DataFrame, dims: Sequence[Dim], n: int = NUM_SAMPLES) -> DataFrame:
-    """The first `n` good rows of each space as points, named by their place."""
-    good = split.where((F.col("set") == "good") & (F.col("place") < n))
-    return good.select("space_id", F.col("place").alias("point"), *names_of(dims))
-
-
 def parameter_grid(spaces: DataFrame, points: int = 10) -> DataFrame:
     """Support of every parameter: its categories, or linear or geometric points between its bounds.
 
@@ -202,37 +242,39 @@ def random_configs(spaces: DataFrame, n: int, seed: int = 0, default_first: bool
         F.when(is_default, "Default").otherwise("Random Search").alias("origin"))
 
 
-def pivot_configs(long: DataFrame) -> DataFrame:
-    """One row per configuration with its values as a map; a space has few parameters."""
-    pairs = F.array_sort(F.collect_list(F.struct("name", "value")))
-    return long.groupBy("space_id", "config_no", "origin").agg(F.map_from_entries(pairs).alias("config"))
-
-
 def marginal_means(rows: DataFrame, bandwidths: DataFrame, dims: Sequence[Dim]) -> DataFrame:
     """Mean density over the full parameter grid for every value of every dimension.
 
     The kernel is a product, so the mean over the other dimensions' grid points is
-    the product of their mean kernels: the exact grid mean without the grid.
+    the product of their mean kernels: the exact grid mean without the grid. A task takes the kernels of its rows at the
+    support of each dimension once and returns one row per value.
     """
     cols = names_of(dims)
-    met = skew.salted_join(rows.select("space_id", "set", *cols, "weight"), bandwidths, ["space_id", "set"])
-    mean_kernel = {}
-    for d in dims:
-        parts = [kernel_sql(d, d.name, f"{v!r}D", f"bw_{d.name}") for v in d.support()]
-        mean_kernel[d.name] = "(" + " + ".join(parts) + f") / {len(parts)}.0D"
-    wide = met.select(
-        "space_id", "set", *cols, "weight", "n", *[f"bw_{c}" for c in cols],
-        *[F.expr(mean_kernel[c]).alias(f"avg_{c}") for c in cols])
-    sums, cells = [], []
-    for d in dims:
-        others = " * ".join(f"avg_{c}" for c in cols if c != d.name) or "1.0D"
-        for i, v in enumerate(d.support()):
-            k = kernel_sql(d, d.name, f"{v!r}D", f"bw_{d.name}")
-            term = F.expr(f"weight * {k} * {others} / n")
-            sums.append(F.sum(F.when(~F.isnan(term), term)).alias(f"s{len(sums)}"))
-            cells.append(F.struct(F.lit(d.name).alias("name"), F.lit(v).alias("value"), F.col(f"s{len(cells)}").alias("density")))
-    per_set = wide.groupBy("space_id", "set").agg(*sums).select("space_id", "set", F.explode(F.array(*cells)).alias("c")).select(
-        "space_id", "set", "c.*")
+
+    def add_up(data: pa.Table, model: pa.Table) -> pa.Table:
+        names, values = [d.name for d in dims for _ in d.support()], [v for d in dims for v in d.support()]
+        if not data.num_rows or not model.num_rows:
+            return out.empty_table()
+        x, n = _floats(data, [*cols, "weight"]), model.column("n")[0].as_py()
+        sums, seen = np.zeros(len(values)), np.zeros(len(values), dtype=np.int64)
+        for part in _chunks(data.num_rows):
+            at = [kernel(d, x[d.name][part], np.array(d.support()), model.column(f"bw_{d.name}")[0].as_py()) for d in dims]
+            means = [k.mean(1) for k in at]
+            terms = np.concatenate([
+                k * math.prod((m for j, m in enumerate(means) if j != i), start=x["weight"][part] / n)[:, None] for i, k in enumerate(at)], axis=1)
+            known = ~np.isnan(terms)
+            sums += np.where(known, terms, 0.0).sum(0)
+            seen += known.sum(0)
+        same = [data.column(c).take(pa.array([0] * len(values))) for c in ("space_id", "set")]
+        return pa.Table.from_arrays([*same, pa.array(names), pa.array(values, pa.float64()), pa.array(sums), pa.array(seen)], schema=out)
+
+    frame = rows.select("space_id", "set", *cols, "weight")
+    kinds = frame.select("space_id", "set", F.lit("").alias("name"), F.lit(0.0).alias("value"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("seen")).schema
+    out = to_arrow_schema(kinds)
+    left, right = spread(frame, bandwidths, ["space_id", "set"])
+    each = left.cogroup(right).applyInArrow(add_up, kinds)
+    density = F.when(F.sum("seen") > 0, F.sum("total"))
+    per_set = each.groupBy("space_id", "set", "name", "value").agg(density.alias("density"))
     both = per_set.groupBy("space_id", "name", "value").agg(
         F.max(F.when(F.col("set") == "good", F.col("density"))).alias("good"),
         F.max(F.when(F.col("set") == "bad", F.col("density"))).alias("bad"))

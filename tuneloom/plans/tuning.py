@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from tuneloom.functions import normal
 from tuneloom.operators import similarity as SIM
 from tuneloom.operators import tuning as T
 from tuneloom.plans.history import r6
 from tuneloom.plans.registry import query
+from tuneloom.session import cut_lineage
 from tuneloom.sources import views as V
 
 DIMS = [T.Dim("quantity"), T.Dim("discount"), T.Dim("tax"), T.Dim("flag", 3)]
@@ -112,8 +116,48 @@ def _g(x, at, bw):
 KERNEL = " * ".join([
     _g("s.quantity", "p.quantity", "bq"), _g("s.discount", "p.discount", "bd"), _g("s.tax", "p.tax", "bt"),
     "(CASE WHEN s.flag = p.flag THEN 1 - bf ELSE bf / 2 END)"])
-DENSITY = SPLIT + f""",
-pts AS (SELECT space_id, min(rn) - 1 AS point, quantity, discount, tax, flag FROM sets WHERE "set" = 'good' GROUP BY space_id, quantity, discount, tax, flag, loss HAVING min(rn) <= 64),
+SEED = 3
+
+
+def _u(seed, *parts):
+    text = " || '|' || ".join([f"'{seed}'", *parts])
+    return f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0)"
+
+
+def _poly(coefs, x):
+    made = f"{coefs[0]!r}e0"
+    for c in coefs[1:]:
+        made = f"({made} * {x} + {c!r}e0)"
+    return made
+
+
+def _cdf(z):
+    """The normal distribution function of a column, by the approximation that the operators use."""
+    x = f"(abs({z}) / {math.sqrt(2.0)!r}e0)"
+    t = f"(1e0 / (1e0 + {normal.ERF_P!r}e0 * {x}))"
+    return f"(CASE WHEN {z} >= 0 THEN 1 - 0.5e0 * {_poly(normal.ERF_A[::-1], t)} * {t} * exp(-{x} * {x}) ELSE 0.5e0 * {_poly(normal.ERF_A[::-1], t)} * {t} * exp(-{x} * {x}) END)"
+
+
+def _quantile(p):
+    m, r = f"({p} - 0.5e0)", f"sqrt(-2e0 * ln(least({p}, 1 - {p})))"
+    s = f"({m} * {m})"
+    edge = f"({_poly(normal.Q_C, r)} / ({_poly(normal.Q_D, r)} * {r} + 1e0))"
+    return f"(CASE WHEN {p} < {normal.Q_LOW}e0 THEN {edge} WHEN {p} > {1 - normal.Q_LOW!r}e0 THEN -{edge} ELSE {_poly(normal.Q_A, s)} * {m} / ({_poly(normal.Q_B, s)} * {s} + 1e0) END)"
+
+
+_NUMERIC = (("quantity", "bq"), ("discount", "bd"), ("tax", "bt"))
+#: Drawn points: a random good row, its numbers moved by a normal three bandwidths wide within [0, 1], its category kept or drawn anew.
+DRAWN = f"""
+drawn AS (SELECT g.space_id, g.point, {", ".join(f"m.{c} AS m_{c}, 3e0 * {b} AS s_{c}, {_u(f'{SEED}{c}', 'g.space_id', 'g.point')} AS u_{c}" for c, b in _NUMERIC)}, m.flag AS m_flag, bf,
+                 {_u(f'{SEED}flag', 'g.space_id', 'g.point')} AS u_flag, {_u(f'{SEED}flagc', 'g.space_id', 'g.point')} AS u_flagc
+          FROM (SELECT *, unnest(range(64)) AS point FROM bw WHERE "set" = 'good') g
+          JOIN cr m ON m.space_id = g.space_id AND m.rn = CAST(floor({_u(f'{SEED}row', 'g.space_id', 'g.point')} * g.n) AS BIGINT) + 1),
+limits AS (SELECT *, {", ".join(f"(0e0 - m_{c}) / s_{c} AS a_{c}, (1e0 - m_{c}) / s_{c} AS b_{c}" for c, _ in _NUMERIC)} FROM drawn),
+shares AS (SELECT *, {", ".join(f"{_cdf(f'a_{c}')} AS lo_{c}, {_cdf(f'b_{c}')} AS hi_{c}" for c, _ in _NUMERIC)} FROM limits),
+ps AS (SELECT *, {", ".join(f"lo_{c} + u_{c} * (hi_{c} - lo_{c}) AS p_{c}" for c, _ in _NUMERIC)} FROM shares),
+pts AS (SELECT space_id, point, {", ".join(f"greatest(0e0, least(1e0, m_{c} + s_{c} * {_quantile(f'p_{c}')})) AS {c}" for c, _ in _NUMERIC)},
+               CASE WHEN u_flag < 1 - bf THEN m_flag ELSE floor(u_flagc * 3) END AS flag FROM ps)"""
+DENSITY = SPLIT + f""",{DRAWN},
 dens AS (SELECT s.space_id, p.point, sum(CASE WHEN s."set" = 'good' THEN {KERNEL} / b.n ELSE 0 END) AS good,
                 sum(CASE WHEN s."set" = 'bad' THEN {KERNEL} / b.n ELSE 0 END) AS bad
          FROM sets s JOIN bw b ON s.space_id = b.space_id AND s."set" = b."set" JOIN pts p ON p.space_id = s.space_id GROUP BY s.space_id, p.point),
@@ -126,7 +170,7 @@ def _split(spark, d):
 
 def _densities(spark, d):
     split, bw = T.fitted(V.configs(spark, d), DIMS)
-    return T.kde_density(split, bw, T.candidate_points(split, DIMS), DIMS)
+    return T.kde_density(split, bw, cut_lineage(T.draw_candidates(split, bw, DIMS, seed=SEED)), DIMS)
 
 
 @query("good_bad_split", f"""
@@ -255,11 +299,6 @@ COMPONENTS = ("Imputer", "OneHotEncoder", "StandardScaler", "PCA", "Selector", "
 CLASSIFIERS = ("DecisionTree", "RandomForest", "NaiveBayes")
 
 
-def _u(seed, *parts):
-    text = " || '|' || ".join([f"'{seed}'", *parts])
-    return f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0)"
-
-
 @query("random_structures", f"""
     WITH q AS (SELECT config, greatest(1, least(10, CAST(ceil((0.5e0 + sqrt(-2 * ln({_u('6deptha', 'config')})) * cos(2 * pi() * {_u('6depthb', 'config')}) / 6) * 10) AS INTEGER))) AS depth FROM runs),
     s AS (SELECT config, depth, unnest(range(1, depth + 1)) AS i FROM q)
