@@ -472,7 +472,7 @@ def test_packing(spark, docs, odd):
     whole = Tokenizer.from_file(path)
     frame = docs.select("doc_id", "text").union(odd.select("doc_id", "text").where("doc_id is not null and doc_id not in (6)").selectExpr("doc_id + 500000", "text")).union(
         spark.createDataFrame([(900000, "<|endoftext|>x"), (900001, "y <|endoftext|>" * 3000)], "doc_id long, text string"))
-    got = packing.pack(frame, path, rounds=30).collect()
+    got = packing.pack(frame, path).collect()
     pieces = collections.defaultdict(list)
     for r in got:
         pieces[r["doc_id"]].append(r)
@@ -499,7 +499,7 @@ def check_places(rows):
 
 
 def test_packing_odd_rows(spark, odd):
-    rows = packing.pack(odd, public_tokenizers.path("byte_bpe_50k.json"), rounds=5).collect()
+    rows = packing.pack(odd, public_tokenizers.path("byte_bpe_50k.json")).collect()
     check_places(rows)
     assert collections.Counter(r["doc_id"] for r in rows if r["piece"] == 0) == collections.Counter(i for i, *_ in ODD)
     assert packing.pack(odd.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
@@ -509,7 +509,7 @@ def test_packing_odd_rows(spark, odd):
 @settings(max_examples=60, deadline=None)
 def test_plan_has_a_place_for_every_piece(demand):
     made = collections.Counter()
-    for pattern, times in packing.plan(demand, 40, 20):
+    for pattern, times in packing.plan(demand, 40):
         assert times > 0 and sum(n * c for n, c in pattern) <= 40
         for n, c in pattern:
             made[n] += c * times
@@ -518,10 +518,53 @@ def test_plan_has_a_place_for_every_piece(demand):
 
 def test_knapsack():
     rng = np.random.default_rng(1)
-    lengths, weights = np.array([3, 5, 7]), rng.random(3)
-    found = packing.best_configuration(lengths, weights, 22)
-    best = max(sum(w * n for w, n in zip(weights, y)) for y in itertools.product(range(8), repeat=3) if sum(a * n for a, n in zip(lengths, y)) <= 22)
-    assert np.isclose(sum(weights[lengths.tolist().index(n)] * c for n, c in found.items()), best)
+    for lengths in (np.array([3, 5, 7]), np.array([4, 9, 10, 22])):
+        weights = rng.random(len(lengths))
+        value = packing.price(lengths, weights, 22)
+        for room in range(23):
+            some = [sum(w * n for w, n in zip(weights, y)) for y in itertools.product(range(8), repeat=len(lengths)) if sum(a * n for a, n in zip(lengths, y)) == room]
+            assert np.isclose(value[room], max(some)) if some else value[room] == -np.inf
+            if some:
+                found = packing.best_configuration(lengths, weights, value, room)
+                assert sum(lengths[i] * c for i, c in found.items()) == room and np.isclose(sum(weights[i] * c for i, c in found.items()), value[room])
+                near = packing.near_configuration(lengths, weights, value, room, np.full(len(lengths), 9.0), rng)
+                assert sum(lengths[i] * c for i, c in near.items()) == room and sum(weights[i] * c for i, c in near.items()) >= (1 - packing.LOSS) * value[room] - 1e-9
+
+
+def lengths_like_documents(times):
+    """A histogram of piece lengths with a long tail, `times` as many of each."""
+    rng = np.random.default_rng(3)
+    pieces = np.concatenate([rng.integers(1, 2048, 700), np.minimum(rng.lognormal(5.5, 0.9, 2500), 2047).astype(int) + 1])
+    return {int(n): int(c) * times for n, c in zip(*np.unique(pieces, return_counts=True)) if n < 2048}
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_the_program_makes_the_plan(times):
+    """It covers every length within three hundredths of its bound, and rounding leaves best fit less than a tenth of the tokens and the reserve."""
+    demand = lengths_like_documents(times)
+    used, bound = packing.fractional(demand, 2048)
+    covered = collections.Counter()
+    for pattern, x in used.items():
+        for n, c in pattern:
+            covered[n] += c * x
+    assert all(covered[n] >= c - 1e-6 for n, c in demand.items())
+    tokens = sum(n * c for n, c in demand.items())
+    assert tokens / 2048 <= bound * (1 + 1e-9) <= sum(used.values()) <= 1.03 * bound
+    left = collections.Counter(demand)
+    bins = packing.rounded(used, left, 2048)
+    placed = sum(n * c * whole for some in bins.values() for pattern, whole in some.items() for n, c in pattern)
+    assert placed + sum(n * c for n, c in left.items()) == tokens and min(left.values()) >= 0 and placed > 0.9 * tokens
+    made = packing.plan(demand)
+    assert sum(whole for _, whole in made) <= 1.003 * tokens / 2048 + 1
+    fixed = [pattern for some in bins.values() for pattern in some]
+    assert len(fixed) > 100
+
+
+def test_plans_follow_the_program(monkeypatch):
+    """With a program that pairs 700 and 600 in three, the plan does; best fit alone would put 700 with 700."""
+    monkeypatch.setattr(packing, "RESERVE", 0.0)
+    monkeypatch.setattr(packing, "fractional", lambda demand, capacity: (collections.Counter({((700, 1), (600, 2)): 50.0}), 50.0))
+    assert packing.plan({700: 50, 600: 100}) == [(((700, 1), (600, 2)), 50)]
 
 
 # 10 URLs

@@ -4,11 +4,14 @@ Documents become token ids with an end id, longer ones are cut into pieces of th
 What is packed is the histogram of piece lengths, whose size follows the capacity and not the data:
 
 - The program: as few sequences as cover every length as often as it occurs; a column is a configuration, a multiset of
-  lengths that fits one sequence.
-- Multiplicative weights: every length has a weight that falls with the share of its pieces already covered. The pricing
-  step finds the configuration of the largest weight by a knapsack dynamic program over the capacity.
-- Rounding: configurations are used in the order found, a whole number of times, while their pieces last; what is
-  left, some pieces per configuration, goes by best fit, longest first, on counts of equal bins.
+  lengths that fits one sequence. The shortest pieces, `RESERVE` of all tokens, stay out of it to fill what rounding leaves.
+- Multiplicative weights: every length has a weight that falls with the share of its pieces already covered, and steps are
+  small, until every length is covered. The pricing step is a knapsack dynamic program over the capacity; from its values
+  many configurations are drawn whose weight is within `LOSS` of the largest. Any weights bound the program from below,
+  so `fractional` returns its value, the best of these bounds, and thereby the gap between them.
+- Rounding: configurations are used a whole number of times, the most used first, while their pieces last. What is left,
+  less than a tenth of the tokens on the given tables, and the shortest pieces go by best fit, longest first, into the
+  room of these sequences and into new ones, on counts of equal sequences.
 
 Pieces then take the places of their length in the order of their rank. Ranks come from counts per (length, salt) and
 numbers inside a salt, so a length held by a third of all pieces is spread over many tasks.
@@ -36,9 +39,13 @@ from tuneloom.llm.text import slices, written
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 300
 #: How fast the weight of a length falls with the share of its pieces that is covered.
-SPEED = 2.0
+SPEED = 0.5
+#: How much less than the largest weight a configuration may have, configurations drawn from one pricing step, draws in
+#: vain that end it, and the share of what is left of a configuration that a step uses.
+LOSS, DRAWS, VAIN, STEP = 0.05, 256, 32, 0.5
+#: Share of all tokens, in the shortest pieces, that fills gaps; how full a configuration has to be.
+RESERVE, FULL = 0.05, 0.85
 #: Pieces of one (length, salt) group on average, if one length held all of them.
 PER_SALT = 20_000
 
@@ -109,51 +116,90 @@ def _cut(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 # The linear program
 
 
-def best_configuration(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> Counter:
-    """Knapsack by dynamic programming: the multiset of lengths with the largest weight that fits."""
-    value, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> np.ndarray:
+    """The knapsack's dynamic program: the largest weight of a multiset of lengths with each exact sum, -inf where there is none."""
+    value = np.full(capacity + 1, -np.inf)
+    value[0] = 0.0
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        k = np.searchsorted(lengths, room, "right")
-        value[room] = value[room - 1]
+        k = upto[room]
         if k:
-            worth = value[room - lengths[:k]] + weights[:k]
-            best = int(worth.argmax())
-            if worth[best] > value[room]:
-                value[room], taken[room] = worth[best], best
-    found, room = Counter(), capacity
-    while room > 0:
-        if taken[room] < 0:
-            room -= 1
-        else:
-            found[int(lengths[taken[room]])] += 1
-            room -= int(lengths[taken[room]])
+            value[room] = (value[room - lengths[:k]] + weights[:k]).max()
+    return value
+
+
+def best_configuration(lengths: np.ndarray, weights: np.ndarray, value: np.ndarray, room: int) -> dict[int, int]:
+    """The configuration of the largest weight with this sum, as counts by place among the lengths."""
+    found: dict[int, int] = {}
+    while room:
+        k = int(np.searchsorted(lengths, room, "right"))
+        item = int((value[room - lengths[:k]] + weights[:k]).argmax())
+        found[item] = found.get(item, 0) + 1
+        room -= int(lengths[item])
     return found
 
 
-def fractional(demand: dict[int, int], capacity: int, rounds: int) -> list[tuple[Pattern, float]]:
-    """Configurations with the number of sequences that each fills, by multiplicative weights."""
-    lengths = np.array(sorted(demand))
-    need = np.array([demand[n] for n in lengths.tolist()], dtype=float)
-    place = {n: k for k, n in enumerate(lengths.tolist())}
-    # the dual weights start at the share of a sequence that a piece fills
-    weights, covered, used = lengths / capacity, np.zeros(len(lengths)), Counter()
-    for _ in range(rounds):
-        found = best_configuration(lengths, weights, capacity)
-        rows = np.array([place[n] for n in found])
-        counts = np.minimum(np.array(list(found.values())), need[rows])
-        step = float((need[rows] / counts).min())
-        share = step * counts / need[rows]
-        covered[rows] += share
-        weights[rows] *= np.exp(-SPEED * share)
-        used[tuple(zip(lengths[rows].tolist(), counts.astype(int).tolist(), strict=True))] += step
-        if covered.min() >= 1:
-            break
-    return list(used.items())
+def near_configuration(lengths: np.ndarray, weights: np.ndarray, value: np.ndarray, room: int, left: np.ndarray, draws: np.random.Generator) -> dict[int, int] | None:
+    """A drawn configuration of pieces that are left, within `LOSS` of the largest weight; None if the draw gets stuck."""
+    found: dict[int, int] = {}
+    spare, left = LOSS * value[room], left.copy()
+    while room:
+        k = int(np.searchsorted(lengths, room, "right"))
+        loss = value[room] - (value[room - lengths[:k]] + weights[:k])
+        shares = np.cumsum(np.where(loss <= spare + 1e-12, np.maximum(left[:k], 0.0), 0.0) * lengths[:k])
+        if not k or shares[-1] <= 1e-6:
+            return None
+        item = min(int(np.searchsorted(shares, draws.random() * shares[-1], "right")), k - 1)
+        spare -= max(loss[item], 0.0)
+        found[item] = found.get(item, 0) + 1
+        left[item] -= 1
+        room -= int(lengths[item])
+    return found
 
 
-def best_fit(left: Counter, capacity: int) -> Counter[Pattern]:
-    """Longest pieces first, each into the fullest sequence that takes it; equal sequences are counted together."""
-    bins: dict[int, Counter] = {}
+def fractional(demand: dict[int, int], capacity: int) -> tuple[Counter[Pattern], float]:
+    """Configurations with the number of sequences that each fills, covering all lengths, and a lower bound of the least number."""
+    draws = np.random.default_rng(7)
+    lengths = np.array(sorted(demand))
+    need = np.array([demand[n] for n in lengths.tolist()], dtype=float)
+    left, used, bound = need.copy(), Counter(), 0.0
+    while (left > 0).any():
+        live = left > 0
+        own, rest, most = lengths[live], left[live], need[live]
+        # the weights start at the share of a sequence that a piece fills
+        weights = own / capacity * np.exp(-SPEED * (1 - rest / most))
+        value = price(own, weights, capacity)
+        room = int(np.flatnonzero(value >= value.max() * (1 - 1e-12))[-1])
+        bound = max(bound, float((weights * most).sum() / value[room]))
+        done = vain = 0
+        while done < DRAWS and vain < VAIN:
+            found = near_configuration(own, weights, value, room, rest, draws)
+            if found is None:
+                vain += 1
+                if done or vain < VAIN:
+                    continue
+                found = best_configuration(own, weights, value, room)
+            items, counts = np.array(list(found)), np.array(list(found.values()), dtype=float)
+            counts = np.minimum(counts, most[items])
+            whole = float((rest[items] / counts).min())
+            if whole <= 0:
+                vain += 1
+                continue
+            step = whole if whole <= 1 else max(1.0, STEP * whole)
+            rest[items] -= step * counts
+            rest[rest < 1e-9] = 0.0
+            used[tuple((int(own[i]), int(c)) for i, c in zip(items, counts, strict=True))] += step
+            done, vain = done + 1, 0
+        left[live] = rest
+    return used, bound
+
+
+def best_fit(left: Counter, capacity: int, bins: dict[int, Counter] | None = None) -> Counter[Pattern]:
+    """Longest pieces first, each into the fullest sequence that takes it; equal sequences are counted together.
+
+    `bins` has sequences to begin with, by the room they have.
+    """
+    bins = bins or {}
     for length in sorted(left, reverse=True):
         todo = left[length]
         for room in sorted(r for r in bins if r >= length):
@@ -167,7 +213,7 @@ def best_fit(left: Counter, capacity: int) -> Counter[Pattern]:
                         bins[room][pattern] -= filled
                         bins.setdefault(room - count * length, Counter())[(*pattern, (length, count))] += filled
                         todo -= filled * count
-                bins[room] += Counter()
+            bins[room] += Counter()
         each = capacity // length
         for count in (each, todo % each):
             if count and todo >= count:
@@ -176,23 +222,31 @@ def best_fit(left: Counter, capacity: int) -> Counter[Pattern]:
     return sum(bins.values(), Counter())
 
 
-def plan(demand: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
+def rounded(used: Counter[Pattern], left: Counter, capacity: int) -> dict[int, Counter]:
+    """Whole uses of the configurations by the room they have; their pieces go from `left`."""
+    bins: dict[int, Counter] = {}
+    for pattern, times in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+        size = sum(n * c for n, c in pattern)
+        whole = min([max(1, round(times)), *(left[n] // c for n, c in pattern)])
+        if whole and size >= FULL * capacity:
+            bins.setdefault(capacity - size, Counter())[pattern] += whole
+            left.subtract({n: c * whole for n, c in pattern})
+    return bins
+
+
+def plan(demand: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """Configurations and how many sequences use each; every piece has exactly one place."""
     left = Counter({n: c for n, c in demand.items() if n < capacity and c})
     out: list[tuple[Pattern, int]] = [(((capacity, 1),), demand[capacity])] if demand.get(capacity) else []
-    if left:
-        for pattern, times in fractional(dict(left), capacity, rounds):
-            # only nearly full sequences are worth fixing; the rest goes by best fit
-            whole = min([int(times), *(left[n] // c for n, c in pattern)])
-            if whole and sum(n * c for n, c in pattern) >= capacity - 1:
-                out.append((pattern, whole))
-                left.subtract({n: c * whole for n, c in pattern})
-        out += best_fit(+left, capacity).items()
-        # rounding may cost a sequence where pieces are few: then nothing is fixed
-        whole_fit = best_fit(Counter({n: c for n, c in demand.items() if n < capacity and c}), capacity)
-        if whole_fit.total() < sum(times for pattern, times in out if pattern != ((capacity, 1),)):
-            out = [x for x in out if x[0] == ((capacity, 1),)] + list(whole_fit.items())
-    return out
+    spare, kept = RESERVE * sum(n * c for n, c in left.items()), Counter()
+    for n in sorted(left):
+        kept[n] = min(left[n], int(spare // n))
+        spare -= n * kept[n]
+        if kept[n] < left[n]:
+            break
+    left -= kept
+    bins = rounded(fractional(dict(left), capacity)[0], left, capacity) if left else {}
+    return out + list(best_fit(+(left + kept), capacity, bins).items())
 
 
 class Places:
@@ -248,10 +302,10 @@ def ranked(pieces: DataFrame, total: int) -> DataFrame:
     return numbered.join(bases, ["length", "salt"]).select(*pieces.columns, (F.col("base") + F.col("number")).alias("rank"))
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = written(texts.mapInArrow(_cut(path, capacity), _PIECES), "pack-pieces")
     demand = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    places = Places(plan(demand, capacity, rounds))
+    places = Places(plan(demand, capacity))
     return ranked(pieces, sum(demand.values())).mapInArrow(_place(places), f"{_PIECES}, sequence_id long, offset long")
