@@ -4,6 +4,8 @@ import collections
 import hashlib
 import html
 import itertools
+import math
+import random
 import re
 import unicodedata
 import zlib
@@ -277,6 +279,128 @@ def test_comments_beside_an_article():
         assert html_text.main_text(f"<body>{page}") == TEXT, page
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    # elements left open end with the element around them, controls before the next block
+    (f"<div><nav><a href=x>menu</a></div><article>{BODY}</article>", TEXT), (f"<div><form><input><p>Sign up</div><article>{BODY}</article>", TEXT),
+    (f"<body><div><select><option>a<option>b</div><article>{BODY}</article>", TEXT), (f"<article><select><option>one{BODY}</article>", TEXT),
+    (f"<article><button>Buy{BODY}</article>", TEXT), (f"<body><nav><a href=x>menu</a><article>{BODY}</article>", TEXT), (f"<body><form id=all>{BODY}</form>{PARTS}", TEXT),
+    (f"<noscript><div>no</div><p>script</noscript><article>{BODY}</article>", TEXT), (f"<body><nav/><a href=m>menu</a></nav><article>{BODY}</article>", TEXT),
+    # in main beside the article: links, teasers, adverts without a name
+    (f"<main><div><a href=a>Buy shoes</a> <a href=b>Buy hats</a></div><article>{BODY}</article><div><p>Cheap flights now</p></div></main>", TEXT),
+    (f"<main><article>{BODY}</article><article><a href=t>Another story of ours that you may like</a></article></main>", TEXT),
+    (f"<body><article>{BODY}<ul><li><a href=r>Read this too</a><li><a href=s>And that one</a></ul></article>", TEXT),
+    # headings before the core
+    ("<body><h1>Title of it</h1><div><p>First paragraph &eacute; of the text, which goes on for a while.</p><p>Second one &amp; more of the text to read here.</p></div>" + PARTS, TEXT),
+    # names that tell of notices and adverts, in articles too
+    (f"<article>{BODY}<div class='content-notice'><p>We use this and that.</p></div></article>", TEXT), (f"<article>{BODY}<p class='post-related'>More of this.</p></article>", TEXT),
+    (f"<body><div class='x'>{BODY}</div><div role=search>Search here</div><footer><p>The end of the page</p></footer>", TEXT)])
+def test_pages_without_help_of_names(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_articles_of_several_parts():
+    text, words = "Some words of a paragraph that goes on. " * 8, ("Title", "Intro in short.", "Second heading", "By someone.")
+    p, title, intro, second, end = (f"<p>{text}</p>", "<h1>Title</h1>", "<p>Intro in short.</p>", "<h2>Second heading</h2>", "<p>By someone.</p>")
+    for article in (f"{title}{intro}<div class=x>{p * 6}{second}{p * 3}</div>{end}", f"{title}<div>{intro}</div><section>{p * 6}</section><section>{second}{p * 3}</section><div>{end}</div>"):
+        for page in (f"<nav><a href=1>a</a></nav><article>{article}</article><footer>end</footer>", f"<div id=top><a href=1>Home</a></div><main>{article}</main><div class=ad>Buy</div>"):
+            want = [*words[:2], *[text.strip()] * 6, words[2], *[text.strip()] * 3, words[3]]
+            assert html_text.main_text(f"<body>{page}") == "\n".join(want)
+
+
+def random_page(rng, depth=0):
+    """Nested elements with texts, as (name, children); a child is a string or an element."""
+    name = rng.choice(["div", "section", "p", "a", "b", "div", "ul", "td" if depth else "div"])
+    children = [" ".join(["word"] * rng.randint(0, 12)) if rng.random() < 0.5 or depth > 4 else random_page(rng, depth + 1) for _ in range(rng.randint(1, 4))]
+    return name, children
+
+
+def flat(element, tree, parent, places):
+    k = len(tree.names) if parent >= 0 else 0
+    if parent >= 0:
+        tree.names.append(element[0])
+        tree.parents.append(parent)
+    places[id(element)] = k
+    for child in element[1]:
+        if isinstance(child, str):
+            tree.texts.append((k, child))
+        else:
+            flat(child, tree, k, places)
+
+
+def counted(element, aside):
+    """(characters, tags, link characters, link tags) by recursion; the tag of the element itself counts as a link's only."""
+    c = t = lc = lt = 0
+    for child in element[1]:
+        if isinstance(child, str):
+            c += len(" ".join(child.split()))
+        else:
+            a, b, d, e = counted(child, aside)
+            c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e
+    return (c, t, c, lt + 1) if element[0] == "a" or id(element) in aside else (c, t, lc, lt)
+
+
+def dense(element, aside, share):
+    c, t, lc, lt = counted(element, aside)
+    if c <= lc:
+        return 0.0
+    t = max(t, 1)
+    return c / t * max(0.0, math.log(max(c / max(lc, 1) * t / max(lt, 1), 1))) / math.log(c / (c - lc) * lc + share * c + math.e)
+
+
+def elements(element):
+    yield element
+    for child in element[1]:
+        if not isinstance(child, str):
+            yield from elements(child)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_densities_equal_a_recursion(seed):
+    rng = random.Random(seed)
+    root = ("body", [random_page(rng) for _ in range(4)])
+    tree, places = html_text.Tree(["body"], [-1], []), {}
+    flat(root, tree, -1, places)
+    every = list(elements(root))
+    aside_ids = {id(e) for e in every[1:] if rng.random() < 0.1}
+    aside_ids |= {id(inner) for e in every if id(e) in aside_ids for inner in elements(e)}
+    aside = [False] * len(tree.names)
+    for e in every:
+        aside[places[id(e)]] = id(e) in aside_ids
+    m = html_text.densities(tree, aside)
+    c, _, lc, _ = counted(root, aside_ids)
+    share = lc / c if c else 0
+    wanted = {}
+    for e in every:
+        own = sum(len(" ".join(x.split())) for x in e[1] if isinstance(x, str))
+        k, (c, _, lc, _) = places[id(e)], counted(e, aside_ids)
+        wanted[k] = (own if c > lc else 0) + sum(dense(x, aside_ids, share) for x in e[1] if not isinstance(x, str))
+        assert math.isclose(m.density[k], dense(e, aside_ids, share)) and math.isclose(m.total[k], wanted[k])
+    if any(wanted.values()):
+        largest, (first, core) = max(wanted.values()), html_text.core_of(tree, m)
+        node = min(k for k in wanted if wanted[k] == m.total[k] and math.isclose(wanted[k], largest))
+        while tree.names[node] not in html_text.CONTAINERS:
+            node = tree.parents[node]
+        assert first == node and html_text.chosen(tree, aside)[core]
+
+
+def test_the_formula_decides(monkeypatch):
+    """Without the part of the links in it the menu of a page without names would be its text."""
+    links = "".join(f"<p><a href={k}>A longer link to the story number {k} of our pages</a></p>" for k in range(30))
+    page = f"<body><div>{links}</div><div>{BODY}{LONGER}</div>"
+    assert "story number" not in html_text.main_text(page) and html_text.main_text(page).startswith(TEXT)
+    real = html_text.densities
+
+    def by_characters(tree, aside):
+        m = real(tree, aside)
+        total = [0.0] * len(m.chars)
+        for k in range(1, len(total)):
+            total[tree.parents[k]] += m.chars[k]
+        return html_text.Measured(m.chars, [0] * len(total), [float(c) for c in m.chars], total)
+
+    monkeypatch.setattr(html_text, "densities", by_characters)
+    assert "story number" in html_text.main_text(page)
+
+
 def test_pages_frame(spark):
     frame = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>long " + "words " * 200_000, "y"), (1, "u", "<p>a", "z"), (1, "u", "<p>a", "z")], "page_id long, url string, html string, text string")
     got = sorted((r["page_id"] or 0, r["url"] or "", r["n_chars"]) for r in html_text.extract(frame).collect())

@@ -5,19 +5,24 @@ Every node of the page's tree gets the characters and tags below it, with and wi
     chars / tags * log(chars / link_chars * tags / link_tags) / log(chars / other_chars * link_chars + share * chars + e)
 
 where share is the part of the body's text that stands in links: many characters per tag count for a node, links against
-it. A node's sum adds the densities of its children (own text counts as a child). The node with the largest sum is the
-core; the least density on the path from the core to the body is the threshold, and nodes outside the core that reach it
-belong to the text as well. A core inside an article or main element grows to that element.
-
-Elements that never hold main text, hidden ones, and containers whose class or id says menu, advert, comment and the like,
-are left out before densities are taken. By its class or id no body, html, article or main goes (but an article named a
-comment inside another article), and no container that holds an article or main, or blocks with most of the page's text
-outside links. Articles named comments do not keep their container, nor does much text keep comments beside an article
-with text of its own. Names that tell of a state (has-sidebar, no-comments, menu-open) say nothing. Nothing else is dropped.
+it. A node's sum adds the densities of its children (own text counts as a child). The node with the largest sum is the core; a
+core that is a part of running text is taken with the container around it, and it grows to the outermost element around it
+that is `GROWTH` as dense, an article or main `MAIN_GROWTH`. The least density on the path from the core to the body, and
+no less than `LEAST` of the core's, is the threshold. The text is the core and every node outside it that reaches the
+threshold, without the containers that stay below it and are mostly links; headings right before the core, or before what
+holds it, belong to it.
+
+Names weigh in this and don't decide: the text of menus, forms, headers, footers, sidebars, and of elements whose class,
+id or role says menu, advert, notice, comment and the like, counts as link text, so their density is 0. It does not where
+such an element holds an article or main, or blocks with most of the page's text outside links (an article named a comment
+inside another article counts all the same, and much text keeps no comments beside an article with text of its own).
+Names that tell of a state (has-sidebar, no-comments, menu-open) say nothing. Scripts, styles, controls and hidden
+elements are no text at all.
 
 White space inside a block becomes one space, blocks are joined by line breaks in page order. Cases: null or empty html
 and pages without text give an empty text. Broken markup is closed as browsers do for paragraphs, list items and
-table cells; an unfinished tag at the end is dropped. Rows are answered one by one, so repeated rows, null ids and ties
+table cells; an element left open ends with the element around it, a control also before the next block; a closing slash
+counts on void elements only; an unfinished tag at the end is dropped. Rows are answered one by one, so repeated rows, null ids and ties
 need no rule. Other columns are not read.
 """
 
@@ -39,8 +44,10 @@ from tuneloom.llm.text import slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 NEVER = frozenset(
-    "head script style noscript template iframe object svg math canvas audio video select button textarea form nav footer aside menu dialog "
-    "title xmp noembed noframes input option datalist".split())
+    "head script style noscript template iframe object svg math canvas audio video select button textarea title xmp noembed noframes input "
+    "option datalist".split())
+CONTROLS = frozenset("select button option datalist".split())
+ASIDE_ELEMENTS = frozenset("form nav footer aside menu dialog".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "html legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split())
@@ -51,15 +58,13 @@ CLOSES = {
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
-#: Words of class and id names of containers that are not main text, and words that vouch for a container.
+#: Words of class and id names of containers that are not main text.
 ASIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer "
     "gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promotion promoted recommended "
     "related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split())
-MAIN_WORDS = frozenset("article body content entry main post story text".split())
-#: Of the first, words of readers' comments, and words that no word of the second vouches against.
+#: Of these, words of readers' comments.
 COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
-SURE_WORDS = COMMENT_WORDS | {"footer", "sidebar"}
 #: A word after one of the first, or before one of the second as the name's last, tells of a state: has-sidebar, menu-open.
 STATE_BEFORE = frozenset("has have is no not with without".split())
 STATE_AFTER = frozenset("open opened closed enabled disabled collapsed off".split())
@@ -67,6 +72,13 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search menu
 MAIN_ELEMENTS = frozenset({"article", "main"})
 #: A core that is a part of the running text grows to the container around it.
 CONTAINERS = MAIN_ELEMENTS | {"body", "div", "section", "td"}
+#: Containers that are no part of a running text if they are mostly links.
+LISTS = CONTAINERS | frozenset("ul ol dl table".split())
+HEADINGS = frozenset({"h1", "h2"})
+#: How dense an element has to be, as a share of the core's density, for the core to grow to it: any container, and an article or main.
+GROWTH, MAIN_GROWTH = 0.7, 0.3
+#: The threshold is this share of the core's density at least.
+LEAST = 0.4
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<(?=[a-zA-Z/!])[^>]*+\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -80,7 +92,7 @@ class Tree:
     names: list[str] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
     texts: list[tuple[int, str]] = field(default_factory=list)
-    asides: dict[int, set[str]] = field(default_factory=dict)  # the aside words of nodes that have some
+    asides: dict[int, set[str]] = field(default_factory=dict)  # the aside words and names of nodes that have some
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -94,25 +106,23 @@ def _attributes(text: str) -> dict[str, str]:
 def _hidden(attributes: dict[str, str]) -> bool:
     if "hidden" in attributes and attributes["hidden"].strip().lower() != "until-found":
         return True
-    return bool(_HIDDEN.search(attributes.get("style", ""))) or attributes.get("role", "").strip().lower() in ASIDE_ROLES
+    return bool(_HIDDEN.search(attributes.get("style", "")))
 
 
 def _aside_words(attributes: dict[str, str]) -> set[str]:
-    """The words of class and id by which an element is not main text."""
+    """The words of class, id and role by which an element is not main text."""
     words: set[str] = set()
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
         parts = [x for x in re.split(r"[^a-z]+", name) if x]
         if len(parts) > 1 and parts[-1] in STATE_AFTER:
             del parts[-2:]
         words.update(x for k, x in enumerate(parts) if not (k and parts[k - 1] in STATE_BEFORE))
-    return words & (SURE_WORDS if words & MAIN_WORDS else ASIDE_WORDS)
+    role = attributes.get("role", "").strip().lower()
+    return words & ASIDE_WORDS | ({role} & ASIDE_ROLES)
 
 
 def parse(page: str) -> Tree:
-    """The tree of what may be main text; elements that never are have gone with everything inside.
-
-    Those with aside words are in it: whether they go depends on what they hold.
-    """
+    """The tree of the page's text; elements that never hold any have gone with everything inside."""
     tree = Tree(["body"], [-1], [])
     stack = [0]
     skipped: list[str] = []  # open elements of the part left out
@@ -130,48 +140,41 @@ def parse(page: str) -> Tree:
             continue
         attributes = found[3] or found[6] or ""
         if found[1] or found[4]:
-            if skipped:
-                if name in skipped:
-                    while skipped.pop() != name:
-                        pass
-                elif name in ("body", "html"):
-                    skipped.clear()
-                continue
-            open_names = [names[k] for k in stack]
-            if name in open_names[1:]:
+            if name in skipped:
+                while skipped.pop() != name:
+                    pass
+            elif name in ("body", "html"):
+                skipped.clear()
+            elif any(names[k] == name for k in stack[1:]):
+                # the end of what is around it ends a part left open, too
+                skipped.clear()
                 while names[stack.pop()] != name:
                     pass
             continue
-        raw = name in RAW
-        if raw:
+        if skipped and skipped[0] in CONTROLS and (name in BLOCKS or name == skipped[0]):
+            skipped.clear()
+        if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
-            body_end = close.start() if close else end
-            at = body_end
+            at = _after(page, close.start()) if close else end
+            continue
         if skipped:
-            # only elements of the same kind can hide the end of the part
-            if name == skipped[0] and name not in VOID:
+            if name not in VOID:
                 skipped.append(name)
-            if raw and name != skipped[0]:
-                at = _after(page, at)
             continue
         if name in ENDS_PARAGRAPH:
             _close(stack, names, {"p"}, {"div", "article", "section", "td", "th", "li", "main", "body", "blockquote"})
         if name in CLOSES:
             _close(stack, names, *CLOSES[name])
-        inside_main = any(names[k] in MAIN_ELEMENTS for k in stack)
         if name in ("html", "body"):
             continue
-        opens = name not in VOID and not attributes.rstrip().endswith("/") or name in ("div", "section")
         values = _attributes(attributes) if attributes else {}
-        if name in NEVER or (name == "header" and not inside_main) or (name not in MAIN_ELEMENTS and _hidden(values)):
-            if raw:
-                at = _after(page, at)
-            elif opens:
+        if name in NEVER or (name not in MAIN_ELEMENTS and _hidden(values)):
+            if name not in VOID:
                 skipped.append(name)
             continue
-        words = _aside_words(values) if "class" in values or "id" in values else set()
-        if words and not opens:
-            continue
+        words = _aside_words(values) if values.keys() & {"class", "id", "role"} else set()
+        if name in ASIDE_ELEMENTS or (name == "header" and not any(names[k] in MAIN_ELEMENTS for k in stack)):
+            words = words | {name}
         names.append(name)
         tree.parents.append(stack[-1])
         n += 1
@@ -201,11 +204,11 @@ def _close(stack: list[int], names: list[str], closing: set[str], fence: set[str
             return
 
 
-def without_asides(tree: Tree) -> Tree:
-    """The tree without the containers that their names say are not main text, but for those that hold it."""
-    if not tree.asides:
-        return tree
+def asides(tree: Tree) -> list[bool]:
+    """The nodes whose text counts as link text: those with aside words that don't hold the main text, and all in them."""
     n, names, parents = len(tree.names), tree.names, tree.parents
+    if not tree.asides:
+        return [False] * n
     in_link, in_article, plain, blocks, holds = [False] * n, [False] * n, [0] * n, [False] * n, [False] * n
     comments = [bool(tree.asides.get(k, set()) & COMMENT_WORDS) for k in range(n)]
     for k in range(1, n):
@@ -219,29 +222,34 @@ def without_asides(tree: Tree) -> Tree:
         blocks[parents[k]] |= blocks[k] or names[k] in BLOCKS
         holds[parents[k]] |= holds[k] or (names[k] in MAIN_ELEMENTS and not comments[k])
     articles = [k for k in range(1, n) if names[k] == "article" and not comments[k]]
-    gone = [False] * n
+    aside = [False] * n
     for k in range(1, n):
-        gone[k] = gone[parents[k]]
-        if gone[k] or k not in tree.asides or holds[k]:
+        aside[k] = aside[parents[k]]
+        if aside[k] or k not in tree.asides or holds[k]:
             continue
         if names[k] in MAIN_ELEMENTS and not (comments[k] and in_article[k]):
             continue
-        gone[k] = not blocks[k] or 2 * plain[k] <= plain[0]
-        if comments[k] and not gone[k]:
-            above, node = set(), parents[k]
-            while node > 0:
-                above.add(node)
-                node = parents[node]
-            gone[k] = any(plain[a] > (plain[k] if a in above else 0) for a in articles)
-    place = [-1] * n
-    kept = [k for k in range(n) if not gone[k]]
-    for at, k in enumerate(kept):
-        place[k] = at
-    return Tree([names[k] for k in kept], [place[parents[k]] if k else -1 for k in kept], [(place[k], text) for k, text in tree.texts if not gone[k]])
-
-
-def densities(tree: Tree) -> tuple[list[float], list[float]]:
-    """The composite density of each node and the sum over its children."""
+        aside[k] = not blocks[k] or 2 * plain[k] <= plain[0]
+        if comments[k] and not aside[k]:
+            above, up = set(), parents[k]
+            while up > 0:
+                above.add(up)
+                up = parents[up]
+            aside[k] = any(plain[a] > (plain[k] if a in above else 0) for a in articles)
+    return aside
+
+
+@dataclass
+class Measured:
+    """Per node: characters, link characters, density, and the sum over its children."""
+
+    chars: list[int]
+    link_chars: list[int]
+    density: list[float]
+    total: list[float]
+
+
+def densities(tree: Tree, aside: list[bool]) -> Measured:
     n = len(tree.names)
     chars, tags, link_chars, link_tags, own = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in tree.texts:
@@ -249,7 +257,7 @@ def densities(tree: Tree) -> tuple[list[float], list[float]]:
         chars[node] += size
         own[node] += size
     for node in range(n - 1, 0, -1):
-        if tree.names[node] == "a":
+        if tree.names[node] == "a" or aside[node]:
             link_chars[node], link_tags[node] = chars[node], 1 + link_tags[node]
         parent = tree.parents[node]
         chars[parent] += chars[node]
@@ -260,43 +268,58 @@ def densities(tree: Tree) -> tuple[list[float], list[float]]:
     density, total = [0.0] * n, [0.0] * n
     for node in range(n - 1, -1, -1):
         c, t, lc, lt = chars[node], max(tags[node], 1), link_chars[node], link_tags[node]
-        if c:
-            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        if c > lc:
+            base = math.log(c / (c - lc) * lc + share * c + math.e)
             density[node] = c / t * max(0.0, math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0))) / base
-        total[node] += own[node]
+            total[node] += own[node]
         if node:
             total[tree.parents[node]] += density[node]
-    return density, total
+    return Measured(chars, link_chars, density, total)
+
 
+def core_of(tree: Tree, m: Measured) -> tuple[int, int]:
+    """The container of the node of the largest sum, the first on ties, and what it grows to."""
+    first = max(range(len(tree.names)), key=lambda k: (m.total[k], -k))
+    while tree.names[first] not in CONTAINERS:
+        first = tree.parents[first]
+    core = node = first
+    while node:
+        node = tree.parents[node]
+        if m.density[node] >= (MAIN_GROWTH if tree.names[node] in MAIN_ELEMENTS else GROWTH) * m.density[first]:
+            core = node
+    return first, core
 
-def _chosen(tree: Tree) -> list[bool]:
+
+def chosen(tree: Tree, aside: list[bool]) -> list[bool]:
     """Which nodes belong to the main text."""
-    density, total = densities(tree)
-    n = len(tree.names)
-    core = max(range(n), key=lambda k: (total[k], -k))
-    while tree.names[core] not in CONTAINERS:
-        core = tree.parents[core]
-    path, node = [], core
+    n, names, parents = len(tree.names), tree.names, tree.parents
+    m = densities(tree, aside)
+    if not any(m.total):
+        return [False] * n
+    first, core = core_of(tree, m)
+    path, node = [], first
     while node >= 0:
         path.append(node)
-        node = tree.parents[node]
-    threshold = min(density[k] for k in path)
-    mains = [k for k in path if tree.names[k] in MAIN_ELEMENTS]
-    chosen = [False] * n
-    if mains:
-        chosen[mains[-1]] = True
-    else:
-        chosen[core] = True
-        for k in range(n):
-            chosen[k] |= density[k] >= threshold > 0 and k not in path
-    for k in range(1, n):
-        chosen[k] |= chosen[tree.parents[k]]
-    return chosen
+        node = parents[node]
+    threshold, on_path = max(min(m.density[k] for k in path), LEAST * m.density[first]), set(path)
+    # headings in a row right before a node of the path
+    heads: dict[int, list[int]] = {}
+    for k in range(1, first):
+        if parents[k] in on_path and k not in on_path:
+            heads[parents[k]] = [*heads.get(parents[k], []), k] if names[k] in HEADINGS else []
+    title = {k for run in heads.values() for k in run if not aside[k] and 2 * m.link_chars[k] < m.chars[k]}
+    found, gone = [False] * n, [False] * n
+    for k in range(n):
+        up = parents[k]
+        poor = aside[k] or (names[k] in LISTS and m.density[k] < threshold and 2 * m.link_chars[k] > m.chars[k])
+        gone[k] = (k > 0 and gone[up]) or (poor and k not in on_path)
+        found[k] = k == core or k in title or (k > 0 and found[up]) or (k not in on_path and m.density[k] >= threshold > 0)
+    return [f and not g for f, g in zip(found, gone, strict=True)]
 
 
 def main_text(page: str | None) -> str:
-    tree = without_asides(parse(page or ""))
-    chosen = _chosen(tree)
+    tree = parse(page or "")
+    kept = chosen(tree, asides(tree))
     block = [0] * len(tree.names)
     for k in range(1, len(block)):
         block[k] = k if tree.names[k] in BLOCKS else block[tree.parents[k]]
@@ -304,7 +327,7 @@ def main_text(page: str | None) -> str:
     part: list[str] = []
     seen = -1
     for node, text in tree.texts:
-        if not chosen[node]:
+        if not kept[node]:
             continue
         if block[node] != seen:
             blocks.append("".join(part))
