@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -263,6 +264,49 @@ def test_a_missing_prediction_is_an_error(spark):
         ensemble.greedy_selection(preds, bag, (0, 1))
 
 
+def greedy(truth, members, rounds, seed=0):
+    """Forward selection row by row: {model: weight} of the best round and its loss."""
+    chosen, best = np.zeros(truth.shape[1]), (math.inf, {})
+    for step in range(rounds):
+        keys = []
+        for m in members:
+            p = (truth @ chosen + truth[:, m]) / (chosen.sum() + 1)
+            keys.append((round(-np.log(np.clip(p, metrics.EPS, 1 - metrics.EPS)).mean(), 12), hashlib.md5(f"{seed}|{step}|0|{m}".encode()).hexdigest(), m))
+        loss, _, m = min(keys)
+        chosen[m] += 1
+        if loss < best[0]:
+            best = (loss, {k: int(w) for k, w in enumerate(chosen) if w})
+    return best
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_greedy_selection_equals_row_by_row(spark, copies, monkeypatch):
+    """Three classes, probabilities that don't sum to 1; with copies of all rows like rows are put together."""
+    monkeypatch.setattr(ensemble, "CHUNK_ROWS", 16)
+    rng = np.random.default_rng(4)
+    raw, y = rng.random((60, 12, 3)) + 0.05, rng.integers(0, 3, 60)
+    raw[np.arange(60), :, y] += rng.random((60, 12)) * 1.5
+    rows = [(m, r + 100 * c, int(y[r]), [float(x) for x in raw[r, m]]) for c in range(copies) for r in range(60) for m in range(12)]
+    preds = spark.createDataFrame(rows, "model_id int, row_id int, y int, probs array<double>").repartition(4)
+    members = [m for m in range(12) if m != 7]
+    truth = ensemble.truth_rows(preds, 12, (0, 1, 2))
+    assert truth.agg(F.count("*"), F.sum("n")).first() == (60, 60 * copies)
+    bag = spark.createDataFrame([(0, m) for m in members], "bag int, model_id int")
+    got = ensemble.greedy_selection(preds, bag, (0, 1, 2), max_models=8).collect()
+    loss, want = greedy((raw / raw.sum(2, keepdims=True))[np.arange(60), :, y], members, 8)
+    assert {r["model_id"]: r["weight"] for r in got} == want and len(want) > 2 and abs(got[0]["loss"] - loss) < 1e-9
+
+
+def test_a_round_of_many_models_is_one_plan_of_constant_size(spark):
+    sizes = []
+    for n in (5, 1000):
+        truth = spark.range(50).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: 1.0 / (i + 1)).alias("truth"), F.lit(2).cast("long").alias("n"))
+        rounds = ensemble.round_log_losses(truth, {0: np.ones(n)}, {0: np.arange(n)})
+        sizes.append(len(rounds._jdf.queryExecution().optimizedPlan().toString()))
+        assert rounds.count() == n
+    assert sizes[1] < sizes[0] + 200
+
+
 def vectors(n=160, dims=4, seed=0):
     rng = np.random.default_rng(seed)
     v = np.round(rng.random((n, dims)), 2)

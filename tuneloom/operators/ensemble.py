@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ from tuneloom.functions import draws, names, scores
 from tuneloom.operators import metrics
 from tuneloom.session import cut_lineage
 
+#: Rows that a task blends at once.
+CHUNK_ROWS = 4096
+#: Digits of a loss that decide; further ones depend on the order of sums.
+DIGITS = 12
+
 
 def score_library(preds: DataFrame, classes: Sequence, metric: str = "logloss") -> DataFrame:
     """Loss of every model on the held-out rows; a model with missing predictions counts as failed."""
@@ -73,45 +80,61 @@ def round_losses(wide: DataFrame, models: Sequence, classes: Sequence, metric: s
     return metrics.loss(long, metric, classes, ["bag", "model_id"])
 
 
-def round_log_losses(truth: DataFrame, models: Sequence, weights: dict[int, dict],
-                     candidates: dict[int, Sequence], eps: float = metrics.EPS) -> DataFrame:
-    """`round_losses` for log loss with normalised models: one aggregate per (bag, candidate).
+def truth_rows(preds: DataFrame, n_models: int, classes: Sequence) -> DataFrame:
+    """Distinct rows of the probabilities that the models, in their order, give the true class, and how many rows are alike.
 
-    `truth` holds the probability of the true class per model. A task sends on
-    one row of sums, whatever the number of data rows.
+    Each model's probabilities are taken as shares of their sum. Rows are put together only where at least half of them have
+    a like one, by an estimate; else it would cost an exchange for nothing.
     """
-    at = {m: i for i, m in enumerate(models)}
-    sums, cells = [], []
-    for bag, members in candidates.items():
-        chosen = weights.get(bag, {})
-        n = float(sum(chosen.values()))
-        base = " + ".join([f"truth[{at[m]}] * {float(w)}D" for m, w in chosen.items()] or ["0.0D"])
-        for m in members:
-            p = f"({base} + truth[{at[m]}]) / {n + 1.0}D"
-            sums.append(F.expr(f"avg(-ln(greatest(least({p}, {1 - eps!r}D), {eps!r}D)))").alias(f"c{len(sums)}"))
-            cells.append(f"named_struct('bag', {bag}, 'model_id', {m!r}, 'loss', c{len(cells)})")
-    return truth.agg(*sums).select(F.expr(f"inline(array({', '.join(cells)}))"))
+    slot = F.coalesce(*[F.when(F.col("y") == F.lit(c), F.lit(i)) for i, c in enumerate(classes)])
+    share = F.transform("library", lambda p: F.get(p, slot) / F.aggregate(p, F.lit(0.0), lambda s, x: s + x))
+    rows = cut_lineage(wide_predictions(preds, n_models).select(share.alias("truth")))
+    n, alike = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("truth"), 0.02)).first()
+    if 2 * alike > n:
+        return rows.withColumn("n", F.lit(1).cast("long"))
+    return cut_lineage(rows.groupBy("truth").agg(F.count("*").alias("n")))
+
+
+def round_log_losses(truth: DataFrame, weights: dict[int, np.ndarray], members: dict[int, np.ndarray], eps: float = metrics.EPS) -> DataFrame:
+    """Log loss per (bag, place of a model among all) when that member of the bag joins its weighted models.
+
+    A task blends the true class's probabilities of its rows per bag, once for all candidates, and sends on one array of
+    sums per bag. The plan is the same in every round, whatever the number of models and bags.
+    """
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, rows = {b: np.zeros(len(m)) for b, m in members.items()}, 0.0
+        for batch in batches:
+            n = batch.column("n").to_numpy().astype(float)
+            each = batch.column("truth").flatten().to_numpy().reshape(len(n), -1) if len(n) else np.empty((0, 0))
+            for begin in range(0, len(n), CHUNK_ROWS):
+                part, count = each[begin:begin + CHUNK_ROWS], n[begin:begin + CHUNK_ROWS]
+                rows += count.sum()
+                for bag, own in members.items():
+                    total = weights[bag].sum() + 1
+                    p = (part @ weights[bag])[:, None] + part[:, own]
+                    sums[bag] -= count @ np.log(np.clip(p / total, eps, 1 - eps))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64())), pa.array([rows] * len(sums))], names=["bag", "sums", "rows"])
+
+    part = truth.mapInArrow(add_up, "bag int, sums array<double>, rows double").select("bag", "rows", F.posexplode("sums").alias("at", "s"))
+    return part.groupBy("bag", "at").agg((F.sum("s") / F.sum("rows")).alias("loss"))
 
 
 def greedy_selection(preds: DataFrame, bags: DataFrame, classes: Sequence, metric: str = "logloss",
                      max_models: int = 25, seed: int = 0) -> DataFrame:
     """Forward selection with replacement in every bag; the best round is kept.
 
-    Only the losses of a round (bags x models numbers) reach the driver. Ties are
+    Only the losses of a round (bags x models numbers) reach the driver. Ties, to 12 digits, are
     broken by a draw on (seed, round, bag, model). Returns (bag, model_id, weight, loss).
     """
     spark = preds.sparkSession
     models = sorted(r[0] for r in preds.select("model_id").distinct().collect())
+    place = {m: i for i, m in enumerate(models)}
     members: dict[int, list] = {}
     for r in bags.collect():
         members.setdefault(r["bag"], []).append(r["model_id"])
     members = {b: sorted(ms) for b, ms in sorted(members.items())}
-
-    wide = wide_predictions(preds, len(models))
-    if metric == "logloss":
-        slot = F.coalesce(*[F.when(F.col("y") == F.lit(c), F.lit(i)) for i, c in enumerate(classes)])
-        wide = wide.select(F.transform("library", lambda p: F.get(p, slot)).alias("truth"))
-    wide = cut_lineage(wide)
+    places = {b: np.array([place[m] for m in ms]) for b, ms in members.items()}
+    wide = truth_rows(preds, len(models), classes) if metric == "logloss" else cut_lineage(wide_predictions(preds, len(models)))
 
     def draw(*parts) -> str:
         return hashlib.md5("|".join(str(x) for x in (seed, *parts)).encode()).hexdigest()
@@ -120,13 +143,14 @@ def greedy_selection(preds: DataFrame, bags: DataFrame, classes: Sequence, metri
     best: dict[int, tuple] = {}
     for step in range(max_models):
         if metric == "logloss":
-            losses = round_log_losses(wide, models, weights, members)
+            vectors = {b: np.array([float(chosen.get(m, 0)) for m in models]) for b, chosen in weights.items()}
+            found = [(r["bag"], members[r["bag"]][r["at"]], r["loss"]) for r in round_log_losses(wide, vectors, places).collect()]
         else:
-            losses = round_losses(wide, models, classes, metric, weights, members)
+            found = [(r["bag"], r["model_id"], r["loss"]) for r in round_losses(wide, models, classes, metric, weights, members).collect()]
         winner: dict[int, tuple] = {}
-        for r in losses.collect():
-            key = (r["loss"], draw(step, r["bag"], r["model_id"]), r["model_id"])
-            winner[r["bag"]] = min(winner.get(r["bag"], key), key)
+        for bag, model, loss in found:
+            key = (round(loss, DIGITS), draw(step, bag, model), model)
+            winner[bag] = min(winner.get(bag, key), key)
         for bag, (loss, _, m) in winner.items():
             weights[bag][m] = weights[bag].get(m, 0) + 1
             if bag not in best or loss < best[bag][0]:

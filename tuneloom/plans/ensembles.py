@@ -58,15 +58,41 @@ def greedy_round(spark, d):
     return E.round_losses(wide, models, CLASSES, "logloss", {0: WEIGHTS}, {0: models}).select("bag", "model_id", r6("loss"))
 
 
-@query("greedy_selection")
+def _greedy_sql(bags: str) -> str:
+    """25 rounds by recursion over (bag, step, weights); `bags` is a table of (bag, model_id). The best round of each bag, the first on ties."""
+    blend = "list_dot_product(s.weights, t.truth) + t.truth[b.model_id]"
+    return f"""
+    bags AS ({bags}),
+    t AS (SELECT truth, count(*) AS n FROM (SELECT list(CASE WHEN y = 1 THEN p ELSE 1 - p END ORDER BY model_id) AS truth FROM preds GROUP BY row_id) GROUP BY truth),
+    rounds AS (
+      SELECT DISTINCT bag, 0 AS step, [0e0 FOR i IN range(10)] AS weights, CAST(NULL AS DOUBLE) AS loss FROM bags
+      UNION ALL
+      SELECT bag, step + 1, [w + CASE WHEN i = model_id THEN 1 ELSE 0 END FOR w, i IN weights], loss FROM (
+        SELECT bag, step, any_value(weights) AS weights, arg_min(model_id, (loss, draw)) AS model_id, min(loss) AS loss FROM (
+          SELECT s.bag, s.step, any_value(s.weights) AS weights, b.model_id, md5('0|' || s.step || '|' || s.bag || '|' || b.model_id) AS draw,
+                 round(sum(t.n * -ln(greatest(1e-15, least(1 - 1e-15, ({blend}) / (s.step + 1))))) / sum(t.n), 12) AS loss
+          FROM rounds s JOIN bags b ON s.bag = b.bag, t WHERE s.step < 25 GROUP BY s.bag, s.step, b.model_id) GROUP BY bag, step)
+    ),
+    kept AS (SELECT bag, arg_min(weights, (loss, step)) AS weights, min(loss) AS loss FROM rounds WHERE step > 0 GROUP BY bag),
+    picked AS (SELECT bag, CAST(unnest(range(1, 11)) AS INTEGER) AS model_id, CAST(unnest(weights) AS INTEGER) AS weight, loss FROM kept)"""
+
+
+@query("greedy_selection", f"""
+    WITH RECURSIVE {_greedy_sql("SELECT 0 AS bag, unnest(range(1, 11)) AS model_id")}
+    SELECT bag, model_id, weight, round(loss, 6) AS loss FROM picked WHERE weight > 0""")
 def greedy_selection(spark, d):
     one_bag = V.preds(spark, d).select("model_id").distinct().withColumn("bag", F.lit(0))
-    return E.greedy_selection(library(spark, d), one_bag, CLASSES)
+    return E.greedy_selection(library(spark, d), one_bag, CLASSES).select("bag", "model_id", "weight", r6("loss"))
 
 
-@query("bagged_ensemble")
+_DRAW = "md5('0|' || bag || '|' || model_id)"
+
+
+@query("bagged_ensemble", f"""
+    WITH RECURSIVE {_greedy_sql(f"SELECT bag, model_id FROM (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY substr({_DRAW}, 1, 13), model_id) AS rn FROM (SELECT unnest(range(1, 11)) AS model_id), (SELECT unnest([0, 1, 2, 3]) AS bag)) WHERE rn <= 7")}
+    SELECT bag, model_id, weight, round(loss, 6) AS loss FROM picked WHERE weight > 0 AND bag = (SELECT arg_min(bag, (loss, bag)) FROM kept)""")
 def bagged_ensemble(spark, d):
-    return E.bagged_ensemble(library(spark, d), CLASSES)
+    return E.bagged_ensemble(library(spark, d), CLASSES).select("bag", "model_id", "weight", r6("loss"))
 
 
 SOFT = f"""{WEIGHT_SQL},
