@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tuneloom.operators import compare, ensemble, metrics, racing, runs, similarity, splits, structures, trajectory, tree, tuning
+from tuneloom.operators import compare, ensemble, metrics, quantiles, racing, runs, similarity, skew, splits, structures, trajectory, tree, tuning
 from tuneloom.sources import logs, tables
 
 
@@ -478,11 +478,32 @@ def test_quantiles_reach_one_and_constant_columns_get_a_bin(spark):
     from tuneloom.evaluation import components
 
     df = spark.createDataFrame([(float(k % 5), 3.0) for k in range(200)] + [(float("nan"), 3.0), (None, None)], "a double, c double")
-    got = [r["a_q"] for r in components.quantile_transform(df, ["a"]).collect()]
+    got = [r["a_q"] for r in quantiles.rank_scale(df, ["a"]).collect()]
     assert max(g for g in got if g is not None) == 1.0 and min(g for g in got if g is not None) == 0.0 and got[-2:] == [None, None]
+    assert {r["c_q"] for r in quantiles.rank_scale(df, ["c"]).collect()} == {0.0, None}
     assert {r["c_bin"] for r in components.equal_width_bins(df, "c", 4).collect()} == {0.0, None}
 
 
+def test_order_statistics_are_exact(spark, monkeypatch):
+    """Over several ranges, with ties, nulls and a column without values."""
+    monkeypatch.setattr(skew, "RANGE_BYTES", 400)
+    rng = np.random.default_rng(6)
+    a, b = np.round(rng.normal(size=501), 1), rng.lognormal(size=501)
+    df = spark.createDataFrame([(float(x), None if k % 50 == 0 else float(y), None) for k, (x, y) in enumerate(zip(a, b))], "a double, b double, c double")
+    shares = (0.0, 0.1, 0.25, 0.5, 0.99, 1.0)
+    got = quantiles.quantiles(df, ["a", "b", "c"], shares)
+    kept = b[np.arange(501) % 50 != 0]
+    assert np.allclose(got["a"], np.quantile(a, shares)) and np.allclose(got["b"], np.quantile(kept, shares)) and got["c"] == []
+    scaled = quantiles.robust_scale(df, ["a", "c"]).collect()
+    low, mid, high = np.quantile(a, (0.25, 0.5, 0.75))
+    assert np.allclose([r["a_r"] for r in scaled], (a - mid) / (high - low)) and {r["c_r"] for r in scaled} == {None}
+    ranks = [r["a_q"] for r in quantiles.rank_scale(df, ["a"], 10).collect()]
+    cuts = sorted({np.sort(a)[-(-i * 501 // 10) - 1] for i in range(1, 10)})
+    passed = np.searchsorted(cuts, a, "right")
+    assert np.allclose(ranks, (passed - passed.min()) / (passed.max() - passed.min()))
+    assert quantiles.rank_scale(df, ["c"]).where("c_q is not null").count() == 0 == quantiles.robust_scale(df.limit(0), ["a"]).count()
+
+
 def test_donors_that_differ_in_the_parameter_only(spark):
     """Their order, and so the result, does not depend on the order of the rows."""
     from tuneloom.operators import tuning

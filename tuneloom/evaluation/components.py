@@ -102,19 +102,6 @@ def truncated_svd(df: DataFrame, n_features: int, k: int, features: str = "featu
     return model.transform(df), values.tolist()
 
 
-def quantile_transform(df: DataFrame, cols: Sequence[str], n: int = 100) -> DataFrame:
-    """Numbers to their quantile in [0, 1]; null and NaN become null. Buckets without values count for nothing."""
-    model = FT.QuantileDiscretizer(
-        numBuckets=n, inputCols=list(cols), outputCols=[f"{c}_q" for c in cols], handleInvalid="keep").fit(df)
-    out = model.transform(df)
-    ranks = {c: F.when(F.col(c).isNotNull() & ~F.isnan(c), F.col(f"{c}_q")) for c in cols}
-    ends = out.agg(*[f(ranks[c]) for c in cols for f in (F.min, F.max)]).first()
-    for k, c in enumerate(cols):
-        low, high = ends[2 * k] or 0.0, ends[2 * k + 1] or 0.0
-        out = out.withColumn(f"{c}_q", (ranks[c] - low) / max(1.0, high - low))
-    return out
-
-
 def equal_width_bins(df: DataFrame, col: str, n: int) -> DataFrame:
     lo, hi = df.agg(F.min(col), F.max(col)).first()
     if lo is None or lo == hi:

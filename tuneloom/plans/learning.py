@@ -11,6 +11,7 @@ from tuneloom.evaluation import components as K
 from tuneloom.evaluation import jobs as J
 from tuneloom.operators import ensemble as E
 from tuneloom.operators import metrics, splits
+from tuneloom.operators import quantiles as Q
 from tuneloom.plans.history import r6
 from tuneloom.plans.registry import query
 from tuneloom.session import new_path
@@ -94,17 +95,31 @@ def scaling(spark, d):
         r6(at("Normalizer", 0), "norm_a"), r6(at("StandardScaler", 1), "standard_b"))
 
 
-@query("robust_scaler")
+@query("robust_scaler", """
+    WITH q AS (SELECT quantile_cont(p_size, [0.25e0, 0.5e0, 0.75e0]) AS a, quantile_cont(p_retailprice, [0.25e0, 0.5e0, 0.75e0]) AS b FROM part)
+    SELECT p_partkey, round((p_size - a[2]) / CASE WHEN a[3] = a[1] THEN 1 ELSE a[3] - a[1] END, 6) AS a,
+           round((p_retailprice - b[2]) / CASE WHEN b[3] = b[1] THEN 1 ELSE b[3] - b[1] END, 6) AS b FROM part, q""")
 def robust_scaler(spark, d):
-    df = _parts(spark, d)
-    out = K.vector_step("RobustScaler", "features", "scaled").fit(df).transform(df)
-    arr = vector_to_array("scaled")
-    return out.select("p_partkey", F.get(arr, F.lit(0)).alias("a"), F.get(arr, F.lit(1)).alias("b"))
+    out = Q.robust_scale(_parts(spark, d).select("p_partkey", "a", "b"), ["a", "b"])
+    return out.select("p_partkey", r6("a_r", "a"), r6("b_r", "b"))
+
+
+def _cuts(column):
+    return f"""(SELECT list(DISTINCT x) FILTER (list_contains([CAST(ceil(i * n / 100e0) AS BIGINT) FOR i IN range(1, 100)], k)) AS cuts, min(lo) AS lo, max(hi) AS hi FROM (
+      SELECT {column} AS x, row_number() OVER (ORDER BY {column}) AS k, count(*) OVER () AS n, min({column}) OVER () AS lo, max({column}) OVER () AS hi FROM part)
+      )"""
+
+
+def _rank(x, cuts):
+    return f"len(list_filter({cuts}.cuts, lambda v: v <= {x}))"
 
 
-@query("quantile_transformer")
+@query("quantile_transformer", f"""
+    WITH a AS {_cuts("p_size")}, b AS {_cuts("p_retailprice")}
+    SELECT p_partkey, {", ".join(f"({_rank(x, t)} - {_rank(f'{t}.lo', t)}) / CAST(greatest(1, {_rank(f'{t}.hi', t)} - {_rank(f'{t}.lo', t)}) AS DOUBLE) AS {t}_q" for x, t in (("p_size", "a"), ("p_retailprice", "b")))}
+    FROM part, a, b""")
 def quantile_transformer(spark, d):
-    return K.quantile_transform(_parts(spark, d), ["a", "b"]).select("p_partkey", "a_q", "b_q")
+    return Q.rank_scale(_parts(spark, d).select("p_partkey", "a", "b"), ["a", "b"]).select("p_partkey", "a_q", "b_q")
 
 
 @query("label_encoder", """
