@@ -25,7 +25,8 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], label: str) -> D
 
     The rows are dealt out once by ranges of (group, order); a range counts its rows of each group, and running sums over
     these counts place the ranges. A group may hold all rows: no task ever sees more than a range of it. The order must
-    not tie in more rows than a task holds; `numbered` as its last column sees to that. Nulls come first.
+    not tie in more rows than a task holds; `numbered` as its last column sees to that. Nulls come first. A table of
+    `FEW_ROWS` takes a plain window.
     """
     keys, n = [*group, *order], rows.count()
     within = Window.partitionBy(*(group or [F.lit(0)]))
