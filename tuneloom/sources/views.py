@@ -114,11 +114,6 @@ def traj(spark, folder) -> DataFrame:
         F.min(F.least(F.col("value") / 500, F.lit(1.0))).alias("score"))
 
 
-def ticks(spark, folder, step: int = 3600) -> DataFrame:
-    last = traj(spark, folder).agg(F.max("sec").alias("last"))
-    return last.select(F.explode(F.sequence(F.lit(0).cast("long"), "last", F.lit(step).cast("long"))).alias("sec"))
-
-
 def _lines(spark, folder) -> DataFrame:
     """One row per (order, line). The one-letter codes are compared as numbers: a maximum of texts would need a sort."""
     def largest(code: str):
