@@ -14,7 +14,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -547,6 +547,7 @@ def test_forward_backward():
 
 
 @given(st.lists(st.text(st.sampled_from("aB1é .\n!日"), max_size=30), max_size=6))
+@example(["", ".", ".."])
 @settings(max_examples=60, deadline=None)
 def test_lines_do_not_depend_on_other_texts(texts):
     together = quality.lines_of(pa.array(texts, pa.large_string()))

@@ -85,7 +85,8 @@ def lines_of(texts: pa.Array) -> Lines:
     some = np.maximum(n, 1)
     # lines that come again within their text
     line_hash = mix(np.bincount(line_of_word, (hashes >> np.uint64(12)).astype(np.float64), minlength=len(begin)).view(np.uint64) ^ length.astype(np.uint64))
-    line_key = mix(line_hash ^ mix(row.astype(np.uint64)))
+    # numbers of rows lie apart from lengths, of which lines without words have nothing else
+    line_key = mix(line_hash ^ mix(row.astype(np.uint64) + np.uint64(1 << 63)))
     _, inverse, times = np.unique(line_key, return_inverse=True, return_counts=True)
     base = np.column_stack([
         shares, np.log1p(length), np.log1p(n), np.log((length + 1) / (some + 1)), distinct / some, again / some, _ENDS[data[stop - 1]], times[inverse] > 1,
