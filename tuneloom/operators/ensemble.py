@@ -16,6 +16,8 @@ from tuneloom.session import cut_lineage
 
 #: Rows that a task blends at once.
 CHUNK_ROWS = 4096
+#: Probabilities of a task's rows, of distinct rows put together.
+TASK_VALUES = 1_000_000
 #: Digits of a loss that decide; further ones depend on the order of sums.
 DIGITS = 12
 
@@ -92,7 +94,8 @@ def truth_rows(preds: DataFrame, n_models: int, classes: Sequence) -> DataFrame:
     n, alike = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("truth"), 0.02)).first()
     if 2 * alike > n:
         return rows.withColumn("n", F.lit(1).cast("long"))
-    return cut_lineage(rows.groupBy("truth").agg(F.count("*").alias("n")))
+    tasks = max(1, -(-alike * n_models // TASK_VALUES))
+    return cut_lineage(rows.groupBy("truth").agg(F.count("*").alias("n")).coalesce(tasks))
 
 
 def round_log_losses(truth: DataFrame, weights: dict[int, np.ndarray], members: dict[int, np.ndarray], eps: float = metrics.EPS) -> DataFrame:
