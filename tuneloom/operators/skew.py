@@ -28,6 +28,21 @@ MAX_BUCKETS = 100_000
 SENT_RANGES = 20_000
 
 
+#: Rows that a task of a grouping by fine keys gets.
+GROUPED_ROWS = 250_000
+
+
+def bounded(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by hash of the keys, in as many tasks as `GROUPED_ROWS` counted rows fill.
+
+    For groupings that hardly make rows fewer: they add up where the rows land, without a partial aggregate of a whole file,
+    and without tasks that are made by compressed bytes and hold many millions of short rows. Meant for tables that are read
+    from files, whose rows are counted without reading them.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // GROUPED_ROWS))
+    return df.repartition(tasks, *keys)
+
+
 def bytes_of(field: T.StructField) -> Column:
     """About the bytes a value takes in a shuffle."""
     x, kind = F.col(field.name), field.dataType

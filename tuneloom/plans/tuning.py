@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tuneloom.functions import normal
 from tuneloom.operators import similarity as SIM
+from tuneloom.operators import skew
 from tuneloom.operators import tuning as T
 from tuneloom.plans.history import r6
 from tuneloom.plans.registry import query
@@ -199,9 +200,8 @@ def fit_gate(spark, d):
     SELECT space_id, round(quantity, 6) AS quantity, flag, count(*) AS weight FROM allr GROUP BY ALL""")
 def break_constant_categories(spark, d):
     flag = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0)
-    rows = V.table(spark, d, "lineitem").groupBy(
-        F.col("l_orderkey").alias("space_id"), (F.col("l_quantity") / 50).alias("quantity"), flag.alias("flag")
-    ).agg(F.count("*").alias("weight"))
+    li = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("space_id"), (F.col("l_quantity") / 50).alias("quantity"), flag.alias("flag"))
+    rows = skew.bounded(li, "space_id").groupBy("space_id", "quantity", "flag").agg(F.count("*").alias("weight"))
     dims = [T.Dim("quantity"), T.Dim("flag", 3)]
     out = T.break_constant_categories(rows, dims, {"quantity": 0.5, "flag": 0.0}, ["space_id"])
     return out.groupBy("space_id", r6("quantity"), "flag").agg(F.sum("weight").alias("weight"))
