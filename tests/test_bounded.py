@@ -47,3 +47,22 @@ def test_constant_categories_are_broken_in_bounded_tasks(spark, lines, monkeypat
         if len(seen) == 1:
             want[s, 0.5, 1.0 if seen == {0.0} else 0.0] += 1
     assert {(r["space_id"], r["quantity"], r["flag"]): r["weight"] for r in out.collect()} == want
+
+
+def test_missing_steps_are_filled_in_bounded_tasks(spark, lines, monkeypatch):
+    folder, rows = lines
+    monkeypatch.setattr(skew, "GROUPED_ROWS", 50)
+    out = REGISTRY["fill_missing_steps"].run(spark, folder)
+    found, plan = exchanges(out)
+    assert set(found) == {("18", "REPARTITION_BY_NUM")} and "SortAggregate" not in plan and "Join" not in plan
+    name = {"A": "Default", "N": "Hyperopt"}
+    logged = {}
+    for r in rows:
+        q, t, o = logged.get(r[:2], (math.inf, math.inf, "~"))
+        logged[r[:2]] = min(q, r[2]), min(t, r[5]), min(o, name.get(r[6], "Random Search"))
+    got = [((r["run_id"], r["step_no"]), (r["quantity"], r["tax"], r["origin"])) for r in out.collect()]
+    # a step without a full key equals no logged one: all steps of the run without a key are drawn as well
+    drawn = [(run, step) for run in {k[0] for k in logged} for step in range(1, 8) if run is None or (run, step) not in logged]
+    assert Counter(k for k, _ in got) == Counter([*logged, *drawn])
+    for k, v in logged.items():
+        assert (k, (round(v[0], 6), round(v[1], 6), v[2])) in got

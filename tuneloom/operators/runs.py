@@ -119,9 +119,15 @@ def merge_configs(steps: DataFrame, values: Sequence[str]) -> DataFrame:
 
 
 def fill_missing_steps(structure_steps: DataFrame, logged: DataFrame, space: dict[str, tuple[float, float]], seed: int = 0) -> DataFrame:
-    """Logged step configurations plus a random one for every step without a log line."""
+    """Logged step configurations plus a random one for every step without a log line.
+
+    Wanted and logged steps meet in one grouping, without a join; a step without a full key equals no logged one.
+    """
     keys = ["run_id", "step_no"]
-    missing = structure_steps.select(*keys).distinct().join(logged.select(*keys), keys, "left_anti")
+    marked = structure_steps.select(*keys, F.lit(1).alias("_wanted"), F.lit(0).alias("_logged")).unionAll(
+        logged.select(*keys, F.lit(0).alias("_wanted"), F.lit(1).alias("_logged")))
+    each = marked.groupBy(*keys).agg(F.max("_wanted").alias("_wanted"), F.max("_logged").alias("_logged"))
+    missing = each.where("_wanted = 1 AND (_logged = 0 OR run_id IS NULL OR step_no IS NULL)")
     drawn = [
         (lo + draws.uniform(f"{seed}{name}", *keys) * (hi - lo)).alias(name) for name, (lo, hi) in space.items()
     ]
