@@ -85,17 +85,15 @@ def round_losses(wide: DataFrame, models: Sequence, classes: Sequence, metric: s
 def truth_rows(preds: DataFrame, n_models: int, classes: Sequence) -> DataFrame:
     """Distinct rows of the probabilities that the models, in their order, give the true class, and how many rows are alike.
 
-    Each model's probabilities are taken as shares of their sum. Rows are put together only where at least half of them have
-    a like one, by an estimate; else it would cost an exchange for nothing.
+    Each model's probabilities are taken as shares of their sum, and only the true class's share goes into the row's array.
+    Like rows are put together before anything is written.
     """
     slot = F.coalesce(*[F.when(F.col("y") == F.lit(c), F.lit(i)) for i, c in enumerate(classes)])
-    share = F.transform("library", lambda p: F.get(p, slot) / F.aggregate(p, F.lit(0.0), lambda s, x: s + x))
-    rows = cut_lineage(wide_predictions(preds, n_models).select(share.alias("truth")))
-    n, alike = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("truth"), 0.02)).first()
-    if 2 * alike > n:
-        return rows.withColumn("n", F.lit(1).cast("long"))
-    tasks = max(1, -(-alike * n_models // TASK_VALUES))
-    return cut_lineage(rows.groupBy("truth").agg(F.count("*").alias("n")).coalesce(tasks))
+    share = F.get("probs", slot) / F.aggregate("probs", F.lit(0.0), lambda s, x: s + x)
+    of_true = preds.withColumn("probs", F.when(F.col("probs").isNotNull(), F.array(share)))
+    rows = wide_predictions(of_true, n_models).select(F.transform("library", lambda p: F.get(p, F.lit(0))).alias("truth"))
+    alike = cut_lineage(rows.groupBy("truth").agg(F.count("*").alias("n")))
+    return alike.coalesce(max(1, -(-alike.count() * n_models // TASK_VALUES)))
 
 
 def round_log_losses(truth: DataFrame, weights: dict[int, np.ndarray], members: dict[int, np.ndarray], eps: float = metrics.EPS) -> DataFrame:
