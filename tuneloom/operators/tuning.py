@@ -8,7 +8,7 @@ combine before they are shuffled.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tuneloom.functions import draws, normal
 from tuneloom.operators import skew
@@ -33,8 +34,14 @@ TINY = 1e-32
 #: Rows of a group that one task adds up, and rows whose kernels stand in memory at once.
 TASK_ROWS = 200_000
 CHUNK_ROWS = 4096
+#: Rows of small groups that meet Python in one table.
+TABLE_ROWS = 50_000
 #: Hot groups, counted, that are sent to all tasks.
 SENT_GROUPS = 100_000
+#: Spaces, counted, whose sizes (one short row each) are sent to all tasks.
+SENT_SPACES = 500_000
+#: Points that a task draws.
+DRAWN_POINTS = 50_000
 
 
 @dataclass(frozen=True)
@@ -67,16 +74,19 @@ def space_sizes(configs: DataFrame, dims: Sequence[Dim], min_points: int = 0, to
         F.greatest(need, F.floor(n * (100 - top) / 100)).alias("n_bad"), (n >= need).alias("enough"))
 
 
-def good_bad_split(configs: DataFrame, dims: Sequence[Dim], min_points: int = 0, top: int = TOP_PERCENT) -> DataFrame:
+def good_bad_split(configs: DataFrame, dims: Sequence[Dim], min_points: int = 0, top: int = TOP_PERCENT, settled: bool = False) -> DataFrame:
     """The best n_good and the worst n_bad rows per space as weights; the two sets may overlap.
 
     A loss that is not finite sorts last. Copies stand together in the order, so a
     set boundary may take a part of them. `place` is the number of better rows.
+    The configurations are written once, for the places and the sizes, unless they are `settled`.
     """
+    configs = configs if settled else cut_lineage(configs)
     finite = F.col("loss").isNotNull() & ~F.isnan("loss")
     clean = configs.withColumn("loss", F.when(finite, F.col("loss")).otherwise(float("inf")))
-    placed = skew.running(clean, ["space_id"], ["loss", *names_of(dims)], {"place": ("sum_before", F.col("copies"))}, settle=True)
-    joined = skew.salted_join(placed, space_sizes(configs, dims, min_points, top), ["space_id"]).where("enough")
+    placed = skew.running(clean, ["space_id"], ["loss", *names_of(dims)], {"place": ("sum_before", F.col("copies"))})
+    sizes = cut_lineage(space_sizes(configs, dims, min_points, top).where("enough"))
+    joined = placed.join(F.broadcast(sizes), "space_id") if sizes.count() <= SENT_SPACES else skew.salted_join(placed, sizes, ["space_id"])
     zero = F.lit(0).cast("long")
 
     def within(limit: Column, before: Column) -> Column:
@@ -139,6 +149,9 @@ def kernel(dim: Dim, x: np.ndarray, at: np.ndarray, bw: float) -> np.ndarray:
     """Kernels of all rows at all points: Gaussian for a number, match kernel for a category."""
     if dim.choices:
         return np.where(x[:, None] == at[None], 1 - bw, bw / (dim.choices - 1) if dim.choices > 1 else np.nan)
+    own, place = np.unique(x, return_inverse=True)
+    if 2 * len(own) <= len(x):  # equal values have equal kernels
+        return kernel(dim, own, at, bw)[place]
     return np.exp(-0.5 * ((x[:, None] - at[None]) / bw) ** 2) / (math.sqrt(2 * math.pi) * bw)
 
 
@@ -152,20 +165,45 @@ def _floats(table: pa.Table, names: Sequence[str]) -> dict[str, np.ndarray]:
 
 
 def spread(rows: DataFrame, models: DataFrame, keys: Sequence[str]) -> tuple[GroupedData, GroupedData]:
-    """Rows and the models of their group by (keys, salt). Only groups counted to hold more than a task's rows have several salts."""
+    """Rows and the models of their group, small groups together by a hash of (keys, `_salt`) in tables of about `TABLE_ROWS` rows.
+
+    Only groups counted to hold more than a task's rows have several salts. `in_groups` takes the tables apart again.
+    """
     keys = list(keys)
     # columns of their own: both sides may come from one frame
     rows, models = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (rows, models))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > TASK_ROWS)
-    hot = cut_lineage(sizes.select(*keys, F.ceil(F.col("_n") / TASK_ROWS).alias("_salts")))
-    n = hot.count()
+    sizes = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
+    total, n = sizes.agg(F.sum("_n"), F.count_if(F.col("_n") > TASK_ROWS)).first()
+    table = F.pmod(F.xxhash64(*keys, "_salt"), F.lit(max(1, -(-(total or 0) // TABLE_ROWS)))).alias("_table")
     if not n:
-        return tuple(x.withColumn("_salt", F.lit(0).cast("long")).groupBy(*keys, "_salt") for x in (rows, models))
+        return tuple(x.withColumn("_salt", F.lit(0).cast("long")).groupBy(table) for x in (rows, models))
+    hot = sizes.where(F.col("_n") > TASK_ROWS).select(*keys, F.ceil(F.col("_n") / TASK_ROWS).alias("_salts"))
     hot = F.broadcast(hot) if n <= SENT_GROUPS else hot
     salts = F.coalesce("_salts", F.lit(1).cast("long"))
     salted = rows.withColumn("_part", F.spark_partition_id()).join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns, "_part"), salts))
     each = models.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-    return tuple(x.drop("_salts", "_part").groupBy(*keys, "_salt") for x in (salted, each))
+    return tuple(x.drop("_salts", "_part").groupBy(table) for x in (salted, each))
+
+
+def in_groups(add_up: Callable[[pa.Table, pa.Table], pa.Table], keys: Sequence[str], schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """`add_up` for the rows and the model of every group of (keys, `_salt`) that has a model in the two tables."""
+    def each(data: pa.Table, model: pa.Table) -> pa.Table:
+        code = np.zeros(data.num_rows + model.num_rows, dtype=np.int64)
+        for c in (*keys, "_salt"):
+            values = pa.chunked_array([*data.column(c).chunks, *model.column(c).chunks], data.schema.field(c).type).combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * len(values.dictionary) + values.indices.to_numpy(), return_inverse=True)[1]
+        sides = []
+        for side, own in ((data, code[:data.num_rows]), (model, code[data.num_rows:])):
+            order = np.argsort(own, kind="stable")
+            sides.append((side.take(pa.array(order)).combine_chunks(), own[order]))
+        (data, d), (model, m) = sides
+        parts = [schema.empty_table()]
+        for g in np.unique(m):
+            (a, b), (e, f) = (np.searchsorted(x, (g, g + 1)) for x in (d, m))
+            parts.append(add_up(data.slice(a, b - a), model.slice(e, f - e)).cast(schema))
+        return pa.concat_tables(parts).combine_chunks()
+
+    return each
 
 
 def kde_density(rows: DataFrame, bandwidths: DataFrame, points: DataFrame, dims: Sequence[Dim]) -> DataFrame:
@@ -195,8 +233,9 @@ def kde_density(rows: DataFrame, bandwidths: DataFrame, points: DataFrame, dims:
         return pa.table({"space_id": model.column("space_id"), "point": model.column("point"), "good": sums["good"], "bad": sums["bad"]})
 
     types = dict(points.dtypes)
+    kinds = StructType.fromDDL(f"space_id {types['space_id']}, point {types['point']}, good double, bad double")
     left, right = spread(rows.select("space_id", "set", *cols, "weight"), models, ["space_id"])
-    each = left.cogroup(right).applyInArrow(add_up, f"space_id {types['space_id']}, point {types['point']}, good double, bad double")
+    each = left.cogroup(right).applyInArrow(in_groups(add_up, ["space_id"], to_arrow_schema(kinds)), kinds)
     return each.groupBy("space_id", "point").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
@@ -272,7 +311,7 @@ def marginal_means(rows: DataFrame, bandwidths: DataFrame, dims: Sequence[Dim])
     kinds = frame.select("space_id", "set", F.lit("").alias("name"), F.lit(0.0).alias("value"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("seen")).schema
     out = to_arrow_schema(kinds)
     left, right = spread(frame, bandwidths, ["space_id", "set"])
-    each = left.cogroup(right).applyInArrow(add_up, kinds)
+    each = left.cogroup(right).applyInArrow(in_groups(add_up, ["space_id", "set"], out), kinds)
     density = F.when(F.sum("seen") > 0, F.sum("total"))
     per_set = each.groupBy("space_id", "set", "name", "value").agg(density.alias("density"))
     both = per_set.groupBy("space_id", "name", "value").agg(
@@ -337,7 +376,9 @@ def draw_candidates(split: DataFrame, bandwidths: DataFrame, dims: Sequence[Dim]
     seen = skew.running(
         data.unionByName(requests), ["space_id"], ["pos", "kind", "point"],
         {"row": ("last", F.when(F.col("kind") == 0, F.struct(*cols)))})
-    centres = seen.where("kind = 1").select("space_id", "point", "row").join(good_bw, "space_id")
+    # few rows, but many sums for each: in tasks of their own, not in the few ranges that the rows fill
+    tasks = max(split.sparkSession.sparkContext.defaultParallelism, -(-good_bw.count() * n // DRAWN_POINTS))
+    centres = seen.where("kind = 1").select("space_id", "point", "row").repartition(tasks, "space_id", "point").join(good_bw, "space_id")
     out = centres
     for d in dims:
         u = draws.uniform(f"{seed}{d.name}", "space_id", "point")
@@ -350,9 +391,9 @@ def draw_candidates(split: DataFrame, bandwidths: DataFrame, dims: Sequence[Dim]
     return out.select("space_id", "point", *cols)
 
 
-def fitted(configs: DataFrame, dims: Sequence[Dim]) -> tuple[DataFrame, DataFrame]:
+def fitted(configs: DataFrame, dims: Sequence[Dim], settled: bool = False) -> tuple[DataFrame, DataFrame]:
     """Both sets and their bandwidths, written once because every later step reads them again."""
-    split = cut_lineage(good_bad_split(configs, dims))
+    split = cut_lineage(good_bad_split(configs, dims, settled=settled))
     return split, cut_lineage(kde_bandwidth(split, dims, ["space_id", "set"]))
 
 
@@ -362,7 +403,8 @@ def propose_configs(configs: DataFrame, dims: Sequence[Dim], n: int = NUM_SAMPLE
     One space in five, and every space without a model, gets a uniform configuration.
     """
     cols = names_of(dims)
-    split, bandwidths = fitted(configs, dims)
+    configs = cut_lineage(configs)
+    split, bandwidths = fitted(configs, dims, settled=True)
     points = cut_lineage(draw_candidates(split, bandwidths, dims, n, seed))
     rated = expected_improvement(kde_density(split, bandwidths, points, dims))
     chosen = best_candidate(rated).join(points, ["space_id", "point"])
