@@ -130,3 +130,9 @@ def test_configurations_are_read_once(spark, monkeypatch):
     assert cut[0] == configs.columns
     assert "_salt" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r[0], r[1]): r[2] for r in out.groupBy("space_id", "set").agg(F.sum("weight")).collect()} == {(s, k): n for s in range(3) for k, n in (("good", 12), ("bad", 68))}
+
+
+def test_equal_keys_are_found_by_a_join():
+    q, s = (pa.table({"key": k}) for k in (["b", "a", None, "c", "a"], ["a", "x", "b", "a"]))
+    i, j = similarity.same_keys(q, s)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 2), (1, 0), (1, 3), (4, 0), (4, 3)] and list(i) == sorted(i)

@@ -22,14 +22,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tuneloom.operators import skew
 from tuneloom.session import cut_lineage
 
-STORE_BLOCK = 4096
-QUERY_BLOCK = 8192
+STORE_BLOCK = 16384
+QUERY_BLOCK = 16384
 SLACK = 1e-9
 #: Stored vectors from which the grid is made.
 SAMPLE = 1000
@@ -112,11 +116,23 @@ def doubt(a: np.ndarray, b: np.ndarray) -> float:
     return 1e-7 * (1.0 + np.sqrt((a * a).sum(1).max()) + np.sqrt((b * b).sum(1).max()))
 
 
-def _scaled(vecs, root: np.ndarray | None) -> np.ndarray:
-    x = np.array(vecs.tolist(), dtype=float)
+def _scaled(rows: pa.Table, root: np.ndarray | None) -> np.ndarray:
+    vecs = rows.column("vec").combine_chunks()
+    if vecs.null_count or len(pc.list_value_length(vecs).unique()) != 1:
+        raise ValueError("vectors are missing or differ in length")
+    x = vecs.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
     return x if root is None else x * root
 
 
+def same_keys(q: pa.Table, s: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows with equal keys, by the place in `q`; all other pairs need no look at their keys."""
+    left, right = (pd.DataFrame({"key": x.column("key").to_pandas(), "at": np.arange(x.num_rows)}) for x in (q, s))
+    both = left.merge(right, on="key")
+    i, j = both["at_x"].to_numpy(), both["at_y"].to_numpy()
+    order = np.argsort(i, kind="stable")
+    return i[order], j[order]
+
+
 def _meet(routed: DataFrame, celled: DataFrame, root: np.ndarray | None, within: float | None, exclude_same: bool, earlier: bool, first: bool) -> DataFrame:
     """The best stored row of every asking row in the cells it visits."""
     # columns of their own: both sides may come from one frame
@@ -137,36 +153,39 @@ def _meet(routed: DataFrame, celled: DataFrame, root: np.ndarray | None, within:
         F.pmod(F.xxhash64("key"), "store_blocks").alias("sb"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - long)).alias("qb"))
     asks, types = dict(routed.dtypes), dict(celled.dtypes)
-    schema = f"space {types['space']}, key {asks['key']}, ord {asks['ord']}, found_key {types['key']}, found_ord {types['ord']}, distance double"
-
-    def meet(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame(columns=["space", "key", "ord", "found_key", "found_ord", "distance"], dtype=object)
-        if not len(q) or not len(s):
-            return empty
-        s = s.sort_values(["ord", "key"]).reset_index(drop=True)
-        a, b = _scaled(q["vec"], root), _scaled(s["vec"], root)
-        slack, parts = doubt(a, b), []
-        for lo in range(0, len(q), 512):
-            hi = min(lo + 512, len(q))
-            d = distances(a[lo:hi], b)
-            ok = np.ones(d.shape, dtype=bool)
-            if exclude_same:
-                ok &= q["key"].to_numpy()[lo:hi, None] != s["key"].to_numpy()[None, :]
+    kinds = StructType.fromDDL(f"space {types['space']}, key {asks['key']}, ord {asks['ord']}, found_key {types['key']}, found_ord {types['ord']}, distance double")
+    out = to_arrow_schema(kinds)
+
+    def meet(q: pa.Table, s: pa.Table) -> pa.Table:
+        if not q.num_rows or not s.num_rows:
+            return out.empty_table()
+        s = s.sort_by([("ord", "ascending"), ("key", "ascending")])
+        a, b = _scaled(q, root), _scaled(s, root)
+        slack, n, parts = doubt(a, b), s.num_rows, []
+        i, j = same_keys(q, s) if exclude_same else (np.empty(0, int), np.empty(0, int))
+        asked, stored = q.column("ord").to_numpy(), s.column("ord").to_numpy()
+        # one product gives the squared distances without the asking row's own square
+        left, right, own = np.c_[-2.0 * a, np.ones(len(a))], np.c_[b, (b * b).sum(1)].T, (a * a).sum(1)
+        for lo in range(0, len(a), 512):
+            hi = min(lo + 512, len(a))
+            d2 = left[lo:hi] @ right
+            here = slice(*np.searchsorted(i, (lo, hi)))
+            d2[i[here] - lo, j[here]] = np.inf
             if earlier:
-                ok &= s["ord"].to_numpy()[None, :] < q["ord"].to_numpy()[lo:hi, None]
-            if within is not None:
-                ok &= d <= within + slack
-            d = np.where(ok, d, np.inf)
+                d2[stored[None, :] >= asked[lo:hi, None]] = np.inf
+            reach2 = np.inf if within is None else (within + slack) ** 2
             # the matrix form is inexact: whatever is in doubt is decided by plain differences
             if first:
-                sure = d <= within - slack
-                at = np.where(sure.any(1), sure.argmax(1), len(s))
-                maybe = np.isfinite(d) & ~sure & (np.arange(len(s))[None, :] < at[:, None])
+                sure = d2 <= ((within - slack) ** 2 - own[lo:hi] if within >= slack else np.full(hi - lo, -np.inf))[:, None]
+                at = np.where(sure.any(1), sure.argmax(1), n)
+                maybe = (d2 <= (reach2 - own[lo:hi])[:, None]) & ~sure & (np.arange(n)[None, :] < at[:, None])
                 r, c = np.nonzero(maybe)
-                found = at < len(s)
+                found = at < n
                 r, c = np.concatenate([r, np.flatnonzero(found)]), np.concatenate([c, at[found]])
             else:
-                r, c = np.nonzero(np.isfinite(d) & (d <= d.min(1)[:, None] + 2 * slack))
+                least = d2.min(1)
+                most = np.minimum((np.sqrt(np.maximum(least + own[lo:hi], 0.0)) + 2 * slack) ** 2, reach2) - own[lo:hi]
+                r, c = np.nonzero(d2 <= np.where(np.isfinite(least), most, -np.inf)[:, None])
             exact = np.sqrt(((a[lo + r] - b[c]) ** 2).sum(1))
             if within is not None:
                 kept = exact <= within + SLACK
@@ -175,17 +194,12 @@ def _meet(routed: DataFrame, celled: DataFrame, root: np.ndarray | None, within:
             r, c, exact = r[order], c[order], exact[order]
             best = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.array([], dtype=int)
             parts.append((lo + r[best], c[best], exact[best]))
-        parts = [p for p in parts if len(p[0])]
-        if not parts:
-            return empty
         qi, si, dist = (np.concatenate(x) for x in zip(*parts))
-        qq, ss = q.iloc[qi], s.iloc[si]
-        return pd.DataFrame({
-            "space": qq["space"].to_numpy(), "key": qq["key"].to_numpy(), "ord": qq["ord"].to_numpy(),
-            "found_key": ss["key"].to_numpy(), "found_ord": ss["ord"].to_numpy(), "distance": dist})
+        qq, ss = q.take(pa.array(qi, pa.int64())), s.take(pa.array(si, pa.int64()))
+        return pa.Table.from_arrays([*(qq.column(c) for c in ("space", "key", "ord")), ss.column("key"), ss.column("ord"), pa.array(dist, pa.float64())], schema=out)
 
     by = ["space", "cell", "qb", "sb"]
-    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(meet, schema)
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, kinds)
     rank = F.struct("found_ord", "found_key", "distance") if first else F.struct(
         F.round("distance", 12).alias("r"), F.col("found_ord"), F.col("found_key"), F.col("distance"))
     best = met.groupBy("space", "key", "ord").agg(F.min(rank).alias("b"))
