@@ -107,7 +107,7 @@ def test_small_spaces_meet_python_in_one_table(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "space_id string, set string, x double, c double, weight long")
     bw = tuning.kde_bandwidth(frame, dims, ["space_id", "set"])
     points = spark.createDataFrame([(f"s{s}", p, 0.1 * p, float(p % 3)) for s in range(60) if s != 7 for p in range(5)], "space_id string, point long, x double, c double")
-    left, _ = tuning.spread(frame, points, ["space_id"])
+    left, _ = tuning.spread(frame, points, ["space_id"], together=True)
     assert left.count().count() == 1
     monkeypatch.setattr(tuning, "TABLE_ROWS", 200)
     got = {(r["space_id"], r["point"]): (r["good"], r["bad"]) for r in tuning.kde_density(frame, bw, points, dims).collect()}

@@ -164,10 +164,10 @@ def _floats(table: pa.Table, names: Sequence[str]) -> dict[str, np.ndarray]:
     return {c: table.column(c).to_numpy().astype(float) for c in names}
 
 
-def spread(rows: DataFrame, models: DataFrame, keys: Sequence[str]) -> tuple[GroupedData, GroupedData]:
-    """Rows and the models of their group, small groups together by a hash of (keys, `_salt`) in tables of about `TABLE_ROWS` rows.
+def spread(rows: DataFrame, models: DataFrame, keys: Sequence[str], together: bool = False) -> tuple[GroupedData, GroupedData]:
+    """Rows and the models of their group by (keys, salt). Only groups counted to hold more than a task's rows have several salts.
 
-    Only groups counted to hold more than a task's rows have several salts. `in_groups` takes the tables apart again.
+    With `together`, small groups share tables of about `TABLE_ROWS` rows, by a hash of the same; `in_groups` takes them apart again.
     """
     keys = list(keys)
     # columns of their own: both sides may come from one frame
@@ -175,14 +175,15 @@ def spread(rows: DataFrame, models: DataFrame, keys: Sequence[str]) -> tuple[Gro
     sizes = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
     total, n = sizes.agg(F.sum("_n"), F.count_if(F.col("_n") > TASK_ROWS)).first()
     table = F.pmod(F.xxhash64(*keys, "_salt"), F.lit(max(1, -(-(total or 0) // TABLE_ROWS)))).alias("_table")
+    by = [table] if together else [*keys, "_salt"]
     if not n:
-        return tuple(x.withColumn("_salt", F.lit(0).cast("long")).groupBy(table) for x in (rows, models))
+        return tuple(x.withColumn("_salt", F.lit(0).cast("long")).groupBy(*by) for x in (rows, models))
     hot = sizes.where(F.col("_n") > TASK_ROWS).select(*keys, F.ceil(F.col("_n") / TASK_ROWS).alias("_salts"))
     hot = F.broadcast(hot) if n <= SENT_GROUPS else hot
     salts = F.coalesce("_salts", F.lit(1).cast("long"))
     salted = rows.withColumn("_part", F.spark_partition_id()).join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns, "_part"), salts))
     each = models.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-    return tuple(x.drop("_salts", "_part").groupBy(table) for x in (salted, each))
+    return tuple(x.drop("_salts", "_part").groupBy(*by) for x in (salted, each))
 
 
 def in_groups(add_up: Callable[[pa.Table, pa.Table], pa.Table], keys: Sequence[str], schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -234,7 +235,7 @@ def kde_density(rows: DataFrame, bandwidths: DataFrame, points: DataFrame, dims:
 
     types = dict(points.dtypes)
     kinds = StructType.fromDDL(f"space_id {types['space_id']}, point {types['point']}, good double, bad double")
-    left, right = spread(rows.select("space_id", "set", *cols, "weight"), models, ["space_id"])
+    left, right = spread(rows.select("space_id", "set", *cols, "weight"), models, ["space_id"], together=True)
     each = left.cogroup(right).applyInArrow(in_groups(add_up, ["space_id"], to_arrow_schema(kinds)), kinds)
     return each.groupBy("space_id", "point").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
@@ -310,7 +311,7 @@ def marginal_means(rows: DataFrame, bandwidths: DataFrame, dims: Sequence[Dim])
     frame = rows.select("space_id", "set", *cols, "weight")
     kinds = frame.select("space_id", "set", F.lit("").alias("name"), F.lit(0.0).alias("value"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("seen")).schema
     out = to_arrow_schema(kinds)
-    left, right = spread(frame, bandwidths, ["space_id", "set"])
+    left, right = spread(frame, bandwidths, ["space_id", "set"], together=True)
     each = left.cogroup(right).applyInArrow(in_groups(add_up, ["space_id", "set"], out), kinds)
     density = F.when(F.sum("seen") > 0, F.sum("total"))
     per_set = each.groupBy("space_id", "set", "name", "value").agg(density.alias("density"))
