@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneloom.functions import draws, names, scores
@@ -50,8 +50,10 @@ def wide_predictions(preds: DataFrame, n_models: int | None = None) -> DataFrame
     wide = preds.groupBy("row_id").agg(
         F.first("y").alias("y"),
         F.transform(F.array_sort(F.collect_list(F.struct("model_id", "probs"))), lambda s: s["probs"]).alias("library"))
-    if n_models is None:
-        return wide
+    return wide if n_models is None else _whole(wide, n_models)
+
+
+def _whole(wide: DataFrame, n_models: int) -> DataFrame:
     whole = (F.size("library") == n_models) & ~F.exists("library", lambda p: p.isNull())
     text = F.concat(F.lit("a model has no prediction for row "), F.col("row_id").cast("string"))
     return wide.withColumn("library", F.when(whole, F.col("library")).otherwise(
@@ -86,12 +88,18 @@ def truth_rows(preds: DataFrame, n_models: int, classes: Sequence) -> DataFrame:
     """Distinct rows of the probabilities that the models, in their order, give the true class, and how many rows are alike.
 
     Each model's probabilities are taken as shares of their sum, and only the true class's share goes into the row's array.
-    Like rows are put together before anything is written.
+    Like rows are put together before anything is written. `preds` is long, or wide as from `wide_predictions`.
     """
     slot = F.coalesce(*[F.when(F.col("y") == F.lit(c), F.lit(i)) for i, c in enumerate(classes)])
-    share = F.get("probs", slot) / F.aggregate("probs", F.lit(0.0), lambda s, x: s + x)
-    of_true = preds.withColumn("probs", F.when(F.col("probs").isNotNull(), F.array(share)))
-    rows = wide_predictions(of_true, n_models).select(F.transform("library", lambda p: F.get(p, F.lit(0))).alias("truth"))
+
+    def share(probs: Column) -> Column:
+        return F.get(probs, slot) / F.aggregate(probs, F.lit(0.0), lambda s, x: s + x)
+
+    if "library" in preds.columns:
+        rows = _whole(preds, n_models).select(F.transform("library", share).alias("truth"))
+    else:
+        of_true = preds.withColumn("probs", F.when(F.col("probs").isNotNull(), F.array(share(F.col("probs")))))
+        rows = wide_predictions(of_true, n_models).select(F.transform("library", lambda p: F.get(p, F.lit(0))).alias("truth"))
     alike = cut_lineage(rows.groupBy("truth").agg(F.count("*").alias("n")))
     return alike.coalesce(max(1, -(-alike.count() * n_models // TASK_VALUES)))
 
@@ -121,28 +129,36 @@ def round_log_losses(truth: DataFrame, weights: dict[int, np.ndarray], members:
 
 
 def greedy_selection(preds: DataFrame, bags: DataFrame, classes: Sequence, metric: str = "logloss",
-                     max_models: int = 25, seed: int = 0) -> DataFrame:
+                     max_models: int = 25, seed: int = 0, models: DataFrame | None = None) -> DataFrame:
     """Forward selection with replacement in every bag; the best round is kept.
 
     Only the losses of a round (bags x models numbers) reach the driver. Ties, to 12 digits, are
     broken by a draw on (seed, round, bag, model). Returns (bag, model_id, weight, loss).
+
+    `models` holds the library's model_id where they are known; without it they are found by a pass over `preds`.
+    With it, `preds` may be wide: (row_id, y, library), the library in the order of model_id.
     """
     spark = preds.sparkSession
-    models = sorted(r[0] for r in preds.select("model_id").distinct().collect())
+    model_type = dict((preds if models is None else models).dtypes)["model_id"]
+    models = sorted(r[0] for r in (preds if models is None else models).select("model_id").distinct().collect())
     place = {m: i for i, m in enumerate(models)}
     members: dict[int, list] = {}
     for r in bags.collect():
         members.setdefault(r["bag"], []).append(r["model_id"])
     members = {b: sorted(ms) for b, ms in sorted(members.items())}
     places = {b: np.array([place[m] for m in ms]) for b, ms in members.items()}
-    wide = truth_rows(preds, len(models), classes) if metric == "logloss" else cut_lineage(wide_predictions(preds, len(models)))
+    if metric == "logloss":
+        wide = truth_rows(preds, len(models), classes)
+    else:
+        wide = cut_lineage(_whole(preds, len(models)) if "library" in preds.columns else wide_predictions(preds, len(models)))
+    rounds = 0 if wide.isEmpty() else max_models
 
     def draw(*parts) -> str:
         return hashlib.md5("|".join(str(x) for x in (seed, *parts)).encode()).hexdigest()
 
     weights: dict[int, dict] = {b: {} for b in members}
     best: dict[int, tuple] = {}
-    for step in range(max_models):
+    for step in range(rounds):
         if metric == "logloss":
             vectors = {b: np.array([float(chosen.get(m, 0)) for m in models]) for b, chosen in weights.items()}
             found = [(r["bag"], members[r["bag"]][r["at"]], r["loss"]) for r in round_log_losses(wide, vectors, places).collect()]
@@ -157,15 +173,16 @@ def greedy_selection(preds: DataFrame, bags: DataFrame, classes: Sequence, metri
             if bag not in best or loss < best[bag][0]:
                 best[bag] = (loss, dict(weights[bag]))
     rows = [(b, m, w, loss) for b, (loss, chosen) in best.items() for m, w in sorted(chosen.items())]
-    model_type = dict(preds.dtypes)["model_id"]
     return spark.createDataFrame(rows, f"bag int, model_id {model_type}, weight int, loss double")
 
 
 def bagged_ensemble(preds: DataFrame, classes: Sequence, metric: str = "logloss", n_bags: int = 4,
-                    share: float = 0.75, max_models: int = 25, seed: int = 0) -> DataFrame:
-    """Greedy selection in every bag; the bag with the smallest loss wins."""
-    bags = model_bags(preds.select("model_id").distinct(), n_bags, share, seed)
-    picked = greedy_selection(preds, bags, classes, metric, max_models, seed)
+                    share: float = 0.75, max_models: int = 25, seed: int = 0, models: DataFrame | None = None) -> DataFrame:
+    """Greedy selection in every bag; the bag with the smallest loss wins. `models` and `preds` as in `greedy_selection`."""
+    if models is None:
+        models = cut_lineage(preds.select("model_id").distinct())
+    bags = model_bags(models, n_bags, share, seed)
+    picked = greedy_selection(preds, bags, classes, metric, max_models, seed, models)
     best = picked.agg(F.min(F.struct("loss", "bag")).alias("b")).select("b.bag")
     return picked.join(best, "bag", "left_semi")
 
