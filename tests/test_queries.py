@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tools import check
 from tuneloom.evaluation import jobs as J
+from tuneloom.operators import splits
 from tuneloom.plans import learning
 
 NAMES = [n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)]
@@ -44,6 +45,36 @@ def test_failed_candidates_get_the_worst_loss(spark, data):
     assert rows[2]["status"] == "CRASHED" and "probabilities" in rows[2]["message"]
 
 
+def _labelled(spark, folder, shortest=(), unknown=()):
+    """Tables of 150 documents, two thirds of good quality; `shortest` have one character, the length of `unknown` is missing."""
+    docs = spark.range(150).select(
+        F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.concat(F.lit("l"), F.col("id") % 2).alias("lang"), F.concat(F.lit("s"), F.col("id") % 5).alias("source"),
+        F.when(F.col("id").isin(list(unknown)), None).when(F.col("id").isin(list(shortest)), 1).otherwise(100 + F.col("id") * 37 % 500).alias("n_chars"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.range(150).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, 1).otherwise(0).alias("quality")).write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def _chosen_and_held_out(spark, folder):
+    """A document that the ensemble is selected on and one that it is scored on."""
+    marked = splits.stratified_split(learning.doc_task(spark, folder).rows, "label", "row_id").cache()
+    again = splits.stratified_split(marked.where("NOT is_test").drop("is_test"), "label", "row_id", share=0.2, seed=1)
+    return [df.where("is_test").agg(F.min("row_id")).first()[0] for df in (again, marked)]
+
+
+def test_an_ensemble_rates_documents_shorter_than_all_it_was_fitted_on(spark, tmp_path):
+    """Their scaled length is below zero, where Spark's Naive Bayes ends the job."""
+    ids = _chosen_and_held_out(spark, _labelled(spark, tmp_path / "plain"))
+    row = learning.final_ensemble(spark, _labelled(spark, tmp_path / "short", shortest=ids)).first()
+    assert row["n_models"] >= 1 and -1 <= row["loss"] < 0
+
+
+def test_an_ensemble_of_the_only_candidate_that_succeeds(spark, tmp_path):
+    """Missing lengths make the two candidates crash that don't impute."""
+    row = learning.final_ensemble(spark, _labelled(spark, tmp_path, unknown=range(0, 150, 7))).first()
+    assert row["n_models"] == 1 and -1 <= row["loss"] < 0
+
+
 def test_time_limit(spark, data):
     task = learning.line_task(spark, data)
     got = J.evaluate_candidates(task, [J.Candidate(0, 0, 0, ("HistGradientBoostingClassifier",), {"0:maxIter": 200})], cutoff=1.0)

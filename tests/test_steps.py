@@ -2,7 +2,8 @@
 
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import classification as C
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -71,3 +72,35 @@ def test_values_of_the_vector_stages(spark):
     for keep in (share / share[-1])[:2]:
         k = int(np.searchsorted(share / share[-1], keep - 1e-9)) + 1
         assert len(made(steps.VarianceKeepingPCA(size=float(keep) - 1e-6, **io), df)[0]) == k
+
+
+@pytest.mark.parametrize("thresholds", [None, [0.9, 0.1]])
+def test_multinomial_bayes_rates_rows_below_those_of_the_fit(spark, tmp_path, thresholds):
+    """Rows within the range of the fit get what Spark's model gives; others the same linear function, in storage too."""
+    rng = np.random.default_rng(3)
+    fit = spark.createDataFrame([(i, list(map(float, v)), float(i % 3 > 0)) for i, v in enumerate(rng.random((40, 3)))], "row_id long, a array<double>, label double")
+    fit = fit.withColumn("features", array_to_vector("a"))
+    given = {"thresholds": thresholds} if thresholds else {}
+    plain = C.NaiveBayes(modelType="multinomial", **given).fit(fit)
+    model = Pipeline(stages=[K.classifier("MultinomialNB", **given)]).fit(fit)
+    J.store_model(model, str(tmp_path), "bayes")
+    stored = PipelineModel.load(f"{tmp_path}/bayes")
+    cols = ("rawPrediction", "probability", "prediction")
+
+    def rated(by, rows):
+        return [np.hstack([r[0].toArray(), r[1].toArray(), r[2]]) for r in by.transform(rows).orderBy("row_id").select(*cols).collect()]
+
+    assert np.allclose(rated(model, fit), rated(plain, fit), rtol=1e-12) and np.array_equal(rated(model, fit), rated(stored, fit))
+    for column in cols:
+        assert model.transform(fit).schema[column].dataType == plain.transform(fit).schema[column].dataType
+    x = np.array([[-0.5, 0.2, 0.9], [-40, 0, 1], [2, -1, 0]])
+    low = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "row_id long, a array<double>").withColumn("features", array_to_vector("a"))
+    raw = x @ plain.theta.toArray().T + plain.pi.toArray()
+    shares = np.exp(raw - raw.max(1, keepdims=True))
+    shares /= shares.sum(1, keepdims=True)
+    best = (shares / (thresholds or [1, 1])).argmax(1)[:, None]
+    assert np.allclose(rated(stored, low), np.hstack([raw, shares, best]), rtol=1e-9)
+    for bad in ([float("nan"), 1.0, 1.0], [-1.0, 1.0, 1.0]):
+        row = spark.createDataFrame([(0, bad, 0.0)], "row_id long, a array<double>, label double").withColumn("features", array_to_vector("a"))
+        with pytest.raises(Exception, match="missing values|Negative|NaN"):
+            rated(model, row) if np.isnan(bad[0]) else K.classifier("MultinomialNB").fit(row)

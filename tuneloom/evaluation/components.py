@@ -39,7 +39,7 @@ def classifier(name: str, features: str = "features", label: str = "label", n_cl
     if name == "BernoulliNB":
         return C.NaiveBayes(modelType="bernoulli", **base)
     if name == "MultinomialNB":
-        return C.NaiveBayes(modelType="multinomial", **base)
+        return steps.MultinomialNB(modelType="multinomial", **base)
     if name == "DecisionTreeClassifier":
         return C.DecisionTreeClassifier(seed=42, **base)
     if name == "RandomForestClassifier":

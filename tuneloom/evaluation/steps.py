@@ -11,11 +11,14 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Transformer
+from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml import classification as C
 from pyspark.ml import feature as FT
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols
+from pyspark.ml.param.shared import (
+    HasFeaturesCol, HasInputCol, HasInputCols, HasOutputCol, HasOutputCols, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol,
+    HasThresholds)
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,6 +159,54 @@ class MinorityCoalescer(HasInputCols, HasOutputCols, Estimator, DefaultParamsRea
         return CommonValues(inputCols=self.getInputCols(), outputCols=self.getOutputCols(), table=json.dumps(tables))
 
 
+class MultinomialNB(C.NaiveBayes):
+    """Spark's fit of the multinomial Naive Bayes, rated as the linear function that it is.
+
+    A row with a smaller value than all rows of the fit is negative once it is scaled; Spark's own model ends the job there.
+    The rows of the fit must not be negative.
+    """
+
+    def _create_model(self, java_model) -> LinearPosterior:
+        fitted = super()._create_model(java_model)
+        return LinearPosterior(table=json.dumps(np.column_stack([fitted.pi.toArray(), fitted.theta.toArray()]).tolist()))
+
+
+class LinearPosterior(HasFeaturesCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol, HasThresholds, Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Classes rated by a start and a weight per feature; their exponentials, as shares, are the probabilities."""
+
+    table = Param(Params._dummy(), "table", "a row per class as JSON, its start first", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, table: str = "[]") -> None:
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        n = len(json.loads(self.getOrDefault(self.table)))
+        rows, x = F.from_json(F.lit(self.getOrDefault(self.table)), "ARRAY<ARRAY<DOUBLE>>"), vector_to_array(self.getFeaturesCol())
+        says = F.raise_error(F.lit("Naive Bayes has no probabilities for a row with missing values")).cast("array<double>")
+        whole = F.when(F.exists(x, F.isnan), says).otherwise(x)
+
+        def rated(row: Column) -> Column:
+            parts = F.zip_with(F.slice(row, 2, F.size(row) - 1), whole, lambda w, v: F.when(v != 0, w * v).otherwise(0.0))
+            return F.aggregate(parts, F.lit(0.0), lambda total, part: total + part) + F.get(row, F.lit(0))
+
+        def shares(raw: Column) -> Column:
+            odds = F.transform(raw, lambda r: F.exp(r - F.array_max(raw)))
+            return F.transform(odds, lambda o: o / F.aggregate(odds, F.lit(0.0), lambda total, each: total + each))
+
+        raw, probability = self.getRawPredictionCol(), self.getProbabilityCol()
+        out = dataset.withColumn(raw, array_to_vector(F.transform(rows, rated)).alias(raw, metadata={"ml_attr": {"num_attrs": n}}))
+        out = out.withColumn(probability, array_to_vector(shares(vector_to_array(raw))).alias(probability, metadata={"ml_attr": {"num_attrs": n}}))
+        decides = vector_to_array(probability)
+        if self.isSet(self.thresholds):
+            least = F.lit([float(t) for t in self.getThresholds()])
+            decides = F.zip_with(decides, least, lambda p, t: F.when(t == 0, float("inf")).otherwise(p / t))
+        first = (F.array_position(decides, F.array_max(decides)) - 1).cast("double")
+        named = self.getPredictionCol()
+        return out.withColumn(named, first.alias(named, metadata={"ml_attr": {"type": "nominal", "num_vals": n}}))
+
+
 def singular_vectors(df: DataFrame, n_features: int, k: int, features: str) -> tuple[np.ndarray, np.ndarray]:
     """The first k right singular vectors as columns, and their singular values.
 

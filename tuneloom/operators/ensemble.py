@@ -33,12 +33,12 @@ def score_library(preds: DataFrame, classes: Sequence, metric: str = "logloss")
 
 
 def model_bags(models: DataFrame, n_bags: int = 4, share: float = 0.75, seed: int = 0) -> DataFrame:
-    """Bags of floor(share * n) models without replacement. One row per model, so the table is small."""
+    """Bags of floor(share * n) models, one at least, without replacement. One row per model, so the table is small."""
     n = models.agg(F.count("*")).scalar()
     bags = models.select("model_id", F.explode(F.sequence(F.lit(0), F.lit(n_bags - 1))).alias("bag"))
     order = Window.partitionBy("bag").orderBy(draws.uniform(seed, "bag", "model_id"), "model_id")
     placed = bags.withColumn("_rn", F.row_number().over(order))
-    return placed.where(F.col("_rn") <= F.floor(n * share)).select("bag", "model_id")
+    return placed.where(F.col("_rn") <= F.greatest(F.lit(1), F.floor(n * share))).select("bag", "model_id")
 
 
 def wide_predictions(preds: DataFrame, n_models: int | None = None) -> DataFrame:
